@@ -24,6 +24,8 @@ from ._scratch import Scratch
 CHUNK = 1 << 20
 #: Documents compared with one another in one block of an unsettled bucket.
 BLOCK = 64
+#: Open buckets of more members than this get ROUNDS further stars, each with about CENTRES centres, before all blocks meet.
+LARGE, ROUNDS, CENTRES = 16, 1, 8
 
 
 def bands_for(threshold: float, values: int, miss: float = 1e-6) -> tuple[int, int]:
@@ -152,24 +154,46 @@ def _block_linker(num: int, den: int):
     return link
 
 
-def _rest(members: DataFrame, label: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame | None:
-    """Links that the star around each bucket's centre can't show: between members, neither of them the centre, of different groups so far.
+def _open(members: DataFrame, label: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """Table (k, rep, label, own, inner, outer) of what buckets leave open whose members, the centre aside, are of several groups so far.
 
-    Buckets whose other members are all in one group are settled.  Of buckets
-    with the same members one is worked on.  A bucket is dealt into blocks by hash
-    and each two blocks meet in a task of their own, which passes over pairs of one
-    group and returns a forest, not all pairs.  No bucket size is too large for it.
+    Buckets with the same largest group are merged, for a hot group has many buckets with almost the same members; k is
+    that group, own says whether a member is of it, inner and outer count those that are and those that aren't.
     """
     rest = members.where("rep <> c").join(label, F.col("rep") == F.col("node"), "left").select("k", "rep", F.coalesce("root", "rep").alias("label"))
-    rest = scratch.table("rest", rest)
+    rest = scratch.table(f"{tag}-rest", rest)
     sign = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sign")
-    open_ = rest.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), sign).where("lo < hi")
-    open_ = scratch.table("open", open_.groupBy("n", "sign").agg(F.min("k").alias("k")))
-    if open_.isEmpty():
-        return None
-    blocks = F.ceil(F.col("n") / BLOCK)
-    dealt = rest.join(open_, "k").withColumns({"blocks": blocks.cast("int")}).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("k", "rep", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    several = rest.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), sign).where("lo < hi")
+    live = rest.join(several.groupBy("n", "sign").agg(F.min("k").alias("k")).select("k"), "k")
+    sizes = live.groupBy("k", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    merged = scratch.table(f"{tag}-merged", live.join(main, "k").select(F.col("main").alias("k"), "rep", "label", (F.col("label") == F.col("main")).alias("own")).distinct())
+    count = merged.groupBy("k").agg(F.count_if("own").alias("inner"), F.count_if(~F.col("own")).alias("outer"))
+    out = merged.join(count, "k")
+    return scratch.table(f"{tag}-open", out)
+
+
+def _more_stars(live: DataFrame, tag: int) -> DataFrame:
+    """Pairs (a, b) of each outer member of a large open bucket with a few members of the largest group, picked by hash: a number that grows as the members do."""
+    large = live.where(F.col("inner") + F.col("outer") > LARGE)
+    chosen = F.pmod(F.xxhash64("rep", F.lit(tag)), F.col("inner")) < CENTRES
+    centres = large.where(F.col("own") & chosen).select("k", F.col("rep").alias("a"))
+    outer = large.where(~F.col("own")).select("k", F.col("rep").alias("b"))
+    return outer.join(centres, "k").where("a <> b").select("a", "b").distinct()
+
+
+def _rest(live: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The remaining links of open buckets, exactly.
+
+    An open bucket's largest group and its other members are dealt into blocks by hash.
+    Each block of others meets each block in a task of its own, which passes
+    over pairs of one group and returns a forest, not all pairs.  No bucket size is too large for it.
+    """
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    dealt = live.select("k", "rep", "label", "own", blocks(F.col("inner")).alias("bi"), blocks(F.col("outer")).alias("bo"))
+    dealt = dealt.withColumn("block", F.when(F.col("own"), -1 - F.pmod(F.xxhash64("rep", F.lit(7)), F.col("bi"))).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("bo"))).cast("int"))
+    others = F.when(F.col("own"), F.sequence(F.lit(0), F.col("bo") - 1)).otherwise(F.sequence(-F.col("bi"), F.col("bo") - 1))
+    tasks = dealt.withColumn("other", F.explode(others)).select("k", "rep", "label", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
     full = tasks.join(sets.select(F.col("id").alias("rep"), "set"), "rep")
     return full.groupBy("k", "x", "y").applyInArrow(lambda t: pa.Table.from_batches(list(_block_linker(num, den)(t.to_batches()))), "a bigint, b bigint")
 
@@ -190,7 +214,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: tuple[int, int] =
     At scale: texts are read once for signatures and once for the sets of
     candidates.  Equal sets meet first, by a 128-bit digest, and go on as one.
     Candidates of a bucket are compared with its smallest member (as many pairs as
-    members); what that leaves open goes through _rest, block by block.
+    members), large open buckets then with a few more; what that leaves open goes
+    through _rest, block by block.
     """
     spark, (num, den) = docs.sparkSession, threshold
     scratch = Scratch(spark, "minhash")
@@ -209,10 +234,15 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: tuple[int, int] =
     sets = scratch.table("sets", docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "id bigint, set array<bigint>"))
     links = scratch.table("links", _confirm(pairs, sets, num, den).distinct())
     label = components(links, scratch, "cc-star-")
-    more = _rest(members, label, sets, scratch, num, den)
-    if more is not None:
-        more = scratch.table("more", more)
-        label = components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch, "cc-all-")
+    join = lambda more, tag: components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch, tag)
+    live = _open(members, label, scratch, "open0")
+    for r in range(1, ROUNDS + 1):
+        if live.where(F.col("inner") + F.col("outer") > LARGE).isEmpty():
+            break
+        label = join(scratch.table(f"more{r}", _confirm(_more_stars(live, r), sets, num, den)), f"cc{r}-")
+        live = _open(members, label, scratch, f"open{r}")
+    if not live.isEmpty():
+        label = join(scratch.table("rest", _rest(live, sets, num, den)), "cc-rest-")
     for name in ("sets", "members"):
         scratch.drop(name)
     joined = signed.select("doc_id", "n_shingles", "d1", "d2").join(reps.drop("copies"), ["d1", "d2"], "left").join(label, F.col("rep") == F.col("node"), "left")

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, substring, suffix
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": minhash.op1_minhash_near_dedup}
+    return {
+        "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+        "op2_substring_dedup": substring.op2_substring_dedup,
+        "op5_suffix_array_dedup": suffix.op5_suffix_array_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": minhash.OP1_SQL}
+    return {"op1_minhash_near_dedup": minhash.OP1_SQL, "op2_substring_dedup": substring.OP2_SQL}

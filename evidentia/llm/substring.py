@@ -80,10 +80,11 @@ def dedup_windows(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
 
     A null text has no words and stays null; an empty or blank one stays. Rows with a null id come before
     all others; rows that share an id rank as they are stored, so of repeated rows one
-    stays whole.  Other columns pass through.
+    stays whole.  Other columns pass through; those named as one of the added are replaced.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "windows")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
     v, cover = difference_cover(window)
     rows = K.blocks(docs, scratch, text_col)
     n_bytes = rows.agg(F.sum("n_bytes")).first()[0] or 0
