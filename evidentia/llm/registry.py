@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, substring, suffix
+from . import embeddings, minhash, substring, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,8 +14,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op5_suffix_array_dedup": suffix.op5_suffix_array_dedup,
+        "op9_embedding_near_dedup": embeddings.op9_embedding_near_dedup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": minhash.OP1_SQL, "op2_substring_dedup": substring.OP2_SQL}
+    return {"op1_minhash_near_dedup": minhash.OP1_SQL, "op2_substring_dedup": substring.OP2_SQL, "op9_embedding_near_dedup": embeddings.OP9_SQL}
