@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, minhash, substring, suffix, toxicity
+import corpus_pipeline
+
+from . import decontaminate, embeddings, minhash, packing, substring, suffix, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
         "op2_substring_dedup": substring.op2_substring_dedup,
+        "op4_harmonic_packing": packing.op4_harmonic_packing,
         "op5_suffix_array_dedup": suffix.op5_suffix_array_dedup,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op9_embedding_near_dedup": embeddings.op9_embedding_near_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "pipeline": corpus_pipeline.run,
     }
 
 
