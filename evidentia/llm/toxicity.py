@@ -25,7 +25,7 @@ STEMS = (4, 5)
 #: Terms that the machine weighs, at most: those that tell the classes apart best.
 TERMS = 20_000
 #: Labelled rows that the machine is fitted on, at most.
-LABELLED = 20_000
+LABELLED = 12_000
 #: Bytes of text worked on at one time.
 CHUNK = 1 << 20
 
@@ -88,19 +88,25 @@ def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, round
         p = 0.5 if not len(y) else np.clip(y.mean(), 1e-3, 1 - 1e-3)
         none = np.zeros(0)
         return Machine(float(np.log(p / (1 - p))), none.astype(np.int64), none, np.zeros((0, factors)))
-    known, inverse, count = np.unique(t, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(y)), np.diff(at))
-    pos = np.bincount(inverse, y[row], len(known))
-    share = pos.sum() / len(row)
+    # counts over all hashes, a slice of the terms at a time: memory stays that of the terms themselves
+    count, pos = np.zeros(1 << BITS, dtype=np.int64), np.zeros(1 << BITS)
+    docs = [(i, min(i + 500, len(y))) for i in range(0, len(y), 500)]
+    row_of = lambda i, j: np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
+    for i, j in docs:
+        part = t[at[i] : at[j]]
+        count += np.bincount(part, minlength=1 << BITS)
+        pos += np.bincount(part, y[row_of(i, j)], 1 << BITS)
+    share = pos.sum() / max(count.sum(), 1)
     tells = np.abs(pos - count * share) / np.sqrt(count * share * (1 - share) + 1e-9)
     keep = count >= least
     if keep.sum() > TERMS:
         keep &= tells >= np.partition(tells[keep], -TERMS)[-TERMS]
-    renumber = np.cumsum(keep) - 1
-    ok = keep[inverse]
-    cols, rows = renumber[inverse[ok]], row[ok]
-    at = np.searchsorted(rows, np.arange(len(y) + 1))
-    known = known[keep]
+    known = np.flatnonzero(keep)
+    renumber = np.cumsum(keep, dtype=np.int32) - 1
+    picked = [(renumber[part[keep[part]]], row_of(i, j)[keep[part]]) for i, j in docs for part in [t[at[i] : at[j]]]]
+    cols = np.concatenate([c for c, _ in picked])
+    at = np.searchsorted(np.concatenate([r for _, r in picked]), np.arange(len(y) + 1))
+    del picked, count, pos, tells, renumber
     p = y.mean()
     rng = np.random.default_rng(seed)
     w = np.zeros(len(known))
@@ -148,10 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         known = known.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(most)
     texts = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
     got = texts.join(F.broadcast(known), id_col).select("text", "label").mapInArrow(_hashed, "terms binary, label int").limit(2 * most).toArrow()
-    rows = sorted(zip(got.column("terms").to_pylist(), got.column("label").to_pylist(), strict=True))
-    parts = [np.frombuffer(t, np.int32).astype(np.int64) for t, _ in rows]
-    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-    return fit(np.concatenate([*parts, np.zeros(0, np.int64)]), at, np.array([y for _, y in rows], dtype=np.float64), **how)
+    packed, labels_ = got.column("terms").to_pylist(), got.column("label").to_numpy()
+    del got
+    order = sorted(range(len(packed)), key=packed.__getitem__)
+    at = np.concatenate([[0], np.cumsum([len(packed[i]) // 4 for i in order])]).astype(np.int64)
+    return fit(np.frombuffer(b"".join(packed[i] for i in order), np.int32), at, labels_[order].astype(np.float64) if order else np.zeros(0), **how)
 
 
 def score(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> DataFrame:
