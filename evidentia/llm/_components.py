@@ -18,6 +18,8 @@ def components(links: DataFrame, scratch: Scratch, tag: str = "cc", most: int =
     """
     e = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.table(f"{tag}0", e)
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     for k in range(1, most + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -8,6 +8,7 @@ spark.checkpoint.dir; only where that is unset (tests) is one made here.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,11 @@ class Scratch:
         df.write.option("compression", "zstd").mode("errorifexists").parquet(self.path(name))
         return self.read(name, df)
 
+    def sweep(self) -> None:
+        """Lets Spark delete the shuffle files of steps that are done: it does so when their plans are collected as garbage, else at some later time."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 

@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: tuple[int, int] =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of `docs` that near_duplicates keeps, with all their columns; copies of a kept row (same id) stay one row."""
+    """The rows of `docs` that near_duplicates keeps, with all their columns; repeated rows of a kept id, and rows with a null id, all stay."""
     gone = near_duplicates(docs, id_col=id_col, **how).where(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti")
 

@@ -108,13 +108,17 @@ def dedup_windows(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
             h1, h2 = B.window_hashes(w.hash, window)[at], B.window_hashes(w.hash, window, salt=1)[at]
             out, later = K.window_rows(b, n, 1, at, w.doc[at], w.first[:-1], h1, h2)
             if later.size:
-                out.append((0, 0, b.block, None, None, later.astype(np.uint32).tobytes(), None, None))
+                out.append((0, b.block % n, b.block, None, None, later.astype(np.uint32).tobytes(), None, None))
             yield K.batch_of(out, _SENT)
 
-    sent = scratch.table("sent", K.with_sent(rows, seen).mapInArrow(extend, K.WINDOWS))
-    late = K.later_windows(sent.where("kind = 1"), n).unionByName(sent.where("kind = 0").select("block", F.col("at").alias("places")))
-    late = scratch.table("late", late)
-    scratch.drop("sent")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "h1", "h2", "at", "doc_at", "ids", "kind")), strict=True)]
+        later = K.later_windows([r[:6] for r in rows if r[6] == 1]) + [(r[0], r[3]) for r in rows if r[6] == 0]
+        yield K.places_out([(block, at, window) for block, at in later])
+
+    sent = K.with_sent(rows, seen).mapInArrow(extend, K.WINDOWS)
+    late = scratch.table("late", sent.repartition(n, "bucket").mapInArrow(meet, K.PLACES))
+    scratch.sweep()
     names = docs.columns
     t = names.index(text_col)
 
@@ -137,7 +141,7 @@ def dedup_windows(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
                 joined = b" ".join(ws)
                 digests.append(hashlib.sha256(joined).hexdigest())
                 texts.append(joined.decode() if n_removed[i] else old[i])
-            cols = [b.rows.field(c) for c in names]
+            cols = list(b.rows.columns)
             cols[t] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words), pa.array(n_removed), pa.array(digests, pa.string())], names=[*names, "n_words", "n_removed", "kept_sha256"])
 
