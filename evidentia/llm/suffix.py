@@ -31,38 +31,64 @@ ARRAY_BYTES = 1 << 20
 # ---- enhanced suffix array ---------------------------------------------------
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes of several texts in one buffer, in order up to `depth` bytes or their text's end, by prefix doubling.
+#: Bytes that the first ranks tell apart: as many as fit 63 bits, nine for a byte or an end.
+FIRST = 7
 
-    Returns the order, and for each level j the rank of each suffix's first 2**j bytes (a text's end differs from any other byte and end).
+
+def suffix_array(text: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes of `least` bytes or more of several texts in one buffer, in order (none crosses its text's end), and the ranks that sort them.
+
+    Prefix doubling from ranks of seven bytes up to half of `least` at most ranks all suffixes; longer
+    prefixes are told apart a block of that length at a time, and only for suffixes that are long enough.
     """
     n = len(text)
     doc_end = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    levels = [text.astype(np.int64) + 1]
-    size = 1
-    while size < depth:
-        rank = levels[-1]
-        ahead = np.zeros(n, dtype=np.int64)
-        nxt = np.arange(n) + size
-        inside = nxt < doc_end
-        ahead[inside] = rank[nxt[inside]]
-        _, new = np.unique(rank << 32 | ahead, return_inverse=True)
-        levels.append(new + 1)
+    here = np.arange(n)
+
+    def ahead(values: np.ndarray, at: np.ndarray, by: int) -> np.ndarray:
+        inside = at + by < doc_end[at]
+        return np.where(inside, values[np.where(inside, at + by, 0)], 0)
+
+    byte = text.astype(np.int64) + 1
+    packed = byte.copy()
+    for j in range(1, FIRST):
+        packed = packed << 9 | ahead(byte, here, j)
+    levels = [np.unique(packed, return_inverse=True)[1] + 1]
+    size = FIRST
+    while size * 2 <= least:
+        levels.append(np.unique(levels[-1] << 32 | ahead(levels[-1], here, size), return_inverse=True)[1] + 1)
         size *= 2
-    return np.argsort(levels[-1], kind="stable"), levels
+    long = np.flatnonzero(doc_end - here >= least)
+    rank, upto = levels[-1][long], size
+    longest = int((doc_end[long] - long).max()) if long.size else 0
+    while upto < longest:
+        rank = np.unique(rank << 32 | ahead(levels[-1], long, upto), return_inverse=True)[1]
+        upto += size
+    return long[np.argsort(rank, kind="stable")], levels
 
 
-def common_prefixes(order: np.ndarray, levels: list[np.ndarray], doc_end: np.ndarray) -> np.ndarray:
+def common_prefixes(text: np.ndarray, order: np.ndarray, levels: list[np.ndarray], doc_end: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each suffix in order with the one before (0 for the first), inside their texts."""
-    a, b = order[:-1].copy(), order[1:].copy()
+    a, b = order[:-1], order[1:]
     out = np.zeros(len(order), dtype=np.int64)
-    room = np.minimum(doc_end[order[:-1]] - a, doc_end[order[1:]] - b)
+    room = np.minimum(doc_end[a] - a, doc_end[b] - b)
     got = np.zeros(len(a), dtype=np.int64)
-    for j in range(len(levels) - 1, -1, -1):
-        for _ in range(2 if j == len(levels) - 1 else 1):
-            fits = got + (1 << j) <= room
-            i, k = np.where(fits, a + got, 0), np.where(fits, b + got, 0)
-            got += np.where(fits & (levels[j][i] == levels[j][k]), 1 << j, 0)
+
+    def grow(values: np.ndarray, size: int) -> bool:
+        at = np.flatnonzero(got + size <= room)
+        at = at[values[a[at] + got[at]] == values[b[at] + got[at]]]
+        got[at] += size
+        return bool(at.size)
+
+    while grow(levels[-1], FIRST << (len(levels) - 1)):
+        live = got < room
+        if not live.any():
+            break
+    # a pair that fell behind the first block must not jump: lower levels only fill up to the next block
+    for j in range(len(levels) - 2, -1, -1):
+        grow(levels[j], FIRST << j)
+    for _ in range(FIRST - 1):
+        grow(text, 1)
     out[1:] = got
     return out
 
@@ -91,9 +117,11 @@ def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, list[
         return
     text = np.frombuffer(b"".join(texts), dtype=np.uint8)
     starts = np.concatenate([[0], ends[:-1]])
-    order, levels = suffix_array(text, ends, max(len(t) for t in texts))
+    order, levels = suffix_array(text, ends, least)
+    if len(order) < 2:
+        return
     which = np.repeat(np.arange(len(texts)), ends - starts)
-    lcp = common_prefixes(order, levels, ends[which])
+    lcp = common_prefixes(text, order, levels, ends[which])
     # the byte before each suffix; below zero and all different at the start of a text
     before = np.empty(len(text), dtype=np.int64)
     before[1:] = text[:-1]
@@ -138,50 +166,73 @@ class _Picks:
         new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1
-        return at[first] + base, starts[first] + base, starts[last] + base, doc[first] + doc0, grams[at[first]]
+        return at[first] + base, starts[first] + base, starts[last] + base, doc[first] + doc0, B.mix(grams[at[first]])  # least hashes are small: mixed anew, they fill all buckets
 
 
-_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("h1", "h2", "at", "doc_at", "ids")), ("texts", pa.list_(pa.binary()))])
+_SENT = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("h1", "h2", "at", "doc_at", "ids")), ("texts", pa.binary())])
 
 
-def _spans_out(out: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["block", "spans"])
+def pack_texts(texts: list[bytes]) -> bytes:
+    return K.pack(pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["t"]))
 
 
-def _contexts_meet(length: int):
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "h1", "at", "ids", "texts")), strict=True)]
-        if not rows:
-            return
-        gone: dict[int, list[int]] = {}
-        firsts: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        for block, h1, at, ids, texts in rows:
-            for key, place, doc, text in zip(np.frombuffer(h1, np.uint64).tolist(), np.frombuffer(at, np.uint32).tolist(), np.frombuffer(ids, np.int64).tolist(), texts, strict=True):
-                mine = (doc, block, place)
-                old = firsts.setdefault((key, text), mine)
-                if old is not mine:
-                    early, late = (old, mine) if old < mine else (mine, old)
-                    firsts[key, text] = early
-                    gone.setdefault(late[1], []).extend((late[2], len(text)))
-        by_key: dict[int, list[tuple[bytes, tuple[int, int, int]]]] = {}
-        for (key, text), place in firsts.items():
-            by_key.setdefault(key, []).append((text, place))
-        pool: list[tuple[bytes, tuple[int, int, int]]] = []
-        size = 0
-        groups = [g for g in by_key.values() if len(g) > 1]
-        for g in [*groups, None]:
-            if pool and (g is None or size > ARRAY_BYTES):
-                for n, where in maximal_repeats([t for t, _ in pool], length):
-                    places = sorted((pool[t][1][0], pool[t][1][1], pool[t][1][2] + start) for t, start in where)
-                    for _, block, start in places[1:]:
-                        gone.setdefault(block, []).extend((start, n))
-                pool, size = [], 0
-            if g is not None:
-                pool += g
-                size += sum(len(t) for t, _ in g)
-        yield _spans_out([(block, np.array(x, dtype=np.uint32).tobytes()) for block, x in gone.items()])
-
-    return meet
+def unpack_texts(packed: bytes) -> list[bytes]:
+    return pa.ipc.open_stream(packed).read_next_batch().column(0).to_pylist()
+
+
+def _meet(group: dict[bytes, tuple[int, int, int]], text: bytes, place: tuple[int, int, int], gone: dict[int, list[int]]) -> None:
+    """Enters a text at a place into a group; of equal ones the earliest stays, the others are removed."""
+    old = group.setdefault(text, place)
+    if old is not place:
+        if place < old:
+            group[text], old, place = place, place, old
+        gone.setdefault(place[1], []).extend((place[2], len(text)))
+
+
+def contexts_meet(rows: list[tuple], length: int, k: int) -> dict[int, list[int]]:
+    """Removed runs (start, length, start, length, ...) for each block, of contexts in rows (block, keys, starts, places of k-grams, ids, texts).
+
+    Equal contexts meet first.  Where several differ, the windows of each are parted by whether they hold half
+    of what surrounds the k-gram on its left or else on its right; only those that agree on that half
+    as well come into a suffix array together.
+    """
+    gone: dict[int, list[int]] = {}
+    groups: dict[int, dict[bytes, tuple[int, int, int]]] = {}
+    grams: dict[int, dict[bytes, int]] = {}
+    for block, h1, at, gram, ids, texts in rows:
+        for key, place, g, doc, text in zip(*(np.frombuffer(x, t).tolist() for x, t in ((h1, np.uint64), (at, np.uint32), (gram, np.uint32), (ids, np.int64))), unpack_texts(texts), strict=True):
+            _meet(groups.setdefault(key, {}), text, (doc, block, place), gone)
+            grams.setdefault(key, {})[text] = g - place
+    half = (length - k) // 2
+    pool: list[tuple[bytes, tuple[int, int, int]]] = []
+    size = 0
+
+    def close() -> None:
+        for n, where in maximal_repeats([t for t, _ in pool], length):
+            places = sorted((pool[t][1][0], pool[t][1][1], pool[t][1][2] + start) for t, start in where)
+            for _, block, start in places[1:]:
+                gone.setdefault(block, []).extend((start, n))
+
+    for key, group in groups.items():
+        if len(group) < 2:
+            continue
+        sides: dict[tuple[bool, bytes], dict[bytes, tuple[int, int, int]]] = {}
+        for text, (doc, block, place) in group.items():
+            g = grams[key][text]
+            if g >= half:
+                _meet(sides.setdefault((True, text[g - half : g + k]), {}), text[: g - half + length], (doc, block, place), gone)
+            lo = max(0, g - half + 1)
+            if lo + length <= len(text):
+                _meet(sides.setdefault((False, text[g : g + k + half]), {}), text[lo:], (doc, block, place + lo), gone)
+        for side in sides.values():
+            if len(side) > 1:
+                pool += side.items()
+                size += sum(map(len, side))
+        if size > ARRAY_BYTES:
+            close()
+            pool, size = [], 0
+    close()
+    return gone
 
 
 def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +247,7 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
     rows that share an id rank as they are stored.  Input columns named as one of
     those added are replaced.
 
-    At scale: the same k-gram in more than 32 blocks (a third of all rows may share one)
+    At scale: the same k-gram in more than HOT_BLOCKS blocks (a third of all rows may share one)
     would gather its contexts in one task; windows of such hot picks go
     by the hash of the whole window instead, each block sending one of a kind.
     `length` is 48 at least: a shorter one leaves no room for k-grams.
@@ -228,7 +279,7 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
                 more, later = K.window_rows(b, n_meet, 1, at, doc, b.offsets[:-1], h1, h2)
                 out += [(*r, None) for r in more]
                 if later.size:
-                    out.append((0, 0, b.block, None, None, np.column_stack([later, np.full(len(later), length)]).astype(np.uint32).tobytes(), None, None, None))
+                    out.append((0, b.block % n_meet, b.block, None, None, np.column_stack([later, np.full(len(later), length)]).astype(np.uint32).tobytes(), None, None, None))
             cold = np.flatnonzero(again & ~hot)
             order = K.doc_order(b, p.doc[cold])
             cold = cold if order is None else cold[order]
@@ -238,7 +289,7 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
                 if mine.setdefault((key, b.data[lo : hi + length].tobytes()), i) != i:
                     gone += (lo, hi + length - lo)
             if gone:
-                out.append((0, 0, b.block, None, None, np.array(gone, dtype=np.uint32).tobytes(), None, None, None))
+                out.append((0, b.block % n_meet, b.block, None, None, np.array(gone, dtype=np.uint32).tobytes(), None, None, None))
             if mine:
                 kept = np.fromiter(mine.values(), np.int64, len(mine))
                 keys = p.keys[kept]
@@ -247,16 +298,20 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
                 cut = np.searchsorted(K.bucket_of(keys, n_meet), np.arange(n_meet + 1))
                 for j in np.flatnonzero(np.diff(cut)).tolist():
                     s = slice(cut[j], cut[j + 1])
-                    out.append((2, j, b.block, keys[s].tobytes(), None, p.lo[kept[s]].astype(np.uint32).tobytes(), None, b.ids[p.doc[kept[s]]].tobytes(), [texts[o] for o in order[s].tolist()]))
+                    out.append((2, j, b.block, keys[s].tobytes(), None, p.lo[kept[s]].astype(np.uint32).tobytes(), p.at[kept[s]].astype(np.uint32).tobytes(), b.ids[p.doc[kept[s]]].tobytes(), pack_texts([texts[o] for o in order[s].tolist()])))
             if out:
                 yield K.batch_of(out, _SENT)
 
-    sent = scratch.table("sent", K.with_sent(rows, seen).mapInArrow(send, K.WINDOWS + ", texts array<binary>"))
-    found = sent.where("kind = 2").select("bucket", "block", "h1", "at", "ids", "texts").repartition(n_meet, "bucket").mapInArrow(_contexts_meet(length), "block bigint, spans binary")
-    hot = K.later_windows(sent.where("kind = 1").drop("texts"), n_meet).select("block", F.col("places").alias("spans"), F.lit(length).alias("size"))
-    gone = found.unionByName(sent.where("kind = 0").select("block", F.col("at").alias("spans"))).withColumn("size", F.lit(0)).unionByName(hot)
-    gone = scratch.table("gone", gone)
-    scratch.drop("sent")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "h1", "h2", "at", "doc_at", "ids", "kind", "texts")), strict=True)]
+        out = [(r[0], r[3], 0) for r in rows if r[6] == 0]
+        out += [(block, at, length) for block, at in K.later_windows([r[:6] for r in rows if r[6] == 1])]
+        gone = contexts_meet([(r[0], r[1], r[3], r[4], r[5], r[7]) for r in rows if r[6] == 2], length, k)
+        yield K.places_out([*out, *((block, np.array(x, dtype=np.uint32).tobytes(), 0) for block, x in gone.items())])
+
+    sent = K.with_sent(rows, seen).mapInArrow(send, K.WINDOWS + ", texts binary")
+    gone = scratch.table("gone", sent.repartition(n_meet, "bucket").mapInArrow(meet, K.PLACES))
+    scratch.sweep()
     names = docs.columns
     t = names.index(text_col)
 
@@ -264,7 +319,7 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
         for b, sent in K.each(batches, id_col, text_col):
             mark = np.zeros(len(b.data) + 1, dtype=np.int32)
             for r in sent:
-                x = np.frombuffer(r["spans"], np.uint32).astype(np.int64)
+                x = np.frombuffer(r["places"], np.uint32).astype(np.int64)
                 lo, size = (x, r["size"]) if r["size"] else (x[0::2], x[1::2])
                 np.add.at(mark, lo, 1)
                 np.add.at(mark, lo + size, -1)
@@ -291,14 +346,14 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
             n_all = np.diff(b.offsets)
             doc = np.searchsorted(b.offsets, begin, side="right") - 1
             spans = pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), pa.StructArray.from_arrays([pa.array(begin - b.offsets[doc]), pa.array(end - begin)], names=["start", "length"]))
-            cols = [b.rows.field(c) for c in names]
+            cols = list(b.rows.columns)
             cols[t] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_all), pa.array(n_all - np.diff(kept_n)), pa.array(np.diff(span_at)), spans, pa.array(digests, pa.string())], names=[*names, *added])
 
     long = T.LongType()
     span = T.ArrayType(T.StructType([T.StructField("start", long), T.StructField("length", long)]))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, x) for c, x in zip(added, (long, long, long, span, T.StringType()), strict=True))])
-    gone = gone.groupBy("block").agg(F.collect_list(F.struct("spans", "size")).alias("sent"))
+    gone = gone.groupBy("block").agg(F.collect_list(F.struct("places", "size")).alias("sent"))
     return K.with_sent(rows, gone).mapInArrow(cut_out, schema)
 
 
