@@ -27,42 +27,80 @@ CLASSES = 32
 GATHER = 2_000_000
 #: Words whose ids a worker remembers.
 REMEMBER = 400_000
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(b".,;:!?")] = True
+
+
 class Words:
-    """Ids of whole texts, by words: the tokenizer splits at white space before anything else, so a text's ids are those of its words in a row."""
+    """Ids of whole texts, by words: the tokenizer lowers case and splits at white space, and between letters and punctuation, before it merges, so a text's ids are those of its pieces in a row."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)  # in order
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has. Words of letters alone go together, for they end in ids that end a word."""
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        made: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
+        groups = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        single = sorted(set(range(len(words))) - set(plain))
+        for group, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group):  # letters to one side, not to the other
+                single += group
+                continue
+            for i, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                made[i] = ids[a:b]
+        for i, x in zip(single, self.tokenizer.encode_batch_fast([words[i] for i in single], add_special_tokens=False), strict=True):
+            made[i] = np.array(x.ids, dtype=np.uint32)
+        return np.concatenate([*made, np.zeros(0, np.uint32)]), np.array([len(x) for x in made], dtype=np.int64)
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, one after the other, and where each text's begin."""
-        s, e, first = B.words(data, offsets)
-        keys, one, which = np.unique(B.span_hashes(data, s, e), return_index=True, return_inverse=True)
+        if not (data == ord("<")).any():  # names of special tokens mind case
+            data = B.lower_ascii(data)
+        s, e, _ = B.words(data, offsets)
+        cut = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
+        cut = cut[~np.isin(cut, offsets)]  # not where a text starts
+        s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
+        first = np.searchsorted(s, offsets)
+        hashes = B.span_hashes(data, s, e)
+        order = np.argsort(hashes)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        keys, one = hashes[order[new]], order[new]
+        which = np.empty(len(order), dtype=np.int64)
+        which[order] = np.cumsum(new) - 1
         if len(self.keys) > REMEMBER:
             self.clear()
         pos = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
         if len(self.keys):
             known = self.keys[np.minimum(pos, len(self.keys) - 1)] == keys
-        new = np.flatnonzero(~known)
-        if new.size:
-            raw = [data[a:b].tobytes().decode() for a, b in zip(s[one[new]].tolist(), e[one[new]].tolist(), strict=True)]
-            ids = [x.ids for x in self.encode(raw, add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], dtype=np.int64)
+        fresh = np.flatnonzero(~known)
+        if fresh.size:
+            raw = data.tobytes()
+            ids, size = self._encode([raw[a:b].decode() for a, b in zip(s[one[fresh]].tolist(), e[one[fresh]].tolist(), strict=True)])
             at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))])
-            self.keys, self.at, self.size = (np.insert(old, pos[new], x) for old, x in ((self.keys, keys[new]), (self.at, at), (self.size, size)))
+            self.ids = np.concatenate([self.ids, ids])
+            self.keys, self.at, self.size = (np.insert(old, pos[fresh], x) for old, x in ((self.keys, keys[fresh]), (self.at, at), (self.size, size)))
             pos = np.searchsorted(self.keys, keys)
         at, size = self.at[pos][which], self.size[pos][which]
         out = self.ids[B.ranges(at, size)]
@@ -144,7 +182,7 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, id_col: str =
     sequence to it, if its length is no power of two.  Rows with a null id and repeated rows are
     packed like others.  Other columns are ignored.
 
-    `tokenizer` is the path of a `tokenizers` file on every worker; it must split at ASCII white space before merging.
+    `tokenizer` is the path of a `tokenizers` file on every worker; it must lower case, and split at ASCII white space and between letters and punctuation, before merging.
     sequence_id holds the worker's partition in its upper bits, so workers agree without talking and a task that is run
     again gives the same ids.  A worker holds GATHER tokens, or one longer document.
     """
