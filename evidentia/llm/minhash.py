@@ -163,12 +163,14 @@ def _open(members: DataFrame, label: DataFrame, scratch: Scratch, tag: str) -> D
     rest = members.where("rep <> c").join(label, F.col("rep") == F.col("node"), "left").select("k", "rep", F.coalesce("root", "rep").alias("label"))
     rest = scratch.table(f"{tag}-rest", rest)
     sign = F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sign")
+    # what is summed up by bucket or group is written before it meets the members: Spark can then split a hot key of the join
     several = rest.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), sign).where("lo < hi")
-    live = rest.join(several.groupBy("n", "sign").agg(F.min("k").alias("k")).select("k"), "k")
+    several = scratch.table(f"{tag}-several", several.groupBy("n", "sign").agg(F.min("k").alias("k")).select("k"))
+    live = scratch.table(f"{tag}-live", rest.join(several, "k"))
     sizes = live.groupBy("k", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    main = scratch.table(f"{tag}-main", sizes.groupBy("k").agg(F.max(F.struct("n", "label"))["label"].alias("main")))
     merged = scratch.table(f"{tag}-merged", live.join(main, "k").select(F.col("main").alias("k"), "rep", "label", (F.col("label") == F.col("main")).alias("own")).distinct())
-    count = merged.groupBy("k").agg(F.count_if("own").alias("inner"), F.count_if(~F.col("own")).alias("outer"))
+    count = scratch.table(f"{tag}-count", merged.groupBy("k").agg(F.count_if("own").alias("inner"), F.count_if(~F.col("own")).alias("outer")))
     out = merged.join(count, "k")
     return scratch.table(f"{tag}-open", out)
 
