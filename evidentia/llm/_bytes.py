@@ -7,6 +7,8 @@ about Spark.  Temporary arrays stay within a few times the size of one slice.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -80,6 +82,13 @@ def cuts(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` bytes in a string or binary column: what becomes Python objects at one time stays small."""
+    _, offsets = flat(batch.column(column))
+    for i, j in cuts(offsets, most):
+        yield batch.slice(i, j - i)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

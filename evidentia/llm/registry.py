@@ -28,4 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": minhash.OP1_SQL, "op2_substring_dedup": substring.OP2_SQL, "op3_warc_archive": warc.OP3_SQL, "op9_embedding_near_dedup": embeddings.OP9_SQL}
+    return {
+        "op1_minhash_near_dedup": minhash.OP1_SQL,
+        "op2_substring_dedup": substring.OP2_SQL,
+        "op3_warc_archive": warc.OP3_SQL,
+        "op9_embedding_near_dedup": embeddings.OP9_SQL,
+    }

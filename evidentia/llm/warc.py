@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _bytes as B
 from ._scratch import Scratch
 
 #: Date of records whose source has none.
@@ -35,14 +36,19 @@ def _bytes(x: str | None) -> bytes:
     return (x or "").encode()
 
 
-def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        yield from B.slices(batch, batch.schema.get_field_index(column))
+
+
+def _light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches, "html"):
         raw = [_bytes(h) for h in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([hashlib.sha256(r).digest() for r in raw], pa.binary()), pa.array([base64.b32encode(hashlib.sha1(r).digest()).decode() for r in raw], pa.string()), pa.array([len(r) for r in raw], pa.int64())], schema=_LIGHT)
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches, "html"):
         raw = [_bytes(h) for h in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(r).digest() for r in raw], pa.binary()), pa.array(raw, pa.binary())], names=["page_id", "address", "payload"])
 
@@ -99,7 +105,8 @@ def write_archive(pages: DataFrame, scratch: Scratch, *, least: int = 0, id_col:
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(text, pa.string()), b.column("address"), pa.array(["revisit" if r else "response" for r in cols["revisit"]], pa.string()), b.column("refers_to")], names=["page_id", "header", "address", "record_type", "refers_to"])
 
     records = scratch.table("records", known.mapInArrow(heads, "page_id bigint, header string, address binary, record_type string, refers_to bigint"))
-    again = known.where("revisit").select("page_id", "address").distinct()
+    # written, so that Spark knows its size: where few rows revisit, it is sent to the payloads and they stay where they are
+    again = scratch.table("again", known.where("revisit").select("page_id", "address").distinct())
     stored = rows.select("page_id", "html").mapInArrow(_payloads, "page_id bigint, address binary, payload binary")
     stored = stored.join(again, [stored["page_id"].eqNullSafe(again["page_id"]), stored["address"] == again["address"]], "left_anti")
     twice = known.where("not revisit").groupBy("address").count().where("count > 1")
@@ -108,21 +115,41 @@ def write_archive(pages: DataFrame, scratch: Scratch, *, least: int = 0, id_col:
     return Archive(scratch.table("objects", stored.select("address", "payload")), records)
 
 
-def reconstruct(archive: Archive) -> DataFrame:
-    """(page_id, record): each original record, header and block as bytes without the two line ends behind it. Payloads whose digest is not their address fail."""
+_READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, head, kind, address, payload in zip(*(b.column(c).to_pylist() for c in ("page_id", "header", "record_type", "address", "payload")), strict=True):
-                if kind == "response" and (payload is None or hashlib.sha256(payload).digest() != address):
-                    raise ValueError(f"page {i}: its payload is missing or isn't what its address says")
-                out.append((i, head.encode() + (payload if kind == "response" else b"")))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["page_id", "record"])
 
+def _put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _parts(batches, "payload"):
+        out = []
+        for i, head, kind, address, payload in zip(*(b.column(c).to_pylist() for c in ("page_id", "header", "record_type", "address", "payload")), strict=True):
+            if kind == "response" and (payload is None or hashlib.sha256(payload).digest() != address):
+                raise ValueError(f"page {i}: its payload is missing or isn't what its address says")
+            out.append((i, head.encode() + (payload if kind == "response" else b"")))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], names=["page_id", "record"])
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _parts(batches, "record"):
+        out = []
+        for record in b.column(b.schema.get_field_index("record")).to_pylist():
+            fields, payload = parse(record)
+            stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            kind = fields["WARC-Type"]
+            if kind == "response" and (got := base64.b32encode(hashlib.sha1(payload).digest()).decode()) != stated:
+                raise ValueError(f"{fields['WARC-Record-ID']}: payload digest {got}, {stated} stated")
+            out.append((_number(fields["WARC-Record-ID"]), len(payload) if kind == "response" else None, stated, kind, _number(fields.get("WARC-Refers-To"))))
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+def _joined(archive: Archive) -> DataFrame:
     plain = archive.records.where("record_type = 'response'").join(archive.objects, "address", "left")
     empty = archive.records.where("record_type = 'revisit'").withColumn("payload", F.lit(None).cast("binary"))
-    return plain.unionByName(empty).select("page_id", "header", "record_type", "address", "payload").mapInArrow(put, "page_id bigint, record binary")
+    return plain.unionByName(empty).select("page_id", "header", "record_type", "address", "payload")
+
+
+def reconstruct(archive: Archive) -> DataFrame:
+    """(page_id, record): each original record, header and block as bytes without the two line ends behind it. Payloads whose digest is not their address fail."""
+    return _joined(archive).mapInArrow(_put, "page_id bigint, record binary")
 
 
 def read_records(records: DataFrame) -> DataFrame:
@@ -130,20 +157,12 @@ def read_records(records: DataFrame) -> DataFrame:
 
     A revisit carries no payload; its digest is the header's and its bytes are null.
     """
+    return records.mapInArrow(_look, _READ)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for record in b.column(b.schema.get_field_index("record")).to_pylist():
-                fields, payload = parse(record)
-                stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                kind = fields["WARC-Type"]
-                if kind == "response" and (got := base64.b32encode(hashlib.sha1(payload).digest()).decode()) != stated:
-                    raise ValueError(f"{fields['WARC-Record-ID']}: payload digest {got}, {stated} stated")
-                out.append((_number(fields["WARC-Record-ID"]), len(payload) if kind == "response" else None, stated, kind, _number(fields.get("WARC-Refers-To"))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return records.mapInArrow(look, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+def read_archive(archive: Archive) -> DataFrame:
+    """read_records of the reconstructed records, in one pass of one worker."""
+    return _joined(archive).mapInArrow(lambda batches: _look(_put(batches)), _READ)
 
 
 def resolve_revisits(read: DataFrame, scratch: Scratch) -> DataFrame:
@@ -180,7 +199,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     archive = write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch)
-    return resolve_revisits(read_records(reconstruct(archive)), scratch)
+    return resolve_revisits(read_archive(archive), scratch)
 
 
 OP3_SQL = """
