@@ -263,7 +263,7 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
     n_bytes = rows.agg(F.sum("n_bytes")).first()[0] or 0
     n = K.bucket_count(n_bytes / 35, scratch)
     seen = K.repeated(rows, scratch, lambda b: _Picks(b, length, k).keys, n, id_col, text_col)
-    n_meet = max(n, int(n_bytes / (16 << 20)) + 1)
+    n_meet = max(n, int(n_bytes / (8 << 20)) + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sent in K.each(batches, id_col, text_col):
