@@ -1,11 +1,8 @@
 """Benchmark passages in documents, also slightly edited ones.
 
-Item-sized windows of a document and the item are embedded by random
-walks (CGK): a walk copies the byte it stands on and steps on or not by a coin that the step and
-the byte decide, so after an insertion or deletion two walks fall into step again
-and edit distance becomes Hamming distance.  Samples of places of the
-embeddings are compared, again and again with other coins; windows that agree on
-one sample are verified by exact edit distance.
+An item that may differ by k edits is cut into k + 1 pieces, one of which every place that counts holds
+untouched.  Where a piece stands in a document, its neighbour is looked at, then the group of pieces around it,
+each with the edits that it may have; what is left is verified by exact edit distance.  No step loses a place.
 """
 
 from __future__ import annotations
@@ -19,13 +16,13 @@ from pyspark.sql import functions as F
 
 from . import _bytes as B
 
-#: Walks of each string; samples of each walk; places in a sample.
-WALKS, SAMPLES, PLACES = 6, 40, 3
-#: Words in a seed.
-SEED = 3
 #: Bytes of item texts that are sent to the executors at one time.
 ITEM_BYTES = 16 << 20
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Candidates that are looked at in step.
+BLOCK = 1 << 13
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 _FOLD = np.arange(256, dtype=np.uint8)
 for _c in range(128):
@@ -44,36 +41,6 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return x[at], np.searchsorted(at, offsets), at
 
 
-def walks(texts: list[bytes], steps: int, seed: int = 5) -> np.ndarray:
-    """(texts, WALKS, steps): the embedding of each text by each walk; zero past its end."""
-    rng = np.random.default_rng(seed)
-    coins = rng.integers(0, 2, (steps, WALKS, 256), dtype=np.int64)
-    size = np.array([len(t) for t in texts])
-    at = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
-    flat = np.zeros(int(size.sum()) + len(texts), dtype=np.uint8)
-    flat[B.ranges(at, size)] = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    place = np.repeat(at[:, None], WALKS, 1)
-    end = (at + size)[:, None]
-    out = np.empty((steps, len(texts), WALKS), dtype=np.uint8)
-    which = np.arange(WALKS)[None, :]
-    for j in range(steps):
-        c = flat[place]
-        out[j] = c
-        place = np.minimum(place + coins[j][which, c], end)
-    return out.transpose(1, 2, 0)
-
-
-def keys(embedded: np.ndarray, lengths: np.ndarray, seed: int = 6) -> np.ndarray:
-    """(texts, WALKS, SAMPLES) hashes of samples, spread over the first two steps per byte of each text's length."""
-    unit = np.random.default_rng(seed).random((WALKS, SAMPLES, PLACES))
-    out = np.zeros((len(lengths), WALKS, SAMPLES), dtype=np.uint64)
-    row, walk = np.arange(len(lengths))[:, None, None], np.arange(WALKS)[None, :, None]
-    for p in range(PLACES):
-        place = (unit[None, :, :, p] * (2 * lengths)[:, None, None]).astype(np.int64)
-        out = out * np.uint64(257) + embedded[row, walk, place]
-    return out
-
-
 def edit_search(masks: dict[int, int], m: int, text: bytes, anchored: bool = False) -> tuple[int, int]:
     """(least distance, end): the pattern against substrings of text that end there, or against prefixes if anchored; bit-parallel, exact."""
     full, high = (1 << m) - 1, 1 << (m - 1)
@@ -101,54 +68,163 @@ def _masks(pattern: bytes) -> dict[int, int]:
 
 
 class _Items:
+    """Folded items cut into pieces and groups of pieces, so that no place within an item's distance k is missed.
+
+    An item has k + 1 pieces: k edits leave one untouched.  Of groups of pieces one has fewer edits than pieces,
+    and so has, within it, one pair of pieces (or three, if the group's count is odd).
+    """
+
     def __init__(self, rows: list[tuple[int, str]], ratio: float, least_words: int):
         data, offsets, _ = fold(*B.flat(pa.array([t for _, t in rows], pa.string())))
         texts = [data[a:b].tobytes().strip() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        chosen = [i for i, t in enumerate(texts) if len(t.split()) >= max(least_words, SEED)]
+        chosen = [i for i, t in enumerate(texts) if t and len(t.split()) >= least_words]
         self.ids, self.texts = [rows[i][0] for i in chosen], [texts[i] for i in chosen]
+        self.short = [_words(t) < least_words for t in self.texts]
         self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
-        self.most = (self.size * ratio).astype(np.int64)
-        flat, at = B.flat(pa.array(self.texts, pa.binary()))
-        s, e, first = B.words(flat, at)
-        self.words = np.diff(first)
-        runs = B.window_hashes(B.span_hashes(flat, s, e), SEED)
-        n = np.maximum(self.words - SEED + 1, 0)
-        where = B.ranges(first[:-1], n)
-        item = np.repeat(np.arange(len(n)), n)
-        seeds = runs[where] if where.size else np.zeros(0, np.uint64)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.item, self.place = seeds[order], item[order], (where - first[item])[order]
-        self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[(self.seeds >> np.uint64(42)).astype(np.int64)] = True
-        steps = int(2 * self.size.max()) + 1 if len(self.size) else 0
-        self.steps, self.keys = steps, keys(walks(self.texts, steps), self.size) if steps else None
+        self.most = np.where(self.short, 0, self.size * ratio).astype(np.int64)
+        self.most = np.minimum(self.most, np.maximum(self.size - 1, 0))
+        by_width: dict[int, list] = {}
+        groups: list[tuple[int, int, int, int]] = []
+        for t, (text, k) in enumerate(zip(self.texts, self.most.tolist(), strict=True)):
+            m = len(text)
+            n = k + 1 + (k % 2 == 0 and k > 0 and m // (k + 2) == m // (k + 1))  # one piece more, if it makes pairs of all and none shorter
+            cut = [m * i // n for i in range(n + 1)]
+            width = min(m // n, 8)
+            parts = -(-n // max(64 // -(-m // n), 1))
+            ends = [n // 2 * i // parts * 2 for i in range(parts)] + [n] if 2 * parts <= n else range(n + 1)
+            for g, top in zip(ends[:-1], ends[1:], strict=True):
+                groups.append((t, cut[g], min(cut[top], cut[g] + 64), top - g - 1))
+                for i in range(g, top):
+                    a, b = cut[i], cut[i + 1]
+                    near = far = 0, 0, 0
+                    alone = top - g == 1 or ((top - g) % 2 and i >= top - 3)
+                    if not alone and (i - g) % 2 == 0:
+                        half = (cut[i + 2] - b) // 2
+                        near, far = _part(text, b, b + min(half, 8), a), _part(text, b + half, min(cut[i + 2], b + half + 8), a)
+                    elif not alone:
+                        half = (a - cut[i - 1]) // 2
+                        near, far = _part(text, max(cut[i - 1] + half, a - 8), a, a), _part(text, cut[i - 1], cut[i - 1] + min(half, 8), a)
+                    by_width.setdefault(width, []).append((int.from_bytes(text[a : a + width], "little"), len(groups) - 1, a, *near, *far))
+        self.pieces = {}
+        for width, pieces in by_width.items():
+            pieces.sort(key=lambda r: r[0])
+            columns = [np.array(c, dtype=np.uint64 if j in (0, 3, 4, 6, 7) else np.int64) for j, c in enumerate(zip(*pieces, strict=True))]
+            bits = min(max(int(len(pieces) * 64).bit_length(), 16), 26)
+            maybe = np.zeros(1 << bits, dtype=bool)
+            maybe[((columns[0] * _MIX) >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.pieces[width] = columns, maybe, np.uint64(64 - bits)
+        self.group = np.array(groups, dtype=np.int64).reshape(-1, 4)
+        self.pattern = np.array([self.texts[t][a:b].ljust(64, b"\0") for t, a, b, _ in groups], dtype="S64").view(np.uint8).reshape(-1, 64)
+
+
+def _words(text: bytes) -> int:
+    """Words; in scripts without spaces two characters (of three bytes or more each) count as one."""
+    return max(len(text.split()), sum(c >= 0xE0 for c in text) // 2)
+
+
+def _part(text: bytes, a: int, b: int, origin: int) -> tuple[int, int, int]:
+    """Bytes, mask of their length and place from the origin."""
+    return int.from_bytes(text[a:b], "little"), (1 << 8 * (b - a)) - 1, a - origin
+
+
+def _near(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, group: np.ndarray, items: _Items) -> np.ndarray:
+    """Whether a group of pieces that should start about `at` is there with fewer edits than pieces, inside [lo, hi): bit-parallel over all candidates."""
+    kinds, which = np.unique(group, return_inverse=True)
+    _, a, b, errors = items.group[kinds].T
+    size = b - a
+    masks, row = np.zeros(len(kinds) << 8, dtype=np.uint64), np.arange(len(kinds)) << 8
+    for j in range(64):
+        masks[row + items.pattern[kinds, j]] |= _BIT[j]
+    masks[row] = 0  # no text holds the byte zero
+    row, e, m = which.astype(np.int64) << 8, errors[which], size[which]
+    first, last = np.maximum(at - e, lo), np.minimum(at + m + e, hi)
+    high, one = _BIT[m - 1], np.uint64(1)
+    pv, mv = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), dtype=np.uint64)
+    now = m.astype(np.int8)
+    best = now.copy()
+    for j in range(int((last - first).max(initial=0))):
+        place = first + j
+        c = np.where(place < last, data[np.minimum(place, len(data) - 1)], 0)
+        eq = masks[row + c]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph, mh = mv | ~(xh | pv), pv & xh
+        now += (ph & high) != 0
+        now -= (mh & high) != 0
+        ph <<= one
+        mh <<= one
+        pv, mv = mh | ~(xv | ph), ph & xv
+        np.minimum(best, now, out=best)
+    return best <= e
+
+
+def _apart(left: str, right: str) -> bool:
+    """Whether a word may end between two characters: not between letters or digits of scripts that write spaces."""
+    return not (left.isalnum() and right.isalnum() and ord(left) < 0x0E00 and ord(right) < 0x0E00)
 
 
 def _finder(items: _Items):
-    def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Texts, items and starting bytes of the windows that a seed calls for, one for each group of close starts."""
-        s, e, first = B.words(data, offsets)
-        runs = B.window_hashes(B.span_hashes(data, s, e), SEED)
-        p = np.flatnonzero(items.maybe[(runs >> np.uint64(42)).astype(np.int64)])
-        lo, hi = np.searchsorted(items.seeds, runs[p], "left"), np.searchsorted(items.seeds, runs[p], "right")
-        j = B.ranges(lo, hi - lo)
-        p = np.repeat(p, hi - lo)
-        doc = np.searchsorted(first, p, side="right") - 1
-        inside = p + SEED <= first[doc + 1]
-        j, p, doc = j[inside], p[inside], doc[inside]
-        item = items.item[j]
-        start = np.maximum(p - items.place[j], first[doc])
-        if not len(start):
-            return start, start, start
-        u, n = np.unique(np.stack([doc, item, start]), axis=1, return_counts=True)
-        doc, item, start = u
-        gap = np.maximum(items.words[item] // 8, 1)
+    def starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, items and implied starting bytes of all places that a group of pieces speaks for."""
+        n = len(data)
+        padded = np.zeros(n + 8, dtype=np.uint8)
+        padded[:n] = data
+        code = np.ndarray((n,), "<u8", padded, strides=(1,)).copy()
+        out = []
+        for width, (columns, maybe, shift) in items.pieces.items():
+            codes, group, place, near, near_mask, near_at, far, far_mask, far_at = columns
+            mine = code & np.uint64((1 << 8 * width) - 1)
+            p = np.flatnonzero(maybe[((mine * _MIX) >> shift).view(np.int64)])
+            lo, hi = np.searchsorted(codes, mine[p], "left"), np.searchsorted(codes, mine[p], "right")
+            j, p = B.ranges(lo, hi - lo), np.repeat(p, hi - lo)
+            ok = (code[np.clip(p + near_at[j], 0, n - 1)] & near_mask[j]) == near[j]
+            rest = np.flatnonzero(~ok)
+            pr, jr = p[rest], j[rest]
+            for s in (-1, 0, 1):
+                ok[rest] |= (code[np.clip(pr + far_at[jr] + s, 0, n - 1)] & far_mask[jr]) == far[jr]
+            out.append((p[ok], group[j[ok]], place[j[ok]]))
+        if not out:
+            return (np.zeros(0, np.int64),) * 3
+        p, group, place = (np.concatenate(c) for c in zip(*out, strict=True))
+        start = p - place
+        doc = np.searchsorted(offsets, p, side="right") - 1
+        _, one = np.unique(((start + n) * len(items.group) + group) * len(offsets) + doc, return_index=True)
+        doc, group, start = doc[one], group[one], start[one]
+        item = items.group[group, 0]
+        keep = items.most[item] == 0  # of these the last step looks at each byte
+        for k in range(0, len(doc), BLOCK):
+            c = slice(k, k + (BLOCK))
+            todo = np.flatnonzero(~keep[c]) + k
+            if len(todo):
+                keep[todo] = _near(data, offsets[doc[todo]], offsets[doc[todo] + 1], start[todo] + items.group[group[todo], 1], group[todo], items)
+        return doc[keep], item[keep], start[keep]
+
+    def windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, item, least and greatest start of each run of close starts, at most twice the item's distance wide."""
+        doc, item, start = starts(data, offsets)
+        if not len(doc):
+            return iter(())
+        order = np.lexsort((start, item, doc))
+        doc, item, start = doc[order], item[order], start[order]
         new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > gap[1:])
-        group = np.cumsum(new) - 1
-        order = np.lexsort((start, -n, group))
-        best = order[np.concatenate([[True], group[order][1:] != group[order][:-1]])]
-        return doc[best], item[best], s[start[best]]
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > items.most[item[1:]])
+        run = np.cumsum(new) - 1
+        part = (start - start[new][run]) // (2 * items.most[item] + 1)
+        new[1:] |= part[1:] != part[:-1]
+        at = np.flatnonzero(new)
+        end = np.append(at[1:], len(doc)) - 1
+        return zip(doc[at].tolist(), item[at].tolist(), start[at].tolist(), start[end].tolist(), strict=True)
+
+    def exact(data: np.ndarray, lo: int, hi: int, a: int, t: int) -> bool:
+        """Whether the item is there byte for byte; a short one must not lie inside a longer word."""
+        b = a + len(items.texts[t])
+        if a < lo or b > hi or data[a:b].tobytes() != items.texts[t]:
+            return False
+        if not items.short[t]:
+            return True
+        text = items.texts[t].decode()
+        before, after = data[max(lo, a - 4) : a].tobytes().decode(errors="ignore"), data[b : min(hi, b + 4)].tobytes().decode(errors="ignore")
+        return (not before or _apart(before[-1], text[0])) and (not after or _apart(text[-1], after[0]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks: dict[int, tuple] = {}
@@ -157,28 +233,24 @@ def _finder(items: _Items):
             out = []
             for i, j in B.cuts(raw_at, CHUNK):
                 data, offsets, back = fold(raw[raw_at[i] : raw_at[j]], raw_at[i : j + 1] - raw_at[i])
-                doc, item, start = windows(data, offsets)
-                if not len(doc):
-                    continue
-                size = items.size[item]
-                texts = [data[a : min(a + n, b)].tobytes() for a, n, b in zip(start.tolist(), size.tolist(), offsets[doc + 1].tolist(), strict=True)]
-                near = np.zeros(len(doc), dtype=bool)
-                for k in range(0, len(doc), 4096):
-                    sl = slice(k, k + 4096)
-                    got = keys(walks(texts[sl], items.steps), size[sl])
-                    near[sl] = (got == items.keys[item[sl]]).any(axis=(1, 2))
-                for d, t, a in zip(doc[near].tolist(), item[near].tolist(), start[near].tolist(), strict=True):
-                    text = items.texts[t]
-                    if t not in masks:
-                        masks[t] = (_masks(text), _masks(text[::-1]))
-                    slack = int(items.most[t])
-                    lo = max(int(offsets[d]), a - 2 * slack)
-                    part = data[lo : min(int(offsets[d + 1]), a + len(text) + 2 * slack)].tobytes()
-                    dist, end = edit_search(masks[t][0], len(text), part)
-                    if dist > slack:
-                        continue
-                    _, length = edit_search(masks[t][1], len(text), part[:end][::-1], anchored=True)
-                    b0, b1 = int(back[lo + end - length]), int(back[lo + end - 1]) + 1
+                for d, t, a, last in windows(data, offsets):
+                    text, slack = items.texts[t], int(items.most[t])
+                    lo, hi = int(offsets[d]), int(offsets[d + 1])
+                    if not slack:
+                        if not exact(data, lo, hi, a, t):
+                            continue
+                        begin, end, dist = a, a + len(text), 0
+                    else:
+                        if t not in masks:
+                            masks[t] = (_masks(text), _masks(text[::-1]))
+                        lo = max(lo, a - slack)
+                        part = data[lo : min(hi, last + len(text) + slack)].tobytes()
+                        dist, end = edit_search(masks[t][0], len(text), part)
+                        if dist > slack:
+                            continue
+                        _, length = edit_search(masks[t][1], len(text), part[:end][::-1], anchored=True)
+                        begin, end = lo + end - length, lo + end
+                    b0, b1 = int(back[begin]), int(back[end - 1]) + 1
                     base = int(raw_at[i + d] - raw_at[i])
                     out.append((batch.column(0)[i + d].as_py(), items.ids[t], b0 - base, b1 - b0, dist))
             out = sorted(set(out), key=str)
@@ -191,12 +263,12 @@ def contaminated(docs: DataFrame, items: DataFrame, *, ratio: float = 0.15, leas
     """One row for each place where a document holds an item: doc_id, item_id, start, length (bytes of the text), distance.
 
     Compared are texts with A-Z lowered and each run of ASCII punctuation and white space as one space;
-    a place counts if its edit distance in bytes is at most `ratio` of the item's length.  Items of fewer than `least_words` words,
-    null ones and those with a null id are passed over; null and empty documents hold none.
+    a place counts if its edit distance in bytes is at most `ratio` of the item's length, and all such places are found (of those
+    that overlap almost wholly, the one with the least distance).  Items of fewer than `least_words`
+    words are passed over.
+    Items without a letter or digit, null ones and those with a null id are passed over; null and empty documents hold none.
     Repeated rows are reported once a batch; other columns are ignored.
 
-    Windows are looked at where SEED words in a row are those of an item, at the start that they imply.  An
-    item with at most a fifth of its words touched keeps such a seed.  The samples' recall by edit rate is measured in the tests.
     Items go out in blocks of ITEM_BYTES, each of which meets all documents.
     """
     rows = items.where(F.col(item_id_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_id_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t"))
@@ -207,7 +279,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, ratio: float = 0.15, leas
     for b in range(n):
         block = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect() if n > 1 else rows.collect()
         known = _Items(sorted((r["i"], r["t"]) for r in block), ratio, least_words)
-        found = pairs.mapInArrow(_finder(known), "doc_id bigint, item_id bigint, start bigint, length bigint, distance bigint") if known.steps else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start bigint, length bigint, distance bigint")
+        found = pairs.mapInArrow(_finder(known), "doc_id bigint, item_id bigint, start bigint, length bigint, distance bigint") if known.texts else docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, start bigint, length bigint, distance bigint")
         out = found if out is None else out.unionByName(found)
     return out
 

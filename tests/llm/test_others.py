@@ -223,3 +223,21 @@ def test_leaks_are_found(spark):
             assert part.lower().rstrip(".") == dict(items)[r["item_id"]].lower().rstrip(".") and r["distance"] == 0
     empty = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contaminated(df, empty).count() == 0 and decontaminate.contaminated(df.where(F.lit(False)), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
+
+
+def test_leaks_up_to_the_ratio_are_all_found(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(600)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, prose(rng.randrange(8, 60))) for i in range(40)]
+    docs, want, rates = [], set(), (0.1, 0.12, 0.14, 0.15)
+    for i in range(320):
+        t, item = items[i % 40]
+        text = prose(12) + " " + edits(item, int(rates[i // 40 % 4] * len(item)), rng) + " " + prose(12)
+        docs.append((i, text))
+        folded = decontaminate.fold(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0].tobytes()
+        if decontaminate.edit_search(decontaminate._masks(item.encode()), len(item), folded)[0] <= int(0.15 * len(item)):
+            want.add((i, t))
+    assert len(want) > 300
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
