@@ -77,7 +77,7 @@ class _Items:
     def __init__(self, rows: list[tuple[int, str]], ratio: float, least_words: int):
         data, offsets, _ = fold(*B.flat(pa.array([t for _, t in rows], pa.string())))
         texts = [data[a:b].tobytes().strip() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        chosen = [i for i, t in enumerate(texts) if t and len(t.split()) >= least_words]
+        chosen = [i for i, t in enumerate(texts) if t]
         self.ids, self.texts = [rows[i][0] for i in chosen], [texts[i] for i in chosen]
         self.short = [_words(t) < least_words for t in self.texts]
         self.size = np.array([len(t) for t in self.texts], dtype=np.int64)
@@ -264,8 +264,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, ratio: float = 0.15, leas
 
     Compared are texts with A-Z lowered and each run of ASCII punctuation and white space as one space;
     a place counts if its edit distance in bytes is at most `ratio` of the item's length, and all such places are found (of those
-    that overlap almost wholly, the one with the least distance).  Items of fewer than `least_words`
-    words are passed over.
+    that overlap almost wholly, the one with the least distance).  Items of fewer than `least_words` words count where they stand
+    unedited and not inside a longer word; in scripts without spaces two characters count as a word, and any place as a word's end.
     Items without a letter or digit, null ones and those with a null id are passed over; null and empty documents hold none.
     Repeated rows are reported once a batch; other columns are ignored.
 

@@ -241,3 +241,14 @@ def test_leaks_up_to_the_ratio_are_all_found(spark):
     assert len(want) > 300
     rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+
+
+def test_leaks_of_short_and_unspaced_items_are_found(spark):
+    long = "床前明月光疑是地上霜举头望明月低头思故乡白日依山尽黄河入海流"
+    items = [(1, "Who wrote Faust?"), (2, "cat"), (3, "今天天气很好"), (4, long), (5, "..."), (6, "x")]
+    docs = [(1, "he asked: who wrote -- FAUST? and left"), (2, "concatenate, cats and a bobcat"), (3, "the cat's"), (4, "我说今天天气很好吗"), (5, "前文" + long[:9] + "的" + long[10:] + "后文"), (6, "who wrote Fausts"), (7, "今天天气很坏"), (8, "cat"), (9, "")]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(1, 1), (3, 2), (4, 3), (5, 4), (8, 2)}
+    texts = dict(docs)
+    assert {texts[r["doc_id"]].encode()[r["start"] : r["start"] + r["length"]].decode() for r in rows if r["doc_id"] in (1, 3, 4)} == {"who wrote -- FAUST", "cat", "今天天气很好"}
+    assert decontaminate.contaminated(spark.createDataFrame([(7, "nothing of them")], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).count() == 0
