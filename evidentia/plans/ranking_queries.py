@@ -119,6 +119,16 @@ def maxsim(spark, d):
     return vectors.max_sim(qt, pt, pairs).withColumn("score", F.round("score", 6))
 
 
+@query(MAXSIM.replace("chunk_id // 10 AS", "chunk_id // 500 AS").replace("WHERE chunk_id < 50", "WHERE chunk_id % 50 = 0"))
+def maxsim_all(spark, d):
+    """Every id that 50 divides is a query vector, ten of them a query."""
+    v = _vectors(spark, d)
+    qt = v.where("chunk_id % 50 = 0").select(F.floor(F.col("chunk_id") / 500).alias("query_id"), F.col("chunk_id").alias("pos"), "vec")
+    pt = v.where("label is not null").select(F.col("label").alias("chunk_id"), F.col("chunk_id").alias("pos"), "vec")
+    pairs = qt.select("query_id").distinct().crossJoin(pt.select("chunk_id").distinct())
+    return vectors.max_sim(qt, pt, pairs).withColumn("score", F.round("score", 6))
+
+
 def _fused(*lists: str) -> str:
     every = " UNION ALL ".join(f"SELECT query_id, {i} AS ord, chunk_id, rank FROM {x}" for i, x in enumerate(lists))
     return f"fused AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, met) AS rank FROM (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(ord * 1000000 + rank) AS met FROM ({every}) GROUP BY 1, 2))"
