@@ -213,6 +213,27 @@ def widen_small(spark, d):
     return fusion.widen(v.where("chunk_id % 50 = query_id"), v.where("chunk_id % 10 = query_id"))
 
 
+@query(f"""WITH {CHUNKS}, q(query_id, family, role) AS (VALUES {ROUTES}), c AS (SELECT query_id, chunk_id, coalesce(family IS NULL OR family = doc_family, false) AS f, coalesce(role = doc_role, false) AS r, role FROM q, chunks),
+n AS (SELECT *, count(*) FILTER (f) OVER (PARTITION BY query_id) AS nf, count(*) FILTER (f AND r) OVER (PARTITION BY query_id) AS nb FROM c)
+SELECT query_id, chunk_id FROM n WHERE CASE WHEN role IS NOT NULL AND nb >= 3 THEN f AND r WHEN nf >= 3 THEN f ELSE true END""")
+def route_fallback_all(spark, d):
+    """All documents are candidates of each route."""
+    q = rows(spark, ROUTES, "query_id, family, role")
+    cands = chunks(spark, d).select("chunk_id", "doc_family", "doc_role").crossJoin(F.broadcast(q.select("query_id")))
+    return fusion.apply_route(cands, q).select("query_id", "chunk_id")
+
+
+def _top_of(near: str, k: int) -> str:
+    return f"(SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {near}) WHERE rank <= {k})"
+
+
+@query(f"""WITH {VEC}, {NEAR.format("")}, same AS (SELECT near.* FROM near JOIN v p USING (chunk_id) JOIN v q ON q.chunk_id = query_id WHERE p.label = q.label), n AS {_top_of("same", 5)}, e AS (SELECT query_id FROM n GROUP BY 1 HAVING count(*) >= 3)
+SELECT * FROM n WHERE query_id IN (SELECT query_id FROM e) UNION ALL SELECT * FROM {_top_of("near", 10)} WHERE query_id NOT IN (SELECT query_id FROM e)""")
+def widen_search(spark, d):
+    """The five nearest vectors of a query's label, or the ten nearest of all where those are too few."""
+    return fusion.widen(vector_topk_filtered(spark, d).select("query_id", "chunk_id"), vector_topk(spark, d).select("query_id", "chunk_id"))
+
+
 @query(f"WITH {CHUNKS} SELECT chunk_id, page FROM chunks WHERE doc_family = 'en' AND doc_role IN ('src0', 'src1')")
 def metadata_filter(spark, d):
     return chunks(spark, d).where((F.col("doc_family") == "en") & F.col("doc_role").isin("src0", "src1")).select("chunk_id", "page")

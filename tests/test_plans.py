@@ -30,7 +30,29 @@ def test_maxsim_takes_all_query_vectors(spark):
     assert len({q for q, _ in got}) == len({i // 500 for i, _, _ in v if i % 50 == 0})
 
 
-@pytest.mark.parametrize("name", ["maxsim_all"])
+def test_routes_see_all_documents(spark):
+    docs = read("documents", "doc_id", "lang", "source")
+    routes = [(1, "en", "src0"), (2, "de", "src99"), (3, "xx", None), (4, None, None), (5, None, "src3"), (6, "fr", None), (7, "es", "src7")]
+    want = set()
+    for q, family, role in routes:
+        f = [x for x in docs if family is None or x[1] == family]
+        b = [x for x in f if role is not None and x[2] == role]
+        want |= {(q, x[0]) for x in (b if len(b) >= 3 else f if len(f) >= 3 else docs)}
+    assert set(run(spark, "route_fallback_all")) == want and len(docs) == len({c for q, c in want if q == 4})
+
+
+def test_widening_takes_whole_vector_lists(spark):
+    v = [(i, label, np.array(e, dtype=np.float64)) for i, label, e in read("embeddings", "vec_id", "label", "embedding")]
+    want = set()
+    for i, label, e in v:
+        if i % 50 == 0:
+            ranked = sorted(v, key=lambda p: (-round(float(p[2] @ e), 9), p[0]))
+            narrow = [p for p in ranked if label is not None and p[1] == label][:5]
+            want |= {(i, p[0]) for p in (narrow if len(narrow) >= 3 else ranked[:10])}
+    assert set(run(spark, "widen_search")) == want
+
+
+@pytest.mark.parametrize("name", ["maxsim_all", "route_fallback_all", "widen_search"])
 def test_sql_agrees(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
