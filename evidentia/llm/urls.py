@@ -69,8 +69,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], *, most: int =
     """One row per input row: page_id, host, path, rule, verdict, score.
 
     `labels` (url, label 1 to block) are the URLs to learn from; without it, those of `pages` that a rule decides are.
-    At most `most` are used, picked by hash.  The longest rule that fits decides; where none fits, the trees' probability of block at 0.5.  If
-    the labels show one class only, it is that class; without labels all is allowed.
+    At most `most` are used to fit the trees, picked by hash; shares and counts of suffixes are over all.  The longest rule that fits
+    decides; where none fits, the trees' probability of block at 0.5.  If the labels, or those picked, show one class only, the share of
+    block among all labels decides; without labels all is allowed.
 
     Null and malformed URLs have an empty host and path, fit no rule and are judged by their lexical features; rows with a null id and
     repeated rows are judged like others; other columns are ignored.
@@ -87,16 +88,18 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], *, most: int =
     else:
         own = labels.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label"))
         known = features(own.withColumn("host", host).withColumn("path", path))
-    n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("url", F.lit(19)), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(most)
-    known = scratch.table("known", known.select("label", "suffix", *FEATURES[:-2]))
-    classes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    known = known.select("url", "label", "suffix", *FEATURES[:-2])
+    counts = scratch.table("counts", known.groupBy("suffix", "label").agg(F.count("*").alias("n")))
+    classes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     total = sum(classes.values())
     share = classes.get(1.0, 0) / total if total else 0.0
-    stats = scratch.table("stats", known.groupBy("suffix").agg(((F.sum("label") + 4 * share) / (F.count("*") + 4)).alias("f_suffix"), F.log2(F.count("*") + F.lit(1.0)).alias("f_suffix_rows")))
+    n = F.sum("n")
+    stats = scratch.table("stats", counts.groupBy("suffix").agg(((F.sum(F.col("label") * F.col("n")) + 4 * share) / (n + 4)).alias("f_suffix"), F.log2(n + F.lit(1.0)).alias("f_suffix_rows")))
+    if total > most:
+        known = known.where(F.pmod(F.xxhash64("url", F.lit(19)), F.lit(1 << 30)) < int((1 << 30) * most / total)).limit(most)
+    known = scratch.table("known", known.drop("url"))
     add = lambda df: df.join(stats, "suffix", "left").fillna({"f_suffix": share, "f_suffix_rows": 0.0})
-    if len(classes) < 2:
+    if len(classes) < 2 or known.select("label").distinct().count() < 2:
         scored = rows.withColumn("score", F.lit(share))
     else:
         vector = VectorAssembler(inputCols=FEATURES, outputCol="features")

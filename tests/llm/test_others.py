@@ -134,6 +134,17 @@ def test_urls_learn_from_labels(spark):
     assert {r["verdict"] for r in urls.url_verdicts(df, [("allow", "net/")]).collect()} == {"allow"}
 
 
+def test_url_suffixes_count_beyond_the_rows_fitted(spark):
+    rng = random.Random(12)
+    suffixes = sorted({"".join(rng.choice("abcdefghijklm") for _ in range(3)) for _ in range(300)})
+    bad = {s: rng.random() < 0.5 for s in suffixes}
+    known = spark.createDataFrame([(f"http://host.{s}/{rng.randrange(10**6, 10**7)}", int(bad[s])) for s in suffixes for _ in range(10)], "url string, label int")
+    df = spark.createDataFrame([(i, f"http://host.{s}/{rng.randrange(10**6, 10**7)}") for i, s in enumerate(suffixes)], "page_id bigint, url string")
+    got = urls.url_verdicts(df, [], most=300, labels=known).collect()
+    right = sum((r["verdict"] == "block") == bad[suffixes[r["page_id"]]] for r in got) / len(got)
+    assert right > 0.97, right
+
+
 def test_toxicity_learns_a_pair(spark):
     """An insult counts only beside a group: no sum of single weights can tell."""
     rng = random.Random(8)
