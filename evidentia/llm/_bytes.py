@@ -20,8 +20,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95  # odd, 5 modulo 8: the longest cycle modulo 2**64
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_MULT2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_ALL = (1 << 64) - 1
+#: Masks of the first n bytes of eight.
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 #: Bytes hashed at one time: temporaries of eight bytes each stay in cache.
 SLICE = 1 << 18
@@ -37,17 +39,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each two hashes in order. Shifts between the products keep it from being a polynomial, whose value structured texts could steer."""
+    x = a ^ (a >> np.uint64(32))
+    x *= _MULT
+    x ^= b
+    x ^= x >> np.uint64(29)
+    x *= _MULT2
+    x ^= x >> np.uint64(32)
+    return x
 
 
-_POW = _powers(_BASE, SLICE + 1)
-_INV = _powers(_BASE_INV, SLICE + 1)
+def codes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, with zeros behind the end: a view, to be indexed."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -114,50 +121,60 @@ def fresh_next(fresh: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> np
     return out
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span data[start:end]; the spans are in order and don't overlap."""
-    out = np.zeros(len(starts), dtype=np.uint64)
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span data[start:end]; other salts give independent ones. The spans are in order and don't overlap.
+
+    Each eight bytes are mixed by themselves with their place and the span's length, then summed: no text that repeats or alternates makes spans meet.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
-        j = int(np.searchsorted(ends, starts[i] + SLICE, side="right"))
-        if j <= i:  # one very long span: slice by slice
-            out[i] = _long_hash(data[starts[i] : ends[i]])
-            i += 1
-            continue
-        a, b = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(b - a + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[data[a:b]] * _POW[: b - a], out=sums[1:])
-        s = starts[i:j] - a
-        out[i:j] = (sums[ends[i:j] - a] - sums[s]) * _INV[s]
+        j = max(int(np.searchsorted(ends, starts[i] + SLICE, side="right")), i + 1)
+        a = int(starts[i])
+        part = codes(data[a : int(ends[j - 1])])
+        s, n = starts[i:j] - a, ends[i:j] - starts[i:j]
+        seed = mix((n.astype(np.uint64) + np.uint64(salt << 32 & _ALL)) * _MULT)
+        h = mix(part[s] & _MASK[np.minimum(n, 8)] ^ seed)
+        long = np.flatnonzero(n > 8)
+        if long.size:
+            more = (n[long] - 1) // 8
+            at = np.cumsum(more) - more
+            step = ranges(np.ones(len(long), np.int64), more)
+            x = part[np.repeat(s[long], more) + 8 * step] & _MASK[np.minimum(np.repeat(n[long], more) - 8 * step, 8)]
+            x ^= mix(step.astype(np.uint64) * _MULT2 + np.repeat(seed[long], more))
+            h[long] += np.add.reduceat(mix(x), at)
+        out[i:j] = mix(h)
         i = j
-    return mix(out + (ends - starts).astype(np.uint64) * _MULT)
-
-
-def _long_hash(data: np.ndarray) -> np.uint64:
-    total, scale = 0, 1
-    for k in range(0, len(data), SLICE):
-        part = data[k : k + SLICE]
-        total += int((_TABLE[part] * _POW[: len(part)]).sum()) * scale
-        scale = scale * pow(_BASE, len(part), 1 << 64) & ((1 << 64) - 1)
-    return np.uint64(total & ((1 << 64) - 1))
+    return out
 
 
 def window_hashes(items: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """Hash of items[i:i+width] for each i; empty if there are fewer items. Linear in the items at any width."""
+    """Hash of items[i:i+width] for each i; empty if there are fewer items. Runs of two, four, eight and more are joined; the last two may overlap."""
     n = len(items) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
+    return _windows(items, 1, width, np.uint64(salt * 0x9E3779B97F4A7C15 + width & _ALL), n)
+
+
+def byte_windows(data: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
+    """Hash of data[i:i+width] for each i, from eight bytes at a time; width is 8 at least."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    return _windows(codes(data)[: len(data) - 7], 8, width, np.uint64(salt * 0x9E3779B97F4A7C15 + width & _ALL), n)
+
+
+def _windows(items: np.ndarray, size: int, width: int, seed: np.uint64, n: int) -> np.ndarray:
+    """items[i] stands for `size` units from i on; n windows of `width` units."""
     out = np.empty(n, dtype=np.uint64)
-    salted = mix(items + np.uint64(salt * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))) if salt else items
-    step = max(SLICE - width, 1)
-    pow_, inv = (_POW, _INV) if width <= SLICE // 2 else (_powers(_BASE, step + width + 1), _powers(_BASE_INV, step + width + 1))
-    for a in range(0, n, step):
-        b = min(a + step, n)
-        part = salted[a : b + width - 1]
-        sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * pow_[: len(part)], out=sums[1:])
-        out[a:b] = (sums[width:] - sums[: b - a]) * inv[: b - a]
-    return mix(out)
+    for a in range(0, n, SLICE >> 2):
+        b = min(a + (SLICE >> 2), n)
+        part, upto = mix(items[a : b + width - size] + seed), size
+        while upto * 2 <= width:
+            part = join(part[:-upto], part[upto:])
+            upto *= 2
+        out[a:b] = join(part[: b - a], part[width - upto : width - upto + b - a])
+    return out
 
 
 def segments(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,5 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash_near_dedup": minhash.OP1_SQL,
         "op2_substring_dedup": substring.OP2_SQL,
         "op3_warc_archive": warc.OP3_SQL,
+        "op5_suffix_array_dedup": suffix.OP5_SQL,
         "op9_embedding_near_dedup": embeddings.OP9_SQL,
     }

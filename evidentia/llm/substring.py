@@ -58,6 +58,7 @@ class _Words:
     def __init__(self, b: K.Block, window: int, v: int, cover: list[int]):
         starts, ends, self.first = B.words(b.data, b.offsets)
         self.hash = B.span_hashes(b.data, starts, ends)
+        self.other = lambda: B.span_hashes(b.data, starts, ends, salt=1)
         self.n = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(b)), self.n)
         self.width = window - v + 1
@@ -105,7 +106,7 @@ def dedup_windows(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
             at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
             if not at.size:
                 continue
-            h1, h2 = B.window_hashes(w.hash, window)[at], B.window_hashes(w.hash, window, salt=1)[at]
+            h1, h2 = B.window_hashes(w.hash, window)[at], B.window_hashes(w.other(), window, salt=1)[at]
             out, later = K.window_rows(b, n, 1, at, w.doc[at], w.first[:-1], h1, h2)
             if later.size:
                 out.append((0, b.block % n, b.block, None, None, later.astype(np.uint32).tobytes(), None, None))

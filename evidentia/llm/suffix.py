@@ -149,7 +149,7 @@ class _Picks:
         none = np.zeros(0, np.int64)
         if len(data) < length:
             return none, none, none, none, np.zeros(0, np.uint64)
-        grams = B.window_hashes(B._TABLE[data], k)
+        grams = B.byte_windows(data, k)
         span, width = length - k + 1, 1
         least = (grams & ~np.uint64(0xFFFFFFFF)) | np.arange(len(grams), dtype=np.uint64)
         while width * 2 <= span:
@@ -363,8 +363,8 @@ def _hash_at(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     i = 0
     while i < len(at):
         j = max(int(np.searchsorted(at, at[i] + B.SLICE)), i + 1)
-        part, rel = B._TABLE[data[at[i] : at[j - 1] + length]], at[i:j] - at[i]
-        h1[i:j], h2[i:j] = B.window_hashes(part, length)[rel], B.window_hashes(part, length, salt=1)[rel]
+        part, rel = data[at[i] : at[j - 1] + length], at[i:j] - at[i]
+        h1[i:j], h2[i:j] = B.byte_windows(part, length)[rel], B.byte_windows(part, length, salt=1)[rel]
         i = j
     return h1, h2
 
@@ -374,6 +374,21 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(docs, length=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+OP5_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, u.i AS i, md5_number(substr(h, 2 * u.i - 1, 200)) AS g FROM t, unnest(range(1, n - 98)) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+e AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM r),
+s AS (SELECT doc_id, i, sum(CASE WHEN last IS NULL OR i > last + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+x AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM s GROUP BY 1, 2),
+y AS (SELECT doc_id, a, b, lag(b, 1, 1) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
+z AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS upto, list({'a': before, 'n': a - before} ORDER BY a) AS kept FROM y GROUP BY 1)
+SELECT t.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE array_to_string(list_transform(kept, lambda k: substr(h, 2 * k.a - 1, 2 * k.n)), '') || substr(h, 2 * upto - 1) END)) AS kept_sha256
+FROM t LEFT JOIN z ON t.doc_id = z.doc_id
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]], length: int) -> dict[int, tuple[int, int, int, str]]:
     """What dedup_bytes gives for rows with distinct ids, by a dictionary of all windows."""
     seen: set[bytes] = set()
