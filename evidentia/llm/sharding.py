@@ -89,7 +89,7 @@ def shards(docs: DataFrame, n: int, *, seed: int = 17, id_col: str = "doc_id", t
     base = dealt.groupBy("shard", "range").agg(F.count("*").alias("n")).select("shard", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("shard", "range").orderBy("v", "doc_id")
     placed = dealt.withColumn("k", F.row_number().over(within)).join(base, ["shard", "range"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("k") - 1).cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("k") - 1).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
