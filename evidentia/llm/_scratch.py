@@ -2,7 +2,7 @@
 
 A written table cuts lineage: a lost executor costs the tasks that ran on it, not
 the steps before.  The folder is the one the session names in
-spark.checkpoint.dir; only where that is unset (tests) is one made here.
+spark.checkpoint.dir; only a local session (tests) without that setting gets one made here.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     where = conf or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="evidentia-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -56,6 +58,19 @@ class Scratch:
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scope:
+    """Tables that operators make inside `with Scope():` go at its end: for callers that write each result down before they leave."""
+
+    def __enter__(self) -> Scope:
+        self._before = len(_live)
+        return self
+
+    def __exit__(self, *failed: object) -> None:
+        for s in _live[self._before :]:
+            s.drop()
+        del _live[self._before :]
+
+
 @atexit.register
 def _clean() -> None:
     for s in _live:
