@@ -12,39 +12,38 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import decontaminate, minhash, packing, substring
 from evidentia.llm import toxicity as tox
-from evidentia.llm._scratch import Scratch
+from evidentia.llm._scratch import Scope, Scratch
 
 #: Words of a repeated passage that the substring stage removes.
 PASSAGE = 40
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5. Fitted on the labelled ones of docs that are not held out; rows without text score low and stay."""
+    """Documents that score below 0.5. Fitted on the labelled ones of docs that are not held out; rows without text score low and stay, rows with a null id or a repeated one are scored like others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~tox.held_out(F.col("doc_id")))
     scored = tox.score(docs, tox.train(docs, labels))
     return scored.where("score < 0.5").drop("score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by 5-word shingles at a similarity of 0.8 or more."""
+    """The document with the smallest id of each group linked by 5-word shingles at a similarity of 0.8 or more. Rows that share a kept id, and rows with a null id, stay."""
     return minhash.drop_near_duplicates(docs, k=5, threshold=(4, 5))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of PASSAGE-word runs that also start earlier; a document may end up empty. n_chars follows the text."""
+    """All documents, without the words of PASSAGE-word runs that also start earlier; a document may end up empty. n_chars follows the text. Rows with a null id come first, rows of one id as they are stored."""
     cut = substring.dedup_windows(docs, window=PASSAGE)
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, not even slightly edited."""
+    """Documents that hold no benchmark item, not even slightly edited. Rows are judged one by one: null and repeated ids change nothing."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = Scratch(spark, "leaks").table("found", decontaminate.contaminated(docs, items))
-    return docs.join(found.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti")
+    return decontaminate.drop_contaminated(docs, items)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens, also of rows with a null id or a repeated one."""
     return packing.pack(docs, tokenizer=packing.default_tokenizer(), capacity=2048)
 
 
@@ -64,9 +63,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = scratch.table(name, docs)
-            if k:
-                scratch.drop(STAGES[k - 1][0])
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with Scope():
+            docs = scratch.table(name, stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(STAGES[k - 1][0])
     return docs
