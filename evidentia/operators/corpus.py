@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the last paragraph of the answer about the assistant itself.
+CLOSING = "Saya hanya menjawab dari dokumen itu. Kalau jawabannya tidak ada di sana, saya bilang tidak ketemu, bukan mengarang."
+
+
 def sources(chunks: DataFrame) -> DataFrame:
     return chunks.where("source_file <> ''").select("source_file").distinct()
 
@@ -19,13 +23,18 @@ def holds_family(chunks: DataFrame, family: str = "IOGP 459") -> DataFrame:
     return chunks.agg(F.coalesce(F.bool_or(F.col("doc_family") == family), F.lit(False)).alias("full_pack"))
 
 
+def counts(pages: DataFrame) -> DataFrame:
+    """One row: documents (files that have a page) and pages."""
+    return pages.agg(F.count_distinct("source_file").alias("documents"), F.count("*").alias("pages"))
+
+
 def capability_answer(chunks: DataFrame, names: dict[str, str], cards: list[str], questions: dict[str, list[str]]) -> DataFrame:
     """One row: what can be asked, made of the sources in the index and the configuration."""
     from ..functions.text import lookup
 
     listed = sources(chunks).agg(F.array_sort(F.collect_set("source_file")).alias("s"))
     shown = F.array_join(F.transform("s", lambda x: lookup(x, names)), ", ")
-    tail = "\n".join(["", "**In scope**", "", *[f"- {c}" for c in cards], "", "**Questions that work**", "", *[f"- {k}: " + "; ".join(v) for k, v in questions.items()]])
+    tail = "\n".join(["", "**In scope**", "", *[f"- {c}" for c in cards], "", "**Questions that work**", "", *[f"- {k}: " + "; ".join(v) for k, v in questions.items()], "", CLOSING])
     return listed.select(F.concat(F.lit("I answer only from the documents indexed here: "), shown, F.lit(".\n" + tail)).alias("answer"))
 
 
@@ -37,6 +46,11 @@ def missing_models(wanted: list[str], available: DataFrame) -> DataFrame:
     return spark.range(1).select(listed.alias("model")).join(available.select("model"), "model", "left_anti")
 
 
+def clear_conversation(turns: DataFrame, conv_id: int, confirmed: bool = False) -> DataFrame:
+    """The turns without those of one conversation; unchanged unless the clearing is confirmed."""
+    return turns.where(~F.col("conv_id").eqNullSafe(F.lit(conv_id))) if confirmed else turns
+
+
 def conversation_log(turns: DataFrame) -> DataFrame:
     """One row per conversation: turns, roles and texts in order."""
     ordered = turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("log"))

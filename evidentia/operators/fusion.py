@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from . import lexical, vectors
 
+if TYPE_CHECKING:
+    from .keyword_index import KeywordIndex
+
 #: Fixed values.
 RRF_K, MIN_KEEP, LATE_POOL, FINAL_TOP_K, DEEP_TOP_K, RERANK_MIN_MB = 60, 3, 40, 12, 20, 1400
 FAMILY_KEYWORDS = {
@@ -49,7 +54,7 @@ def infer_role(question: Column) -> Column:
 
 def rrf(rankings: DataFrame, key: str = "chunk_id", k: int = RRF_K, digits: int = 12) -> DataFrame:
     """Rankings (query_id, source_ord, key, rank) fused: (query_id, key, score, rank). Equal scores keep the order in which keys are first met, source by source."""
-    met = F.min(F.col("source_ord") * F.lit(1_000_000) + F.col("rank"))
+    met = F.min(F.struct(F.col("source_ord").cast("bigint").alias("ord"), F.col("rank").cast("bigint").alias("rank")))
     fused = rankings.groupBy("query_id", key).agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("score"), met.alias("met"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "met")
     return fused.withColumn("rank", F.row_number().over(order)).select("query_id", key, "score", "rank")
@@ -59,17 +64,44 @@ def union_rankings(*rankings: DataFrame, key: str = "chunk_id") -> DataFrame:
     return reduce(DataFrame.unionByName, [r.select("query_id", F.lit(i).alias("source_ord"), key, "rank") for i, r in enumerate(rankings)])
 
 
+def routes(queries: DataFrame, chunks: DataFrame, least: int = MIN_KEEP) -> DataFrame:
+    """(query_id, family, role, by_role) of the queries whose route narrows: counted by family and role, without a pair of query and chunk.
+
+    queries: query_id, family, role.  A route that leaves fewer than `least` chunks is none; by_role says whether `least` survive the role too.
+    """
+    routed = queries.where("family is not null or role is not null").select("query_id", "family", "role")
+    groups = chunks.groupBy("doc_family", "doc_role").agg(F.count("*").alias("c")).withColumns({"family": F.col("doc_family"), "role": F.col("doc_role")})
+    n = lambda keys, name: groups.groupBy(*keys).agg(F.sum("c").alias(name)) if keys else groups.agg(F.sum("c").alias(name))
+    known = routed.join(n(["family"], "nf"), "family", "left").join(n(["role"], "nr"), "role", "left").join(n(["family", "role"], "nb"), ["family", "role"], "left").crossJoin(F.broadcast(n([], "every")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    any_family = F.col("family").isNull()
+    fits, same = F.when(any_family, zero("every")).otherwise(zero("nf")), F.when(any_family, zero("nr")).otherwise(zero("nb"))
+    known = known.select("query_id", "family", "role", fits.alias("n"), F.when(F.col("role").isNotNull(), same).otherwise(0).alias("m"))
+    return known.where(F.greatest("n", "m") >= least).select("query_id", "family", "role", (F.col("m") >= least).alias("by_role"))
+
+
+def _admits(role_too: bool = True) -> Column:
+    """Does the route of a row (family, role, by_role) admit its chunk (doc_family, doc_role)?"""
+    family = F.col("family").isNull() | F.coalesce(F.col("family") == F.col("doc_family"), F.lit(False))
+    return family & (~F.col("by_role") | F.coalesce(F.col("role") == F.col("doc_role"), F.lit(False))) if role_too else family
+
+
 def allowed_chunks(queries: DataFrame, chunks: DataFrame, key: str = "chunk_id", least: int = MIN_KEEP) -> DataFrame:
     """(query_id, key) of the chunks each query's route admits; no row for a query without a route or whose route leaves fewer than `least`.
 
     queries: query_id, family, role.  The role narrows only if `least` survive it.
     """
-    routed = queries.where("family is not null or role is not null")
-    c = chunks.select(key, "doc_family", "doc_role")
-    fits = routed.join(c, F.col("family").isNull() | (F.col("family") == F.col("doc_family"))).withColumn("same", F.col("role").isNotNull() & F.coalesce(F.col("role") == F.col("doc_role"), F.lit(False)))
-    n = fits.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if("same").alias("m"))
-    kept = fits.join(n, "query_id").where((F.col("m") < least) | F.col("same"))
-    return kept.where(F.when(F.col("m") >= least, F.col("m")).otherwise(F.col("n")) >= least).select("query_id", key)
+    r, c = routes(queries, chunks, least), chunks.select(key, "doc_family", "doc_role")
+    by_family = r.where("family is not null").join(c.withColumn("f", F.col("doc_family")), F.col("family") == F.col("f")).drop("f")
+    by_role = r.where("family is null and by_role").join(c.withColumn("f", F.col("doc_role")), F.col("role") == F.col("f")).drop("f")
+    every = r.where("family is null and not by_role").crossJoin(c)
+    return by_family.unionByName(by_role).unionByName(every).where(_admits()).select("query_id", key)
+
+
+def restrict(scored: DataFrame, chunks: DataFrame, rules: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Of (query_id, key, ...) those that the routes of `routes` admit; queries without a route keep all."""
+    marked = scored.join(chunks.select(key, "doc_family", "doc_role"), key).join(rules, "query_id", "left")
+    return marked.where(F.col("by_role").isNull() | _admits()).select(*scored.columns)
 
 
 def apply_route(cands: DataFrame, queries: DataFrame, key: str = "chunk_id", least: int = MIN_KEEP) -> DataFrame:
@@ -107,21 +139,48 @@ def rerank_strategy(mode: str = "auto", limit_mb: int | None = None, in_containe
     return "late-interaction" if limit_mb < least_mb else "cross-encoder"
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_vecs: DataFrame, k: int = lexical.CANDIDATES, key: str = "chunk_id", route: bool = True) -> DataFrame:
+def inferred_routes(queries: DataFrame) -> DataFrame:
+    """(query_id, family, role) that the questions name."""
+    return queries.select("query_id", infer_family(F.col("question")).alias("family"), infer_role(F.col("question")).alias("role"))
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_vecs: DataFrame, k: int = lexical.CANDIDATES, key: str = "chunk_id", route: bool = True, routed: DataFrame | None = None, index: KeywordIndex | None = None, least: int = MIN_KEEP) -> DataFrame:
     """Fused ranking (query_id, key, score, rank) of three lists: vectors, body and title keywords, each narrowed by the question's route.
 
     chunks: key, page_content, clause_id, heading, doc_family, doc_role; queries: query_id, question;
-    vecs: key, vec; query_vecs: query_id, vec.  Too few routed vector hits are replaced by unrouted ones.
+    vecs: key, vec; query_vecs: query_id, vec.  `routed` (query_id, family, role) replaces what the questions name; `index` (with the fields
+    page_content and title_text) spares reading the chunks' texts.
+
+    The vector list is the first k of the family; what the route forbids goes from these k, and fewer than `least` are replaced
+    by the first k of all.  The keyword lists are the first k of what the route admits.
     """
-    routed = queries.select("query_id", "question", infer_family(F.col("question")).alias("family"), infer_role(F.col("question")).alias("role"))
+    if index is not None:
+        body, title = index.scores(queries, "page_content"), index.scores(queries, "title_text")
+    else:
+        body = lexical.bm25_scores(chunks, queries, "page_content", key)
+        title = lexical.bm25_scores(lexical.title_field(chunks), queries, "title_text", key)
     broad = vectors.vector_top_k(vecs, query_vecs, k, key)
-    scores_body = lexical.bm25_scores(chunks, queries, "page_content", key)
-    scores_title = lexical.bm25_scores(lexical.title_field(chunks), queries, "title_text", key)
     if not route:
-        return rrf(union_rankings(broad, lexical.top_k(scores_body, k, key), lexical.top_k(scores_title, k, key), key=key), key)
-    allowed = allowed_chunks(routed, chunks, key)
-    bound = allowed.select("query_id").distinct()
-    restrict = lambda s: s.join(allowed, ["query_id", key], "left_semi").unionByName(s.join(bound, "query_id", "left_anti"))
-    narrow = vectors.vector_top_k(vecs, query_vecs.join(bound, "query_id", "left_semi"), k, key, allowed=allowed)
-    near = widen(narrow, broad)
-    return rrf(union_rankings(near, lexical.top_k(restrict(scores_body), k, key), lexical.top_k(restrict(scores_title), k, key), key=key), key)
+        return rrf(union_rankings(broad, lexical.top_k(body, k, key), lexical.top_k(title, k, key), key=key), key)
+    named = inferred_routes(queries) if routed is None else routed.select("query_id", "family", "role")
+    rules = routes(named, chunks, least)
+    # a family filters the vector scan whether or not its route is wide enough to narrow
+    families = named.where("family is not null").select("query_id", "family")
+    of_family = query_vecs.join(families, "query_id").join(chunks.select(key, F.col("doc_family").alias("family")).join(vecs, key).select("family", key, F.col("vec").alias("p")), "family")
+    near = vectors.rank_scored(of_family.select("query_id", key, vectors.dot(F.col("p"), F.col("vec")).alias("score")), k, key)
+    plain = broad.join(families, "query_id", "left_anti")
+    near = widen(restrict(near.unionByName(plain), chunks, rules, key), broad, least)
+    return rrf(union_rankings(near, lexical.top_k(restrict(body, chunks, rules, key), k, key), lexical.top_k(restrict(title, chunks, rules, key), k, key), key=key), key)
+
+
+def search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_vecs: DataFrame, rerank: Callable[[DataFrame], DataFrame], limit: int | None = None, strategy: str = "cross-encoder", key: str = "chunk_id", **how) -> DataFrame:
+    """(query_id, key, rank): route, three lists, fusion, rerank, cut.
+
+    `rerank` gives (query_id, key, score) for (query_id, key, rank) and stands for a model.  A cross-encoder scores all fused candidates and the first
+    FINAL_TOP_K stay; vectors without a chunk are no candidates; late interaction scores the first LATE_POOL, the others stay behind them, DEEP_TOP_K in all.  A `limit` of none or zero is that default.
+    """
+    fused = hybrid_search(chunks, queries, vecs, query_vecs, key=key, **how).join(chunks.select(key), key, "left_semi")
+    fused = fused.select("query_id", key, F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
+    if strategy == "cross-encoder":
+        return rerank_head(fused, rerank(fused), pool=3 * lexical.CANDIDATES, limit=limit or FINAL_TOP_K, key=key)
+    return rerank_head(fused, rerank(fused.where(F.col("rank") <= LATE_POOL)), pool=LATE_POOL, limit=limit or DEEP_TOP_K, key=key)

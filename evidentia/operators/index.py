@@ -24,6 +24,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder that driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="evidentia-")
@@ -31,12 +33,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def build(chunks: DataFrame, path: str, sign: str) -> None:
+def build(chunks: DataFrame, path: str, signed: str) -> None:
     """Overwrites the index. The signature goes last: a crash leaves none, and the index is built anew. Partitioned by family, so a route prunes files."""
     spark = chunks.sparkSession
-    _delete(spark, f"{path}/signature")
+    unsign(spark, path)
     chunks.write.mode("overwrite").partitionBy("doc_family").parquet(f"{path}/chunks")
-    spark.range(1).select(F.lit(sign).alias("value")).write.mode("overwrite").text(f"{path}/signature")
+    sign(spark, path, signed)
+
+
+def build_with_stats(pages: DataFrame, path: str, signed: str, window: int = 512, **how) -> dict[str, int | None]:
+    """Pages to a signed index of chunks; what was built: chunks, least, median (the upper one of two), most, over (the window), documents, pages."""
+    from . import corpus, packing
+
+    chunks = packing.build_chunks(pages, window, **how)
+    build(chunks, path, signed)
+    stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
+    return packing.chunk_stats(stored, window).crossJoin(corpus.counts(pages)).first().asDict()
+
+
+def sign(spark: SparkSession, path: str, value: str) -> None:
+    """Signs what stands under path, as the last step of a build."""
+    spark.range(1).select(F.lit(value).alias("value")).write.mode("overwrite").text(f"{path}/signature")
+
+
+def unsign(spark: SparkSession, path: str) -> None:
+    _delete(spark, f"{path}/signature")
 
 
 def stored_signature(spark: SparkSession, path: str) -> str | None:
@@ -71,9 +92,14 @@ def open_index(spark: SparkSession, path: str, sign: str) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks")
 
 
-def refresh(spark: SparkSession, path: str) -> None:
-    """Forgets what is cached of the index."""
-    spark.catalog.refreshByPath(path)
+def refresh(spark: SparkSession, path: str, *opened: DataFrame) -> None:
+    """Forgets what is cached of the index and of tables opened from it; never raises."""
+    for table in opened:
+        table.unpersist()
+    try:
+        spark.catalog.refreshByPath(path)
+    except Exception:  # noqa: BLE001  a path that isn't there has nothing cached
+        return
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .layout import spread
 
 #: Fixed values of the ranking.
 K1, B = 1.5, 0.75
@@ -14,12 +15,12 @@ CANDIDATES = 50
 
 def lengths(chunks: DataFrame, field: str, key: str = "chunk_id") -> DataFrame:
     """(key, dl): tokens of each chunk, empty ones too."""
-    return chunks.select(key, F.size(X.tokenize(F.col(field))).alias("dl"))
+    return spread(chunks.select(key, field)).select(key, F.size(X.tokenize(F.col(field))).alias("dl"))
 
 
 def postings(chunks: DataFrame, field: str, key: str = "chunk_id", only: DataFrame | None = None) -> DataFrame:
     """(key, term, tf). With `only` (term), other terms go before the shuffle."""
-    terms = chunks.select(key, F.explode(X.tokenize(F.col(field))).alias("term"))
+    terms = spread(chunks.select(key, field)).select(key, F.explode(X.tokenize(F.col(field))).alias("term"))
     if only is not None:
         terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -44,7 +45,7 @@ def query_terms(queries: DataFrame, text_col: str = "question") -> DataFrame:
 def bm25_scores(chunks: DataFrame, queries: DataFrame, field: str = "page_content", key: str = "chunk_id", text_col: str = "question") -> DataFrame:
     """(query_id, key, score) of all chunks that share a term with a query.
 
-    The corpus is read twice: for lengths, and for postings of the queries' terms alone.
+    The corpus is read twice: for lengths, and for postings of the queries' terms alone. keyword_index stores both.
     """
     terms = query_terms(queries, text_col)
     lens = lengths(chunks, field, key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +27,30 @@ def mean_pool(tokens: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame
     return pooled.select(*keys, l2_normalise(F.col("mean")).alias("vec"))
 
 
+#: Queries that go to the passages at one time.
+QUERY_BLOCK = 20_000
+
+
 def vector_top_k(passages: DataFrame, queries: DataFrame, k: int = 50, key: str = "chunk_id", vec: str = "vec", allowed: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """(query_id, key, rank, score): every passage against every query of the batch, by dot product.
 
-    Queries (query_id, vec) are a stated set: a nested-loop join streams the passages past them, and a partial
-    top k per task keeps the shuffle at k rows a query and task.
+    Queries (query_id, vec) are a stated set, which goes to all passages in blocks of QUERY_BLOCK; a partial
+    top k per task keeps the shuffle at k rows a query and task.  With `allowed` (query_id, key) only its
+    pairs are made, by joins on their keys.
     """
-    pairs = passages.select(key, F.col(vec).alias("p")).crossJoin(queries.select("query_id", F.col("vec").alias("q")))
+    p, q = passages.select(key, F.col(vec).alias("p")), queries.select("query_id", F.col("vec").alias("q"))
     if allowed is not None:
-        pairs = pairs.join(allowed, ["query_id", key], "left_semi")
+        pairs = allowed.select("query_id", key).distinct().join(p, key).join(q, "query_id")
+    else:
+        blocks = -(-max(queries.count(), 1) // QUERY_BLOCK)
+        part = lambda b: q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = reduce(DataFrame.unionByName, [p.crossJoin(F.broadcast(part(b))) for b in range(blocks)])
     scored = pairs.select("query_id", key, dot(F.col("p"), F.col("q")).alias("score"))
+    return rank_scored(scored, k, key, digits)
+
+
+def rank_scored(scored: DataFrame, k: int, key: str = "chunk_id", digits: int = 9) -> DataFrame:
+    """(query_id, key, rank, score): the best k of (query_id, key, score), equal scores in the order of keys."""
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", key, "rank", "score")
 

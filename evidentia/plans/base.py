@@ -7,6 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import index, lexical
+from ..operators.keyword_index import KeywordIndex, ensure
+from ..operators.layout import files_signature
+
+#: Text columns of the keyword index.
+FIELDS = ["page_content", "title_text"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -49,6 +55,18 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """The stored index of the chunks' texts and titles: built by the first query that needs it, then opened while the table's files stay as they are."""
+    signed = files_signature(spark, f"{sf_dir}/documents.parquet")
+    at = (spark.sparkContext.applicationId, signed)
+    if at not in _indexes:
+        _indexes[at] = index.scratch_path(spark, "keywords")
+    return ensure(lexical.title_field(chunks(spark, sf_dir)), FIELDS, _indexes[at], signed)
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), "text")
 

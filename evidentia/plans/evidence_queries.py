@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import corpus, evidence, index, lexical
-from .base import NORMAL, big, chunks, query, questions, ranked, rows, spec_pages, table
+from ..operators import corpus, evidence, index
+from .base import NORMAL, big, chunks, keyword_index, query, questions, ranked, rows, spec_pages, table
 from .ranking_queries import BODY
 
 
@@ -22,7 +22,7 @@ QUOTED = f"""(len({{q}}w) > 0 AND {NORMAL.format('{q}')} <> '' AND {NORMAL.forma
 
 def _excerpts(spark, d, k=5):
     c = chunks(spark, d)
-    return lexical.bm25_top_k(c, questions(spark, d), k).select("query_id", "chunk_id", "rank").join(c, "chunk_id")
+    return keyword_index(spark, d).top_k(questions(spark, d), k).select("query_id", "chunk_id", "rank").join(c, "chunk_id")
 
 
 def _words(q: str) -> str:
@@ -66,7 +66,7 @@ verdicts AS (SELECT *, n > 0 AND ok AS accepted, CASE WHEN n = 0 THEN 'citation
 def _verified(spark, d):
     ex = _excerpts(spark, d).withColumn("page", F.col("page").cast("int"))
     best = ex.where("rank = 1").join(questions(spark, d), "query_id")
-    made = [
+    made = [  # read from the index thrice, which costs a scan of a few postings each
         best.select("query_id", F.lit(0).alias("pos"), F.col("question").alias("text"), "clause_id", "source_file", "page", F.col("question").alias("quote")),
         best.select("query_id", F.lit(1).alias("pos"), F.col("question").alias("text"), "clause_id", "source_file", (F.col("page") + 1_000_000).cast("int").alias("page"), F.col("question").alias("quote")),
         best.select("query_id", F.lit(2).alias("pos"), F.lit("made up").alias("text"), "clause_id", "source_file", "page", F.lit("no such words stand in any excerpt here").alias("quote")),

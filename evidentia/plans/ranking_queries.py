@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evaluate, fusion, lexical, vectors
-from .base import CHUNKS, QUESTIONS, TOKENS, big, bm25, chunks, query, questions, ranked, rows, table
+from ..operators import evaluate, fusion, index, lexical, models, vectors
+from ..operators import keyword_index as keywords
+from .base import CHUNKS, FIELDS, QUESTIONS, TOKENS, big, bm25, chunks, keyword_index, query, questions, ranked, rows, table
 
 BODY = f"WITH {CHUNKS}, {QUESTIONS}, {bm25()}"
 TITLE = f"WITH {CHUNKS}, {QUESTIONS}, titled AS (SELECT chunk_id, coalesce(clause_id, '') || ' ' || coalesce(heading, '') AS title_text FROM chunks), {bm25('title_text', 'ti', 'titled')}"
@@ -51,20 +52,20 @@ def bm25_scores(spark, d):
 
 @query(f"{BODY}, {ranked('bm', 'r', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")
 def bm25_topk(spark, d):
-    return big(lexical.bm25_top_k(chunks(spark, d), questions(spark, d), 10).withColumn("score", F.round("score", 6)), "rank")
+    return big(keyword_index(spark, d).top_k(questions(spark, d), 10).withColumn("score", F.round("score", 6)), "rank")
 
 
 @query(f"{BODY}, f AS (SELECT bm.* FROM bm JOIN chunks USING (chunk_id) WHERE doc_family = CASE WHEN query_id % 2 = 0 THEN 'en' ELSE 'de' END), {ranked('f', 'r', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")
 def bm25_filtered(spark, d):
     c, q = chunks(spark, d), questions(spark, d)
     wanted = q.select("query_id", F.when(F.col("query_id") % 2 == 0, "en").otherwise("de").alias("doc_family"))
-    allowed = c.select("chunk_id", "doc_family").join(F.broadcast(wanted), "doc_family").select("query_id", "chunk_id")
-    return big(lexical.bm25_top_k(c, q, 10, allowed).withColumn("score", F.round("score", 6)), "rank")
+    allowed = c.select("chunk_id", "doc_family").join(wanted, "doc_family").select("query_id", "chunk_id")
+    return big(keyword_index(spark, d).top_k(q, 10, allowed=allowed).withColumn("score", F.round("score", 6)), "rank")
 
 
 @query(f"{TITLE}, {ranked('ti', 'r', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")
 def title_bm25(spark, d):
-    return big(lexical.bm25_top_k(lexical.title_field(chunks(spark, d)), questions(spark, d), 10, field="title_text").withColumn("score", F.round("score", 6)), "rank")
+    return big(keyword_index(spark, d).top_k(questions(spark, d), 10, field="title_text").withColumn("score", F.round("score", 6)), "rank")
 
 
 VEC = "v AS (SELECT vec_id AS chunk_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
@@ -138,8 +139,8 @@ TWO = f"{TITLE}, {bm25()}, {ranked('bm', 'rb', 50)}, {ranked('ti', 'rt', 50)}, {
 
 
 def _body_and_title(spark, d):
-    c, q = chunks(spark, d), questions(spark, d)
-    return lexical.bm25_top_k(c, q, 50), lexical.bm25_top_k(lexical.title_field(c), q, 50, field="title_text")
+    stored, q = keyword_index(spark, d), questions(spark, d)
+    return stored.top_k(q, 50), stored.top_k(q, 50, field="title_text")
 
 
 @query(TWO + " SELECT query_id, chunk_id, rank, round(score, 9) AS score FROM fused")
@@ -154,10 +155,103 @@ rv AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTIT
 
 @query(HYBRID)
 def hybrid_search(spark, d):
-    v = _vectors(spark, d)
-    q = questions(spark, d)
-    fused = fusion.hybrid_search(chunks(spark, d), q, v.select("chunk_id", "vec"), v.select(F.col("chunk_id").alias("query_id"), "vec").join(q.select("query_id"), "query_id"), route=False)
-    return big(fused.withColumn("score", F.round("score", 9)), "rank")
+    return big(fusion.hybrid_search(*_searched(spark, d), route=False, index=keyword_index(spark, d)).withColumn("score", F.round("score", 9)), "rank")
+
+
+def _searched(spark, d):
+    """Chunks, questions, vectors, and the questions' vectors."""
+    v, q = _vectors(spark, d), questions(spark, d)
+    return chunks(spark, d), q, v.select("chunk_id", "vec"), v.select(F.col("chunk_id").alias("query_id"), "vec").join(q.select("query_id"), "query_id")
+
+
+# The routed search: the tables' questions name no family or role, so a rule on their ids does.
+ROUTED_SEARCH = f"""{TITLE}, {bm25()}, {VEC}, near AS (SELECT q.query_id, p.chunk_id, list_dot_product(p.vec, v.vec) AS score FROM v p, questions q JOIN v ON v.chunk_id = q.query_id),
+ro AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'xx' END AS family, CASE WHEN query_id % 3 = 0 THEN 'src' || (query_id % 20) END AS role FROM questions),
+ct AS (SELECT r.query_id, r.family, r.role, count(*) FILTER (r.family IS NULL OR r.family = c.doc_family) AS n, count(*) FILTER ((r.family IS NULL OR r.family = c.doc_family) AND r.role = c.doc_role) AS m FROM ro r, chunks c WHERE r.family IS NOT NULL OR r.role IS NOT NULL GROUP BY 1, 2, 3),
+ru AS (SELECT query_id, family, role, role IS NOT NULL AND m >= 3 AS by_role FROM ct WHERE n >= 3),
+fam AS (SELECT near.* FROM near JOIN ro USING (query_id) LEFT JOIN chunks c USING (chunk_id) WHERE ro.family IS NULL OR c.doc_family = ro.family),
+{{near_k}}, rn AS ({{restrict_near}}), enough AS (SELECT query_id FROM rn GROUP BY 1 HAVING count(*) >= 3),
+r0 AS (SELECT query_id, chunk_id, rank FROM rn WHERE query_id IN (SELECT query_id FROM enough) UNION ALL SELECT query_id, chunk_id, rank FROM broad WHERE query_id NOT IN (SELECT query_id FROM enough)),
+fb AS ({{restrict_body}}), ft AS ({{restrict_title}}), {ranked('fb', 'r1', 50)}, {ranked('ft', 'r2', 50)}, {_fused('r0', 'r1', 'r2')},
+cand AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM fused JOIN chunks USING (chunk_id))"""
+
+
+def _restrict(x: str) -> str:
+    return f"SELECT x.* FROM {x} x JOIN chunks c USING (chunk_id) LEFT JOIN ru USING (query_id) WHERE ru.by_role IS NULL OR ((ru.family IS NULL OR ru.family = c.doc_family) AND (NOT ru.by_role OR ru.role = c.doc_role))"
+
+
+def _nearest(x: str, name: str, k: int) -> str:
+    return f"{name} AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM {x}) WHERE rank <= {k})"
+
+
+ROUTED_SEARCH = ROUTED_SEARCH.format(near_k=f"{_nearest('near', 'broad', 50)}, {_nearest('fam', 'fk', 50)}", restrict_near=_restrict("fk"), restrict_body=_restrict("bm"), restrict_title=_restrict("ti"))
+
+
+def _routes(spark, d):
+    q = F.col("query_id")
+    return questions(spark, d).select("query_id", F.when(q % 4 == 0, "en").when(q % 4 == 1, "de").when(q % 4 == 2, "xx").alias("family"), F.when(q % 3 == 0, F.concat(F.lit("src"), (q % 20).cast("string"))).alias("role"))
+
+
+@query(ROUTED_SEARCH + " SELECT query_id, chunk_id, rank, round(score, 9) AS score FROM fused")
+def hybrid_routed(spark, d):
+    """Route, three narrowed lists, fusion."""
+    return big(fusion.hybrid_search(*_searched(spark, d), routed=_routes(spark, d), index=keyword_index(spark, d)).withColumn("score", F.round("score", 9)), "rank")
+
+
+def _pair_model():
+    """A stand-in for a cross-encoder: how far the passage is from eight times the question's length. Two outputs a pair, of which the last counts."""
+    import numpy as np
+
+    return lambda pairs: np.array([[0.0, -abs(8.0 * len(q) - len(p))] for q, p in pairs])
+
+
+@query(ROUTED_SEARCH + """, s AS (SELECT query_id, chunk_id, rank AS was, -abs(8 * length(question) - length(page_content)) AS s FROM cand JOIN questions USING (query_id) JOIN chunks USING (chunk_id))
+SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, was) AS rank FROM s) WHERE rank <= 12""")
+def cross_rerank(spark, d):
+    """The whole search: route, lists, fusion, all candidates scored in pairs by a model behind an Arrow UDF, cut at 12."""
+    c, q, v, qv = _searched(spark, d)
+    scorer = models.pair_scorer(_pair_model)
+    pairs = lambda fused: fused.join(q, "query_id").join(c.select("chunk_id", "page_content"), "chunk_id").select("query_id", "chunk_id", scorer(F.col("question"), F.col("page_content")).alias("score"))
+    return big(fusion.search(c, q, v, qv, pairs, routed=_routes(spark, d), index=keyword_index(spark, d)), "rank")
+
+
+@query(ROUTED_SEARCH + """, s AS (SELECT query_id, chunk_id, avg(best) AS s FROM (SELECT f.query_id, f.chunk_id, a.i, max(list_dot_product(x.vec, y.vec)) AS best FROM cand f, (VALUES (0), (1), (2)) AS a(i), (VALUES (0), (7)) AS b(i), v x, v y
+  WHERE f.rank <= 40 AND x.chunk_id = (f.query_id + a.i) % 500 AND y.chunk_id = (f.chunk_id + b.i) % 500 GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 40 THEN 0 ELSE 1 END, CASE WHEN rank <= 40 THEN -round(s, 9) END, rank) AS rank FROM cand LEFT JOIN s USING (query_id, chunk_id)) WHERE rank <= 20""")
+def late_rerank(spark, d):
+    """The whole search with late interaction: the first 40 by token vectors (here taken from the vector table), the rest behind, cut at 20."""
+    c, q, v, qv = _searched(spark, d)
+    tokens = lambda key, frame, steps: frame.select(key, F.explode(F.array(*[F.lit(i) for i in steps])).alias("pos")).withColumn("at", (F.col(key) + F.col("pos")) % 500).join(v.select(F.col("chunk_id").alias("at"), "vec"), "at").select(key, "pos", "vec")
+    late = lambda head: vectors.max_sim(tokens("query_id", q, (0, 1, 2)), tokens("chunk_id", head.select("chunk_id").distinct(), (0, 7)), head)
+    return big(fusion.search(c, q, v, qv, late, strategy="late-interaction", routed=_routes(spark, d), index=keyword_index(spark, d)), "rank")
+
+
+@query(f"{TITLE}, {bm25()}, en AS (SELECT bm.* FROM bm JOIN chunks USING (chunk_id) WHERE doc_family = 'en'), {ranked('bm', 'ra', 50)}, {ranked('ti', 'rb', 50)}, {ranked('en', 'rc', 50)}, {_fused('ra', 'rb', 'rc')} SELECT query_id, chunk_id, rank, round(score, 9) AS score FROM fused")
+def rrf_three(spark, d):
+    """Body, title and the body of one family, fused."""
+    stored, q = keyword_index(spark, d), questions(spark, d)
+    english = lexical.top_k(stored.scores(q).join(chunks(spark, d).where("doc_family = 'en'").select("chunk_id"), "chunk_id"), 50)
+    return big(fusion.rrf(fusion.union_rankings(stored.top_k(q, 50), stored.top_k(q, 50, field="title_text"), english)).withColumn("score", F.round("score", 9)), "rank")
+
+
+@query(f"""WITH {CHUNKS}, {QUESTIONS}, titled AS (SELECT chunk_id, coalesce(clause_id, '') || ' ' || coalesce(heading, '') AS title_text FROM chunks), {bm25()}, {bm25('title_text', 'ti', 'titled')}
+SELECT 'page_content' AS field, (SELECT n FROM bm_s) AS n_docs, (SELECT count(*) FROM bm_i) AS n_terms, (SELECT count(*) FROM bm_p) AS n_postings, (SELECT CAST(sum(tf) AS BIGINT) FROM bm_p) AS n_tokens
+UNION ALL SELECT 'title_text', (SELECT n FROM ti_s), (SELECT count(*) FROM ti_i), (SELECT count(*) FROM ti_p), (SELECT CAST(sum(tf) AS BIGINT) FROM ti_p)""")
+def keyword_index_build(spark, d):
+    """Builds the stored index anew, whatever there is, and counts what it holds."""
+    path = index.scratch_path(spark, "keywords-new")
+    keywords.build(lexical.title_field(chunks(spark, d)), FIELDS, path, "new")
+    made = keywords.open_keyword_index(spark, path, "new")
+    n = lambda df, name: df.groupBy("field").agg(F.count("*").alias(name))
+    return n(made.docs, "n_docs").join(n(made.terms, "n_terms"), "field").join(made.postings.groupBy("field").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens")), "field")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9\-.]*') AS ts FROM documents)
+SELECT doc_id, CAST(len(ts) AS BIGINT) AS n_words, CAST(len(list_filter(ts, lambda t: length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss')) AS BIGINT) AS n_singulars FROM t""")
+def plural_expand(spark, d):
+    """How many singulars the tokenizer adds."""
+    plain = F.size(F.regexp_extract_all(F.lower(X.text(F.col("text"))), F.lit(X.TOKEN), F.lit(0)))
+    return big(table(spark, d, "documents").select("doc_id", plain.alias("n_words"), (F.size(X.tokenize(F.col("text"))) - plain).alias("n_singulars")), "n_words", "n_singulars")
 
 
 @query(f"""{TWO}, s AS (SELECT *, CAST(chunk_id * 37 % 101 AS DOUBLE) / 101 AS s FROM fused),
@@ -246,7 +340,7 @@ j AS (SELECT g.id, min(CASE WHEN len(list_filter(b.accepted, lambda a: a.file =
 
 def _judged(spark, d):
     c = chunks(spark, d)
-    got = lexical.bm25_top_k(c, questions(spark, d), 12).join(c.select("chunk_id", "source_file", "page"), "chunk_id").select(F.col("query_id").alias("id"), "rank", F.col("source_file").alias("file"), "page")
+    got = keyword_index(spark, d).top_k(questions(spark, d), 12).join(c.select("chunk_id", "source_file", "page"), "chunk_id").select(F.col("query_id").alias("id"), "rank", F.col("source_file").alias("file"), "page")
     i = F.col("item_id")
     also = F.array(F.struct(F.concat(F.lit("src"), ((i + 5) % 20).cast("string")).alias("file"), F.array(i, i * 3, F.lit(500)).cast("array<int>").alias("pages")))
     gold = table(spark, d, "benchmark").select(i.alias("id"), evaluate.accepted(F.concat(F.lit("src"), (i % 20).cast("string")), F.lit(None).cast("array<int>"), also).alias("accepted"))
