@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,23 +41,31 @@ def remaining(used: Column, per_day: int = PER_DAY) -> Column:
 
 
 def admit_by_session(events: DataFrame, session: str = "session", ts: str = "ts", event: str = "event_id", per_session: int = PER_SESSION, gap: float = GAP_SECONDS) -> DataFrame:
-    """(session, event, ts, ok, reason, used): session cap and gap, without the daily cap. A fold over each session's requests in order, in the JVM."""
-    row = F.struct(F.col(ts).cast("timestamp").alias("ts"), F.col(event).alias("id"))
-    rows = events.groupBy(F.col(session).alias("session")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    decided = "array<struct<id:bigint,ts:timestamp,ok:boolean,reason:string,used:int>>"
-    start = F.struct(F.array().cast(decided).alias("out"), F.lit(0).alias("used"), F.lit(None).cast("timestamp").alias("last"))
-
-    def step(acc: Column, r: Column) -> Column:
-        wait = F.lit(float(gap)) - (F.unix_micros(r["ts"]) - F.unix_micros(acc["last"])) / F.lit(1e6)
-        reason = F.when(acc["used"] >= per_session, "session").when(F.coalesce(wait, F.lit(0.0)) > 0, "gap").otherwise("")
-        return F.struct(
-            F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), r["ts"].alias("ts"), (reason == "").alias("ok"), reason.alias("reason"), (acc["used"] + (reason == "").cast("int")).alias("used")))).alias("out"),
-            (acc["used"] + (reason == "").cast("int")).alias("used"),
-            F.when(reason == "", r["ts"]).otherwise(acc["last"]).alias("last"),
-        )
-
-    folded = rows.select("session", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("d"))
-    return folded.select("session", F.col("d.id").alias("event_id"), F.col("d.ts").alias("ts"), F.col("d.ok").alias("ok"), F.col("d.reason").alias("reason"), F.col("d.used").alias("used"))
+    """(session, event, ts, ok, reason, used): session cap and gap, without the daily cap.
+
+    Each decision depends on the last admitted request of its session, so sessions are dealt out, sorted with spilling and
+    streamed past a state of two numbers: no session is gathered, however many requests it has.  A null time never waits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, last = object(), 0, None
+        for batch in batches:
+            ok, reasons, counts = [], [], []
+            for s, at in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if s != now:
+                    now, used, last = s, 0, None
+                reason = "session" if used >= per_session else "gap" if None not in (last, at) and gap - (at - last) / 1e6 > 0 else ""
+                if not reason:
+                    used, last = used + 1, at
+                ok.append(not reason)
+                reasons.append(reason)
+                counts.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_()), pa.array(reasons, pa.string()), pa.array(counts, pa.int32())], names=["session", "event_id", "ts", "ok", "reason", "used"])
+
+    at = F.col(ts).cast("timestamp")
+    rows = events.select(F.col(session).alias("session"), F.col(event).cast("bigint").alias("event_id"), at.alias("ts"), F.unix_micros(at).alias("at"))
+    kind = rows.schema["session"].dataType.simpleString()
+    return rows.repartition("session").sortWithinPartitions("session", "at", "event_id").mapInArrow(run, f"session {kind}, event_id bigint, ts timestamp, ok boolean, reason string, used int")
 
 
 class Gate:

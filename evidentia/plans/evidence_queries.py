@@ -181,7 +181,7 @@ def colour_contrast(spark, d):
     return rows(spark, COLOURS, "a, b").select("a", "b", F.round(X.contrast(F.col("a"), F.col("b")), 4).alias("contrast"))
 
 
-@query()
+@query("SELECT lang AS doc_family, count(*) AS n FROM documents GROUP BY 1")
 def index_roundtrip(spark, d):
     from .base import chunks as all_chunks
 

@@ -15,6 +15,15 @@ f AS (SELECT user_id, event_id, ts, i, true AS ok, '' AS reason, 1 AS used, ts A
   f.used + CASE WHEN f.used < 8 AND NOT (e.ts - f.last < INTERVAL 3600 SECOND) THEN 1 ELSE 0 END, CASE WHEN f.used < 8 AND NOT (e.ts - f.last < INTERVAL 3600 SECOND) THEN e.ts ELSE f.last END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)"""
 
 
+# All three limits: one order over all requests, the state carried from one to the next.
+ALL_LIMITS = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS session, CAST(NULL AS BIGINT) AS event_id, '' AS reason, CAST(-1 AS BIGINT) AS day, CAST(0 AS BIGINT) AS used, CAST(MAP {} AS MAP(BIGINT, STRUCT(c BIGINT, t DOUBLE))) AS seen
+ UNION ALL SELECT i, user_id, event_id, reason, day, used + CASE WHEN reason = '' THEN 1 ELSE 0 END, CASE WHEN reason = '' THEN map_concat(seen, map([user_id], [struct_pack(c := coalesce(s.c, 0) + 1, t := sec)])) ELSE seen END
+  FROM (SELECT *, CASE WHEN s.c >= 50 THEN 'session' WHEN used >= 25 THEN 'daily' WHEN 60 - (sec - s.t) > 0 THEN 'gap' ELSE '' END AS reason
+   FROM (SELECT e.*, f.seen, f.seen[e.user_id] AS s, CAST(floor(sec / 86400) AS BIGINT) AS day, CASE WHEN f.day = floor(sec / 86400) THEN f.used ELSE 0 END AS used FROM f JOIN e ON e.i = f.i + 1)))
+SELECT session, event_id, reason = '' AS ok, reason, greatest(25 - used, 0) AS remaining_today FROM f WHERE i > 0"""
+
+
 def _events(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("session"), "event_id", "ts")
 
@@ -59,7 +68,7 @@ def quota_check(spark, d):
     return big(table(spark, d, "events").select("event_id", c.alias("c")).select("event_id", "c.ok", "c.reason", "c.remaining_today", "c.wait_seconds"), "remaining_today")
 
 
-@query()
+@query(ALL_LIMITS)
 def quota_all_limits(spark, d):
     return quota.admit(_events(spark, d), per_session=50, per_day=25, gap=60.0).select("session", "event_id", "ok", "reason", "remaining_today")
 
@@ -69,6 +78,6 @@ def streaming_daily_count(spark, d):
     return admission.daily_counts(spark, f"{d}/events.parquet")
 
 
-@query()
+@query(ALL_LIMITS)
 def streaming_quota(spark, d):
     return admission.admit_stream_once(spark, f"{d}/events.parquet", per_session=50, per_day=25, gap=60.0)

@@ -146,7 +146,7 @@ f AS (SELECT doc_id, i, t AS size, 0 AS part FROM n WHERE i = 1 UNION ALL SELECT
 o AS (SELECT doc_id, part, line FROM p JOIN c USING (doc_id) WHERE tokens > 40 UNION ALL SELECT doc_id, 0, array_to_string(w, ' ') FROM ws JOIN c USING (doc_id) WHERE tokens <= 40) SELECT doc_id, CAST(part AS BIGINT) AS part, md5(line) AS line_md5 FROM o""")
 def split_long_lines(spark, d):
     line = F.replace("text", F.lit("\n"), F.lit(" "))
-    parts = table(spark, d, "documents").select("doc_id", F.posexplode(packing.split_long_line(line, F.lit(40))).alias("part", "line"))
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(packing.split_long_line(line, 40)).alias("part", "line"))
     return big(parts.select("doc_id", "part", F.md5(F.encode("line", "UTF-8")).alias("line_md5")), "part")
 
 
