@@ -54,7 +54,7 @@ def blocks(docs: DataFrame, scratch: Scratch, text_col: str, size: int = BLOCK_B
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(offsets[j] - offsets[i])]), pa.array([pack(part)], pa.binary())], names=["block", "n_bytes", "rows"])
                 block += 1
 
-    return scratch.table("blocks", docs.mapInArrow(gather, "block bigint, n_bytes bigint, rows binary"))
+    return scratch.table("blocks", docs.mapInArrow(B.tidy(gather), "block bigint, n_bytes bigint, rows binary"))
 
 
 class Block:
@@ -134,8 +134,8 @@ def repeated(blocks: DataFrame, scratch: Scratch, keys: Callable[[Block], np.nda
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], names=["block", "bucket", "bits", "hot"])
 
-    sent = blocks.mapInArrow(send, "bucket int, block bigint, keys binary").repartition(n, "bucket")
-    back = scratch.table(name, sent.mapInArrow(meet, "block bigint, bucket int, bits binary, hot binary"))
+    sent = blocks.mapInArrow(B.tidy(send), "bucket int, block bigint, keys binary").repartition(n, "bucket")
+    back = scratch.table(name, sent.mapInArrow(B.tidy(meet), "block bigint, bucket int, bits binary, hot binary"))
     return back.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("sent"))
 
 

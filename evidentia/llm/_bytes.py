@@ -7,7 +7,9 @@ about Spark.  Temporary arrays stay within a few times the size of one slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,26 @@ def codes(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. A Python worker lives on after its task, and what it keeps counts against the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc: then freed memory stays with the worker
+        return
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back when it has seen all."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and its offsets (a null counts as empty), without a copy where possible."""
     if isinstance(texts, pa.ChunkedArray):

@@ -428,7 +428,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, ratio: float = 0.15, leas
                 rows = pa.array([r[0] for r in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *(pa.array([r[c] for r in found], pa.int64()) for c in range(1, 5))], names=["doc_id", "item_id", "start", "length", "distance"])
 
-        found = pairs.mapInArrow(places, schema)
+        found = pairs.mapInArrow(B.tidy(places), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -445,7 +445,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, ratio: float = 0.15,
                 keep[[r[0] for r in found]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(B.tidy(clean), docs.schema)
     return docs
 
 

@@ -1,15 +1,16 @@
 """Token sequences of fixed capacity by harmonic packing.
 
 A piece of length n belongs to class k = capacity // n: k of its class fill a
-bin whatever their exact lengths.  Each worker keeps one open bin a class and
-packs what it reads, alone; no two workers need to agree on anything.  The room
-that a full count leaves over is filled with a cut from the longest text at hand, so
-almost no padding remains.
+bin whatever their exact lengths.  A text beyond the capacity gives whole sequences first, and
+its tail goes to the class of its own length.  Each worker keeps its bins alone; no two workers need to
+agree on anything.  The room that a full count leaves over is filled with cuts from texts of the
+first class (of more than half the capacity), so almost no padding remains.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,12 @@ from . import _bytes as B
 
 #: Id that ends each document.
 END = 1
-#: Classes; shorter pieces fill bins of the last one by length.
-CLASSES = 32
 #: Tokens that a worker gathers before it closes bins.
-GATHER = 2_000_000
+GATHER = 400_000
 #: Words whose ids a worker remembers.
-REMEMBER = 400_000
-CHUNK = 1 << 22
+REMEMBER = 200_000
+#: Bytes of text worked on at one time.
+CHUNK = 1 << 19
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -51,7 +51,7 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)  # in order
+        self.keys = self.check = np.zeros(0, dtype=np.uint64)  # two independent hashes, in order of the first
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,97 +81,101 @@ class Words:
         cut = cut[~np.isin(cut, offsets)]  # not where a text starts
         s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
         first = np.searchsorted(s, offsets)
-        hashes = B.span_hashes(data, s, e)
-        order = np.argsort(hashes)
+        hashes, check = B.span_hashes(data, s, e), B.span_hashes(data, s, e, salt=1)
+        order = np.lexsort((check, hashes))
         new = np.ones(len(order), dtype=bool)
-        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-        keys, one = hashes[order[new]], order[new]
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+        one = order[new]
         which = np.empty(len(order), dtype=np.int64)
         which[order] = np.cumsum(new) - 1
         if len(self.keys) > REMEMBER:
             self.clear()
-        pos = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), dtype=bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(pos, len(self.keys) - 1)] == keys
-        fresh = np.flatnonzero(~known)
+        pos = self._find(hashes[one], check[one])
+        fresh = one[pos < 0]
         if fresh.size:
-            raw = data.tobytes()
-            ids, size = self._encode([raw[a:b].decode() for a, b in zip(s[one[fresh]].tolist(), e[one[fresh]].tolist(), strict=True)])
+            ids, size = self._encode([data[a:b].tobytes().decode() for a, b in zip(s[fresh].tolist(), e[fresh].tolist(), strict=True)])
             at = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, ids])
-            self.keys, self.at, self.size = (np.insert(old, pos[fresh], x) for old, x in ((self.keys, keys[fresh]), (self.at, at), (self.size, size)))
-            pos = np.searchsorted(self.keys, keys)
+            keys, checks = np.concatenate([self.keys, hashes[fresh]]), np.concatenate([self.check, check[fresh]])
+            order = np.lexsort((checks, keys))
+            self.keys, self.check, self.at, self.size = keys[order], checks[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+            pos = self._find(hashes[one], check[one])
         at, size = self.at[pos][which], self.size[pos][which]
-        out = self.ids[B.ranges(at, size)]
-        return out, np.concatenate([[0], np.cumsum(size)])[first]
+        return self.ids[B.ranges(at, size)], np.concatenate([[0], np.cumsum(size)])[first]
+
+    def _find(self, keys: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Places of words among those remembered, by both hashes; -1 for new ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        j, p = B.ranges(lo, hi - lo), np.repeat(np.arange(len(keys)), hi - lo)
+        same = self.check[j] == check[p]
+        out = np.full(len(keys), -1)
+        out[p[same]] = j[same]
+        return out
 
 
 class Packer:
-    """Bins of one worker. Takes (doc, ids) and gives pieces (doc, start, length, crc, doc_tokens, bin, offset)."""
+    """Bins of one worker. Takes texts as ids in a row and gives columns of pieces (doc, start, length, crc, doc_tokens, bin, offset)."""
 
     def __init__(self, capacity: int, base: int):
-        self.capacity, self.next, self.texts, self.held = capacity, base, [], 0
-
-    def take(self, doc: int | None, ids: np.ndarray) -> None:
-        self.texts.append((doc, ids))
+        self.capacity, self.next = capacity, base
+        self._empty()
+
+    def _empty(self) -> None:
+        self.docs: list[int | None] = []
+        self.ids: list[np.ndarray] = []
+        self.size: list[int] = []
+        self.held = 0
+
+    def take(self, docs: list[int | None], ids: np.ndarray, at: np.ndarray) -> None:
+        """Texts docs[i] with ids[at[i]:at[i+1]]."""
+        self.docs += docs
+        self.ids.append(ids)
+        self.size += np.diff(at).tolist()
         self.held += len(ids)
 
-    def _piece(self, text: list, n: int, offset: int) -> tuple:
-        doc, ids, start = text
-        text[2] += n
-        return doc, start, n, zlib.crc32(ids[start : start + n].astype("<u4").tobytes()), len(ids), self.next, offset
-
-    def close(self) -> Iterator[tuple]:
-        """Packs all that is held. Each text but those that are cut for filling is one piece of its class."""
-        whole = sorted(([d, ids, 0] for d, ids in self.texts), key=lambda x: len(x[1]))
-        self.texts, self.held = [], 0
-        classes: list[list[list]] = [[] for _ in range(CLASSES + 1)]
-        long = []  # texts of more than half the capacity: whole sequences are cut from them, and fillings
-        for x in whole:
-            n = len(x[1])
-            if n * 2 > self.capacity:
-                long.append(x)
-            else:
-                classes[min(self.capacity // n, CLASSES)].append(x)
-        # shortest first, so that long texts are left for the fillings of all classes
-        rest = [x for k in range(2, CLASSES + 1) for x in reversed(classes[k])][::-1]
-        k = 0
-        while k < len(rest):
-            n = len(rest[k][1])
-            count = min(self.capacity // n, CLASSES)
-            group, used = [], 0
-            while k < len(rest) and used + len(rest[k][1]) <= self.capacity and (len(group) < count or count == CLASSES):
-                group.append(rest[k])
-                used += len(rest[k][1])
-                k += 1
-            offset = 0
-            for x in group:
-                n = len(x[1])
-                yield self._piece(x, n, offset)
-                offset += n
-            while offset < self.capacity and (long or k < len(rest)):
-                filler = long[-1] if long else rest[-1]
-                n = min(len(filler[1]) - filler[2], self.capacity - offset)
-                yield self._piece(filler, n, offset)
-                offset += n
-                if filler[2] == len(filler[1]):
-                    (long if long else rest).pop()
-                elif not long:  # a cut text of a class goes on as a filler
-                    long.append(rest.pop())
-            self.next += 1
-        offset = 0
-        while long:
-            filler = long[-1]
-            n = min(len(filler[1]) - filler[2], self.capacity - offset)
-            yield self._piece(filler, n, offset)
-            offset += n
-            if filler[2] == len(filler[1]):
-                long.pop()
-            if offset == self.capacity:
-                offset = 0
+    def close(self) -> list[list]:
+        """Packs all that is held. A text that fits a sequence is one piece, unless it is cut for filling."""
+        capacity, docs, size = self.capacity, self.docs, self.size
+        flat = np.concatenate([*self.ids, np.zeros(0, np.uint32)]).astype("<u4", copy=False)
+        begin = np.cumsum([0, *size])
+        done = [0] * len(docs)
+        out: list[list] = [[] for _ in range(7)]
+
+        def piece(t: int, n: int, offset: int) -> int:
+            a = int(begin[t]) + done[t]
+            for column, x in zip(out, (docs[t], done[t], n, zlib.crc32(flat[a : a + n]), size[t], self.next, offset), strict=True):
+                column.append(x)
+            done[t] += n
+            return offset + n
+
+        for t, n in enumerate(size):  # whole sequences of long texts; what is left of them has a class like others
+            while n - done[t] >= capacity:
+                piece(t, capacity, 0)
                 self.next += 1
-        self.next += bool(offset)
+        left = lambda t: size[t] - done[t]
+        rest = sorted((t for t in range(len(docs)) if left(t)), key=left)
+        halves = next((i for i, t in enumerate(rest) if left(t) * 2 > capacity), len(rest))
+        # the shortest first, so that the first class is there to fill the room of all others
+        small, first = deque(rest[:halves]), deque(rest[halves:])
+        cut: list[int] = []  # the text that is being cut
+        while small or first or cut:
+            source, offset = small or first, 0
+            k = capacity // left(source[0]) if source else 0
+            for _ in range(k):
+                if not source or capacity // left(source[0]) != k:
+                    break
+                offset = piece(source[0], left(source[0]), offset)
+                source.popleft()
+            while offset < capacity and (cut or first or small):
+                t = cut.pop() if cut else (first or small).pop()
+                offset = piece(t, min(left(t), capacity - offset), offset)
+                if left(t):
+                    cut.append(t)
+            self.next += 1
+        self._empty()
+        return out
 
 
 def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,22 +199,20 @@ def pack(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, id_col: str =
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words = Words(tokenizer)
         packer = Packer(capacity, TaskContext.get().partitionId() << 36)
-
-        def out(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(7)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in packer.close()], names=names)
 
         for batch in batches:
             data, offsets = B.flat(batch.column(1))
-            docs_ = batch.column(0).to_pylist()
             for i, j in B.cuts(offsets, CHUNK):
                 ids, at = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for d in range(j - i):
-                    packer.take(docs_[i + d], np.append(ids[at[d] : at[d + 1]], np.uint32(END)))
+                ended = np.insert(ids, at[1:], np.uint32(END))
+                packer.take(batch.column(0).slice(i, j - i).to_pylist(), ended, at + np.arange(len(at)))
                 if packer.held > GATHER:
-                    yield out(list(packer.close()))
-        yield out(list(packer.close()))
+                    yield made()
+        yield made()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(work, PIECES)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(B.tidy(work), PIECES)
 
 
 def default_tokenizer() -> str:

@@ -117,8 +117,8 @@ def dedup_windows(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
         later = K.later_windows([r[:6] for r in rows if r[6] == 1]) + [(r[0], r[3]) for r in rows if r[6] == 0]
         yield K.places_out([(block, at, window) for block, at in later])
 
-    sent = K.with_sent(rows, seen).mapInArrow(extend, K.WINDOWS)
-    late = scratch.table("late", sent.repartition(n, "bucket").mapInArrow(meet, K.PLACES))
+    sent = K.with_sent(rows, seen).mapInArrow(B.tidy(extend), K.WINDOWS)
+    late = scratch.table("late", sent.repartition(n, "bucket").mapInArrow(B.tidy(meet), K.PLACES))
     scratch.sweep()
     names = docs.columns
     t = names.index(text_col)
@@ -148,7 +148,7 @@ def dedup_windows(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     late = late.groupBy("block").agg(F.collect_list(F.struct("places")).alias("sent"))
-    return K.with_sent(rows, late).mapInArrow(cut, schema)
+    return K.with_sent(rows, late).mapInArrow(B.tidy(cut), schema)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

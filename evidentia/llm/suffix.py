@@ -309,8 +309,8 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
         gone = contexts_meet([(r[0], r[1], r[3], r[4], r[5], r[7]) for r in rows if r[6] == 2], length, k)
         yield K.places_out([*out, *((block, np.array(x, dtype=np.uint32).tobytes(), 0) for block, x in gone.items())])
 
-    sent = K.with_sent(rows, seen).mapInArrow(send, K.WINDOWS + ", texts binary")
-    gone = scratch.table("gone", sent.repartition(n_meet, "bucket").mapInArrow(meet, K.PLACES))
+    sent = K.with_sent(rows, seen).mapInArrow(B.tidy(send), K.WINDOWS + ", texts binary")
+    gone = scratch.table("gone", sent.repartition(n_meet, "bucket").mapInArrow(B.tidy(meet), K.PLACES))
     scratch.sweep()
     names = docs.columns
     t = names.index(text_col)
@@ -354,7 +354,7 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
     span = T.ArrayType(T.StructType([T.StructField("start", long), T.StructField("length", long)]))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, x) for c, x in zip(added, (long, long, long, span, T.StringType()), strict=True))])
     gone = gone.groupBy("block").agg(F.collect_list(F.struct("places", "size")).alias("sent"))
-    return K.with_sent(rows, gone).mapInArrow(cut_out, schema)
+    return K.with_sent(rows, gone).mapInArrow(B.tidy(cut_out), schema)
 
 
 def _hash_at(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:

@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     if n > most:
         known = known.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(most)
     texts = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(known), id_col).select("text", "label").mapInArrow(_hashed, "terms binary, label int").limit(2 * most).toArrow()
+    got = texts.join(F.broadcast(known), id_col).select("text", "label").mapInArrow(B.tidy(_hashed), "terms binary, label int").limit(2 * most).toArrow()
     packed, labels_ = got.column("terms").to_pylist(), got.column("label").to_numpy()
     del got
     order = sorted(range(len(packed)), key=packed.__getitem__)
@@ -177,7 +177,7 @@ def score(docs: DataFrame, machine: Machine, *, text_col: str = "text") -> DataF
             parts = [sigmoid(shared.value.raw(*terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))) for i, j in B.cuts(offsets, CHUNK)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*parts, np.zeros(0)]))], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(B.tidy(apply), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id) -> F.Column:
