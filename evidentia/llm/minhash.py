@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._components import components
+from ._components import components, extend
 from ._scratch import Scratch
 
 #: Bytes of text worked on at one time.
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: tuple[int, int] =
     scratch = Scratch(spark, "minhash")
     rows, bands = bands_for(num / den, 2 * permutations)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.table("signed", docs.mapInArrow(_signer(k, permutations, rows, bands), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"))
+    signed = scratch.table("signed", docs.mapInArrow(B.tidy(_signer(k, permutations, rows, bands)), "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>"))
     reps = scratch.table("reps", signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     # one row of keys for each distinct set
     keys = signed.select("doc_id", "d1", "d2", "keys").join(reps, ["d1", "d2"]).where("doc_id = rep").select("rep", F.explode("keys").alias("k"))
@@ -233,18 +233,16 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: tuple[int, int] =
     scratch.drop("keys")
     pairs = members.where("rep <> c").select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
     wanted = scratch.table("wanted", members.select(F.col("rep").alias("doc_id")).distinct())
-    sets = scratch.table("sets", docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "id bigint, set array<bigint>"))
-    links = scratch.table("links", _confirm(pairs, sets, num, den).distinct())
-    label = components(links, scratch, "cc-star-")
-    join = lambda more, tag: components(label.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch, tag)
+    sets = scratch.table("sets", docs.join(wanted, "doc_id", "left_semi").mapInArrow(B.tidy(_sets(k)), "id bigint, set array<bigint>"))
+    label = components(_confirm(pairs, sets, num, den), scratch, "cc-star-")
     live = _open(members, label, scratch, "open0")
     for r in range(1, ROUNDS + 1):
         if live.where(F.col("inner") + F.col("outer") > LARGE).isEmpty():
             break
-        label = join(scratch.table(f"more{r}", _confirm(_more_stars(live, r), sets, num, den)), f"cc{r}-")
+        label = extend(label, _confirm(_more_stars(live, r), sets, num, den), scratch, f"cc{r}-")
         live = _open(members, label, scratch, f"open{r}")
     if not live.isEmpty():
-        label = join(scratch.table("rest", _rest(live, sets, num, den)), "cc-rest-")
+        label = extend(label, scratch.table("rest", _rest(live, sets, num, den)), scratch, "cc-rest-")
     for name in ("sets", "members"):
         scratch.drop(name)
     joined = signed.select("doc_id", "n_shingles", "d1", "d2").join(reps.drop("copies"), ["d1", "d2"], "left").join(label, F.col("rep") == F.col("node"), "left")
