@@ -23,11 +23,11 @@ from . import _bytes as B
 #: Id that ends each document.
 END = 1
 #: Tokens that a worker gathers before it closes bins.
-GATHER = 400_000
+GATHER = 500_000
 #: Words whose ids a worker remembers.
-REMEMBER = 200_000
+REMEMBER = 300_000
 #: Bytes of text worked on at one time.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -82,9 +82,12 @@ class Words:
         s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
         first = np.searchsorted(s, offsets)
         hashes, check = B.span_hashes(data, s, e), B.span_hashes(data, s, e, salt=1)
-        order = np.lexsort((check, hashes))
+        order = np.argsort(hashes)
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+        new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+        if (check[order[1:]] != check[order[:-1]])[~new[1:]].any():  # words that share one hash only
+            order = np.lexsort((check, hashes))
+            new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
         one = order[new]
         which = np.empty(len(order), dtype=np.int64)
         which[order] = np.cumsum(new) - 1
@@ -96,9 +99,8 @@ class Words:
             ids, size = self._encode([data[a:b].tobytes().decode() for a, b in zip(s[fresh].tolist(), e[fresh].tolist(), strict=True)])
             at = len(self.ids) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, ids])
-            keys, checks = np.concatenate([self.keys, hashes[fresh]]), np.concatenate([self.check, check[fresh]])
-            order = np.lexsort((checks, keys))
-            self.keys, self.check, self.at, self.size = keys[order], checks[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+            into = np.searchsorted(self.keys, hashes[fresh])
+            self.keys, self.check, self.at, self.size = (np.insert(old, into, x) for old, x in ((self.keys, hashes[fresh]), (self.check, check[fresh]), (self.at, at), (self.size, size)))
             pos = self._find(hashes[one], check[one])
         at, size = self.at[pos][which], self.size[pos][which]
         return self.ids[B.ranges(at, size)], np.concatenate([[0], np.cumsum(size)])[first]
@@ -107,11 +109,18 @@ class Words:
         """Places of words among those remembered, by both hashes; -1 for new ones."""
         if not len(self.keys):
             return np.full(len(keys), -1)
-        lo, hi = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        j, p = B.ranges(lo, hi - lo), np.repeat(np.arange(len(keys)), hi - lo)
-        same = self.check[j] == check[p]
-        out = np.full(len(keys), -1)
-        out[p[same]] = j[same]
+        pos = np.searchsorted(self.keys, keys)
+        open_, out = np.arange(len(keys)), np.full(len(keys), -1)
+        while open_.size:  # once, but for words that share one hash only
+            at = pos[open_]
+            same = at < len(self.keys)
+            open_, at = open_[same], at[same]
+            same = self.keys[at] == keys[open_]
+            open_, at = open_[same], at[same]
+            hit = self.check[at] == check[open_]
+            out[open_[hit]] = at[hit]
+            open_ = open_[~hit]
+            pos[open_] += 1
         return out
 
 
