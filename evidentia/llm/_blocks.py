@@ -22,10 +22,12 @@ from ._scratch import Scratch
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 4 << 20
-#: Hashes in a bucket, about.
-BUCKET = 3_000_000
-#: A key that more blocks than this hold is hot.
-HOT_BLOCKS = 1024
+#: Hashes in a bucket, about, and tasks of an exchange at most: beyond that a task takes several buckets, one after the other.
+BUCKET, TASKS = 3_000_000, 8192
+#: Bytes of text that one task of a join reads, about.
+JOIN_BYTES = 64 << 20
+#: A key with more contexts than this, over all blocks, is hot.
+HOT = 1024
 #: Stands for a null id: before all others.
 NO_ID = np.iinfo(np.int64).min
 
@@ -54,7 +56,11 @@ def blocks(docs: DataFrame, scratch: Scratch, text_col: str, size: int = BLOCK_B
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(offsets[j] - offsets[i])]), pa.array([pack(part)], pa.binary())], names=["block", "n_bytes", "rows"])
                 block += 1
 
-    return scratch.table("blocks", docs.mapInArrow(B.tidy(gather), "block bigint, n_bytes bigint, rows binary"))
+    # how many tasks a join gets follows from Spark's estimate of the rows' size; a wrong one changes no result
+    guess = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = usual if guess >= 1 << 60 else min(max(guess // JOIN_BYTES, usual), 64 * usual, 20_000)  # rows that Spark knows no size of count as 8 EB
+    return scratch.bucketed("blocks", docs.mapInArrow(B.tidy(gather), "block bigint, n_bytes bigint, rows binary"), "block", n)
 
 
 class Block:
@@ -92,31 +98,74 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def cuts_of(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, where its keys lie) of sorted keys, for each bucket that has some."""
+    buckets, first = np.unique(bucket_of(keys, n), return_index=True)
+    for k, i, j in zip(buckets.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        yield k, slice(i, j)
+
+
+def exchange(sent: DataFrame, n: int) -> DataFrame:
+    """Rows with a `bucket` below n, dealt in ranges of buckets to at most TASKS tasks, in order of buckets."""
+    tasks = min(n, TASKS)
+    return sent.repartitionById(tasks, F.floor(F.col("bucket") * F.lit(tasks) / F.lit(n)).cast("int")).sortWithinPartitions("bucket")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each bucket, with these columns, of batches in order of buckets: one bucket is held at a time."""
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        bucket = batch.column("bucket").to_numpy()
+        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            if i == j:
+                continue
+            if held and bucket[i] != now:
+                yield held
+                held = []
+            now = bucket[i]
+            part = batch.slice(i, j - i)
+            held += zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+    if held:
+        yield held
+
+
 def _pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
-def repeated(blocks: DataFrame, scratch: Scratch, keys: Callable[[Block], np.ndarray], n: int, id_col: str, text_col: str, name: str = "repeated") -> DataFrame:
+def repeated(blocks: DataFrame, scratch: Scratch, keys: Callable[[Block], np.ndarray], n: int, id_col: str, text_col: str, name: str = "repeated", contexts: Callable[[Block], np.ndarray] | None = None) -> DataFrame:
     """Table (block, sent): for each block, which of its distinct keys other blocks hold too, and which are hot.
 
+    `contexts` gives, for each key of a block, a number that tells its contexts apart; without it a block has one context a key.
+
     A filter: it tells keys apart by about 32 bits within their bucket, so a few keys in a
     thousand are named in vain; none that repeats is missed.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, _ in each(batches, id_col, text_col):
-            u = np.unique(keys(b))
+            all_ = keys(b)
+            if contexts is None:
+                u, many = np.unique(all_), None
+            else:
+                every = all_[np.unique(B.join(all_, contexts(b)), return_index=True)[1]]
+                u, many = np.unique(every, return_counts=True)
+                many = np.minimum(many, 0xFFFF).astype(np.uint16)
             if not u.size:
                 continue
-            at = np.searchsorted(bucket_of(u, n), np.arange(n + 1))
-            full = np.flatnonzero(np.diff(at))
             low = u.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), b.block)), pa.array([_pack(low[at[k] : at[k + 1]]) for k in full.tolist()], pa.binary())], names=["bucket", "block", "keys"])
+            cut = list(cuts_of(u, n))
+            # one context is the rule: then no counts are sent
+            counts = [None if many is None or (many[s] == 1).all() else _pack(many[s]) for _, s in cut]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cut], pa.int32()), pa.array(np.full(len(cut), b.block)), pa.array([_pack(low[s]) for _, s in cut], pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "block", "keys", "counts"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        if not rows:
-            return
+        for rows in by_bucket(batches, ["bucket", "block", "keys", "counts"]):
+            yield from answer(rows)
+
+    def answer(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(r[2], np.uint32) for r in rows]
         at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         all_ = np.concatenate(parts).astype(np.uint64) | np.repeat(np.array([r[0] for r in rows], np.uint64), np.diff(at)) << np.uint64(32)
@@ -126,16 +175,20 @@ def repeated(blocks: DataFrame, scratch: Scratch, keys: Callable[[Block], np.nda
         size = np.diff(np.append(start, len(s)))
         seen = np.empty(len(s), dtype=np.int64)
         seen[order] = np.repeat(size, size)
+        counts = np.concatenate([np.ones(len(p), np.int64) if r[3] is None else np.frombuffer(r[3], np.uint16) for p, r in zip(parts, rows, strict=True)])
+        heat = np.empty(len(s), dtype=np.int64)
+        heat[order] = np.repeat(np.add.reduceat(counts[order], start), size)
         out = []
-        for i, (bucket, block, _) in enumerate(rows):
-            part = seen[at[i] : at[i + 1]]
-            if (part > 1).any():
-                out.append((block, bucket, _pack(np.packbits(part > 1)), _pack(np.packbits(part > HOT_BLOCKS)) if (part > HOT_BLOCKS).any() else b""))
+        for i, (bucket, block, *_) in enumerate(rows):
+            again, hot = seen[at[i] : at[i + 1]] > 1, heat[at[i] : at[i + 1]] > HOT
+            if again.any() or hot.any():
+                out.append((block, bucket, _pack(np.packbits(again)), _pack(np.packbits(hot)) if hot.any() else b""))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.binary()), pa.array([r[3] for r in out], pa.binary())], names=["block", "bucket", "bits", "hot"])
 
-    sent = blocks.mapInArrow(B.tidy(send), "bucket int, block bigint, keys binary").repartition(n, "bucket")
+    sent = exchange(blocks.mapInArrow(B.tidy(send), "bucket int, block bigint, keys binary, counts binary"), n)
     back = scratch.table(name, sent.mapInArrow(B.tidy(meet), "block bigint, bucket int, bits binary, hot binary"))
+    scratch.sweep()
     return back.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("sent"))
 
 
@@ -143,9 +196,9 @@ def flagged(keys: np.ndarray, n: int, sent: list[dict]) -> tuple[np.ndarray, np.
     """For each key of a block: does it repeat, here or elsewhere; is it hot."""
     u, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
     again, hot = count > 1, np.zeros(len(u), dtype=bool)
-    at = np.searchsorted(bucket_of(u, n), np.arange(n + 1))
+    where = dict(cuts_of(u, n))
     for r in sent:
-        a, b = at[r["bucket"]], at[r["bucket"] + 1]
+        a, b = where[r["bucket"]].start, where[r["bucket"]].stop
         again[a:b] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a).astype(bool)
         if r["hot"]:
             hot[a:b] |= np.unpackbits(np.frombuffer(r["hot"], np.uint8), count=b - a).astype(bool)
@@ -178,10 +231,8 @@ def window_rows(b: Block, n: int, kind: int, at: np.ndarray, doc: np.ndarray, do
     """Rows that send a block's first windows of each kind to their buckets, and the places of windows that an earlier one in the block covers."""
     first, later = first_here(b, at, doc, h1, h2)
     h1s, h2s, ats, docs = h1[first], h2[first].astype(np.uint32), at[first], doc[first]
-    cut = np.searchsorted(bucket_of(h1s, n), np.arange(n + 1))
     rows = []
-    for k in np.flatnonzero(np.diff(cut)).tolist():
-        s = slice(cut[k], cut[k + 1])
+    for k, s in cuts_of(h1s, n):
         d = np.unique(docs[s])
         rows.append((kind, k, b.block, _pack(h1s[s]), _pack(h2s[s]), _pack(ats[s].astype(np.uint32)), _pack(doc_start[d].astype(np.uint32)), _pack(b.ids[d])))
     return rows, at[later]

@@ -33,6 +33,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+        self._tables: list[str] = []
         _live.append(self)
 
     def path(self, name: str) -> str:
@@ -43,6 +44,13 @@ class Scratch:
         df.write.option("compression", "zstd").mode("errorifexists").parquet(self.path(name))
         return self.read(name, df)
 
+    def bucketed(self, name: str, df: DataFrame, key: str, n: int) -> DataFrame:
+        """df, dealt into n buckets by its key, written once and read back: joins on the key move only their other side."""
+        table = f"{self.root.rpartition('/')[2]}_{name}".replace("-", "_")
+        df.repartition(n, key).write.bucketBy(n, key).option("path", self.path(name)).option("compression", "none").format("parquet").saveAsTable(table)
+        self._tables.append(table)
+        return self.spark.table(table)
+
     def sweep(self) -> None:
         """Lets Spark delete the shuffle files of steps that are done: it does so when their plans are collected as garbage, else at some later time."""
         gc.collect()
@@ -53,6 +61,8 @@ class Scratch:
 
     def drop(self, name: str = "") -> None:
         """Deletes a table, or all of them. Call it only when nothing lazy reads the table any more."""
+        for table in [] if name else self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -113,12 +113,13 @@ def dedup_windows(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
             yield K.batch_of(out, _SENT)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "h1", "h2", "at", "doc_at", "ids", "kind")), strict=True)]
-        later = K.later_windows([r[:6] for r in rows if r[6] == 1]) + [(r[0], r[3]) for r in rows if r[6] == 0]
-        yield K.places_out([(block, at, window) for block, at in later])
+        for rows in K.by_bucket(batches, ["block", "h1", "h2", "at", "doc_at", "ids", "kind"]):
+            later = K.later_windows([r[:6] for r in rows if r[6] == 1]) + [(r[0], r[3]) for r in rows if r[6] == 0]
+            yield K.places_out([(block, at, window) for block, at in later])
 
     sent = K.with_sent(rows, seen).mapInArrow(B.tidy(extend), K.WINDOWS)
-    late = scratch.table("late", sent.repartition(n, "bucket").mapInArrow(B.tidy(meet), K.PLACES))
+    late = scratch.table("late", K.exchange(sent, n).mapInArrow(B.tidy(meet), K.PLACES))
+    scratch.drop("repeated")
     scratch.sweep()
     names = docs.columns
     t = names.index(text_col)

@@ -3,10 +3,10 @@
 Every window of `length` bytes picks its least k-gram (k = 32) by hash, so equal
 windows pick equal k-grams, and a block has about one pick in 35 bytes.
 Picks that repeat send their context, all windows that chose them, to the bucket of the
-k-gram.  There a suffix array over the distinct contexts is scanned
+k-gram, each different context once with all its places.  There a suffix array over the contexts of a k-gram is scanned
 with a stack for intervals of common prefixes; those whose
-occurrences differ in the byte before (or start a context) are the maximal repeats, with
-all their occurrences.  All but the earliest occurrence of each are covered.
+occurrences differ in the byte before (or start a context) are the maximal repeats inside contexts, with
+all their occurrences.  `repeat_groups` gives these; dedup removes all but the earliest occurrence of each.
 """
 
 from __future__ import annotations
@@ -35,9 +35,11 @@ ARRAY_BYTES = 1 << 20
 FIRST = 7
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_array(text: np.ndarray, ends: np.ndarray, least: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffixes of `least` bytes or more of several texts in one buffer, in order (none crosses its text's end), and the ranks that sort them.
 
+    `apart` numbers the texts' classes: suffixes of different ones have nothing in common, whatever their bytes.
+
     Prefix doubling from ranks of seven bytes up to half of `least` at most ranks all suffixes; longer
     prefixes are told apart a block of that length at a time, and only for suffixes that are long enough.
     """
@@ -54,6 +56,8 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.nda
     for j in range(1, FIRST):
         packed = packed << 9 | ahead(byte, here, j)
     levels = [np.unique(packed, return_inverse=True)[1] + 1]
+    if apart is not None:
+        levels[0] = np.unique(np.repeat(apart, np.diff(np.concatenate([[0], ends]))) << 32 | levels[0], return_inverse=True)[1] + 1
     size = FIRST
     while size * 2 <= least:
         levels.append(np.unique(levels[-1] << 32 | ahead(levels[-1], here, size), return_inverse=True)[1] + 1)
@@ -110,14 +114,14 @@ def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
                 stack.append([now, left])
 
 
-def maximal_repeats(texts: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, occurrences): every string of `least` bytes or more that occurs twice in `texts` and can be extended neither way in all its occurrences; an occurrence is (text, start)."""
+def maximal_repeats(texts: list[bytes], least: int, apart: list[int] | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, occurrences): every string of `least` bytes or more that occurs twice in `texts` and can be extended neither way in all its occurrences; an occurrence is (text, start). `apart` numbers classes of texts, which are taken one by one."""
     ends = np.cumsum([len(t) for t in texts])
     if not len(ends) or not ends[-1]:
         return
     text = np.frombuffer(b"".join(texts), dtype=np.uint8)
     starts = np.concatenate([[0], ends[:-1]])
-    order, levels = suffix_array(text, ends, least)
+    order, levels = suffix_array(text, ends, least, None if apart is None else np.array(apart, dtype=np.int64))
     if len(order) < 2:
         return
     which = np.repeat(np.arange(len(texts)), ends - starts)
@@ -143,6 +147,13 @@ class _Picks:
     def __init__(self, b: K.Block, length: int, k: int):
         parts = [self._pick(b.data[b.offsets[i] : b.offsets[j]], b.offsets[i : j + 1] - b.offsets[i], length, k, int(b.offsets[i]), i) for i, j in B.cuts(b.offsets, B.SLICE)]
         self.at, self.lo, self.hi, self.doc, self.keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.length = length
+
+    def contexts(self, data: np.ndarray) -> np.ndarray:
+        """A number for each context, by its extent and its edges: different contexts of one k-gram differ in these but for chance."""
+        code = B.codes(data)
+        extent = (self.at - self.lo).astype(np.uint64) << np.uint64(32) | (self.hi - self.lo).astype(np.uint64)
+        return B.join(B.join(extent, code[self.lo]), code[self.hi + self.length - 8])
 
     @staticmethod
     def _pick(data: np.ndarray, offsets: np.ndarray, length: int, k: int, base: int, doc0: int) -> tuple[np.ndarray, ...]:
@@ -180,61 +191,79 @@ def unpack_texts(packed: bytes) -> list[bytes]:
     return pa.ipc.open_stream(packed).read_next_batch().column(0).to_pylist()
 
 
-def _meet(group: dict[bytes, tuple[int, int, int]], text: bytes, place: tuple[int, int, int], gone: dict[int, list[int]]) -> None:
-    """Enters a text at a place into a group; of equal ones the earliest stays, the others are removed."""
-    old = group.setdefault(text, place)
-    if old is not place:
-        if place < old:
-            group[text], old, place = place, place, old
-        gone.setdefault(place[1], []).extend((place[2], len(text)))
-
-
-def contexts_meet(rows: list[tuple], length: int, k: int) -> dict[int, list[int]]:
-    """Removed runs (start, length, start, length, ...) for each block, of contexts in rows (block, keys, starts, places of k-grams, ids, texts).
+def contexts_meet(rows: list[tuple], length: int, k: int) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
+    """(length, string, occurrences) of the maximal repeats of contexts in rows (block, keys, starts, places of k-grams, ids, texts); an occurrence is (id, block, start).
 
-    Equal contexts meet first.  Where several differ, the windows of each are parted by whether they hold half
-    of what surrounds the k-gram on its left or else on its right; only those that agree on that half
-    as well come into a suffix array together.
+    A repeat holds its k-gram and, beside it, half of what surrounds it on the left or else on the right.  So the contexts of a k-gram are
+    parted by what they hold there, those alone go, and each class comes into an array by itself, in which the context of several places stands twice.
     """
-    gone: dict[int, list[int]] = {}
-    groups: dict[int, dict[bytes, tuple[int, int, int]]] = {}
-    grams: dict[int, dict[bytes, int]] = {}
+    where: dict[int, dict[bytes, tuple[int, list[tuple[int, int, int]]]]] = {}
     for block, h1, at, gram, ids, texts in rows:
         for key, place, g, doc, text in zip(*(np.frombuffer(x, t).tolist() for x, t in ((h1, np.uint64), (at, np.uint32), (gram, np.uint32), (ids, np.int64))), unpack_texts(texts), strict=True):
-            _meet(groups.setdefault(key, {}), text, (doc, block, place), gone)
-            grams.setdefault(key, {})[text] = g - place
+            where.setdefault(key, {}).setdefault(text, (g - place, []))[1].append((doc, block, place))
     half = (length - k) // 2
-    pool: list[tuple[bytes, tuple[int, int, int]]] = []
-    size = 0
-
-    def close() -> None:
-        for n, where in maximal_repeats([t for t, _ in pool], length):
-            places = sorted((pool[t][1][0], pool[t][1][1], pool[t][1][2] + start) for t, start in where)
-            for _, block, start in places[1:]:
-                gone.setdefault(block, []).extend((start, n))
-
-    for key, group in groups.items():
-        if len(group) < 2:
+    texts: list[bytes] = []
+    apart: list[int] = []
+    owner: list[tuple[bool, int, list[tuple[int, int, int]]]] = []  # left side, offset of the k-gram, places
+    size = classes = 0
+
+    def found() -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
+        for n, at in maximal_repeats(texts, length, apart):
+            t, start = at[0]
+            left, g, _ = owner[t]
+            if left == (start <= g - half):  # else the other side's class has it, with all its occurrences
+                yield n, texts[t][start : start + n], [(doc, block, place + s) for t, s in at for doc, block, place in owner[t][2]]
+
+    for group in where.values():
+        if len(group) < 2 and all(len(places) < 2 for _, places in group.values()):
             continue
-        sides: dict[tuple[bool, bytes], dict[bytes, tuple[int, int, int]]] = {}
-        for text, (doc, block, place) in group.items():
-            g = grams[key][text]
+        sides: dict[tuple[bool, bytes], list[bytes]] = {}
+        for text, (g, _) in group.items():
             if g >= half:
-                _meet(sides.setdefault((True, text[g - half : g + k]), {}), text[: g - half + length], (doc, block, place), gone)
-            lo = max(0, g - half + 1)
-            if lo + length <= len(text):
-                _meet(sides.setdefault((False, text[g : g + k + half]), {}), text[lo:], (doc, block, place + lo), gone)
-        for side in sides.values():
-            if len(side) > 1:
-                pool += side.items()
-                size += sum(map(len, side))
-        if size > ARRAY_BYTES:
-            close()
-            pool, size = [], 0
-    close()
+                sides.setdefault((True, text[g - half : g + k]), []).append(text)
+            if max(0, g - half + 1) + length <= len(text):
+                sides.setdefault((False, text[g : g + k + half]), []).append(text)
+        for (left, _), members in sides.items():
+            g, places = group[members[0]]
+            if len(members) < 2 and (len(places) < 2 or not left and g >= half):  # alone; or the left class has all of it
+                continue
+            for text in members:
+                g, places = group[text]
+                for own in [places, []][: 1 + (len(places) > 1)]:
+                    texts.append(text)
+                    apart.append(classes)
+                    owner.append((left, g, own))
+                    size += len(text)
+            classes += 1
+            if size > ARRAY_BYTES:
+                yield from found()
+                texts, apart, owner, size = [], [], [], 0
+    yield from found()
+
+
+def removed(groups: Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]) -> dict[int, list[int]]:
+    """Runs (start, length, start, length, ...) for each block that all but the earliest occurrence of each repeat cover."""
+    gone: dict[int, list[int]] = {}
+    for n, _, places in groups:
+        first = min(places)
+        for p in places:
+            if p != first:
+                gone.setdefault(p[1], []).extend((p[2], n))
     return gone
 
 
+def _keyed(length: int, k: int):
+    """Keys of a block's picks and numbers of their contexts, for K.repeated; the picks of a block are made once for both."""
+    last: list = [None, None]
+
+    def picks(b: K.Block) -> _Picks:
+        if last[0] != b.block:
+            last[:] = [b.block, _Picks(b, length, k)]
+        return last[1]
+
+    return (lambda b: picks(b).keys), (lambda b: picks(b).contexts(b.data))
+
+
 def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Input rows, all columns, with n_bytes, n_removed, n_spans, spans (start, length: maximal removed runs of bytes) and kept_sha256.
 
@@ -247,8 +276,8 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
     rows that share an id rank as they are stored.  Input columns named as one of
     those added are replaced.
 
-    At scale: the same k-gram in more than HOT_BLOCKS blocks (a third of all rows may share one)
-    would gather its contexts in one task; windows of such hot picks go
+    At scale: the same k-gram in more than K.HOT different contexts, summed up over blocks (a third of all rows may share one, or
+    one may stand between ever other bytes), would gather them all in one task; windows of such hot picks go
     by the hash of the whole window instead, each block sending one of a kind.
     `length` is 48 at least: a shorter one leaves no room for k-grams.
     """
@@ -262,7 +291,8 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
     rows = K.blocks(docs, scratch, text_col)
     n_bytes = rows.agg(F.sum("n_bytes")).first()[0] or 0
     n = K.bucket_count(n_bytes / 35, scratch)
-    seen = K.repeated(rows, scratch, lambda b: _Picks(b, length, k).keys, n, id_col, text_col)
+    keys, contexts = _keyed(length, k)
+    seen = K.repeated(rows, scratch, keys, n, id_col, text_col, contexts=contexts)
     n_meet = max(n, int(n_bytes / (8 << 20)) + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,22 +325,21 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
                 keys = p.keys[kept]
                 order = np.argsort(keys, kind="stable")
                 kept, keys, texts = kept[order], keys[order], [t for _, t in mine]
-                cut = np.searchsorted(K.bucket_of(keys, n_meet), np.arange(n_meet + 1))
-                for j in np.flatnonzero(np.diff(cut)).tolist():
-                    s = slice(cut[j], cut[j + 1])
+                for j, s in K.cuts_of(keys, n_meet):
                     out.append((2, j, b.block, keys[s].tobytes(), None, p.lo[kept[s]].astype(np.uint32).tobytes(), p.at[kept[s]].astype(np.uint32).tobytes(), b.ids[p.doc[kept[s]]].tobytes(), pack_texts([texts[o] for o in order[s].tolist()])))
             if out:
                 yield K.batch_of(out, _SENT)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "h1", "h2", "at", "doc_at", "ids", "kind", "texts")), strict=True)]
-        out = [(r[0], r[3], 0) for r in rows if r[6] == 0]
-        out += [(block, at, length) for block, at in K.later_windows([r[:6] for r in rows if r[6] == 1])]
-        gone = contexts_meet([(r[0], r[1], r[3], r[4], r[5], r[7]) for r in rows if r[6] == 2], length, k)
-        yield K.places_out([*out, *((block, np.array(x, dtype=np.uint32).tobytes(), 0) for block, x in gone.items())])
+        for rows in K.by_bucket(batches, ["block", "h1", "h2", "at", "doc_at", "ids", "kind", "texts"]):
+            out = [(r[0], r[3], 0) for r in rows if r[6] == 0]
+            out += [(block, at, length) for block, at in K.later_windows([r[:6] for r in rows if r[6] == 1])]
+            gone = removed(contexts_meet([(r[0], r[1], r[3], r[4], r[5], r[7]) for r in rows if r[6] == 2], length, k))
+            yield K.places_out([*out, *((block, np.array(x, dtype=np.uint32).tobytes(), 0) for block, x in gone.items())])
 
     sent = K.with_sent(rows, seen).mapInArrow(B.tidy(send), K.WINDOWS + ", texts binary")
-    gone = scratch.table("gone", sent.repartition(n_meet, "bucket").mapInArrow(B.tidy(meet), K.PLACES))
+    gone = scratch.table("gone", K.exchange(sent, n_meet).mapInArrow(B.tidy(meet), K.PLACES))
+    scratch.drop("repeated")
     scratch.sweep()
     names = docs.columns
     t = names.index(text_col)

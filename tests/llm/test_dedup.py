@@ -129,9 +129,9 @@ def test_window_dedup_edges(spark):
     assert substring.difference_cover(20) == (13, [0, 1, 3, 9])
 
 
-@pytest.mark.parametrize("hot", [0, 32])
+@pytest.mark.parametrize("hot", [0, 2, 10**9])
 def test_byte_dedup_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(_blocks, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(_blocks, "HOT", hot)
     rows = [*corpus(7), (900, "é" * 400), (901, "aé" * 300), (902, "z" * 99), (903, "z" * 100), (904, "z" * 260)]
     got = {r["doc_id"]: r for r in suffix.dedup_bytes(docs_of(spark, rows).repartition(3, "doc_id"), length=100).collect()}
     want = suffix.brute_force(rows, 100)
