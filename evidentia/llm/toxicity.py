@@ -22,8 +22,10 @@ from . import _bytes as B
 BITS = 20
 #: Bytes at a word's start that are terms too.
 STEMS = (4, 5)
-#: Terms that the machine weighs, at most: those that tell the classes apart best.
-TERMS = 20_000
+#: Words of a text that share a stem are told apart up to so many.
+MANY = 3
+#: Terms that the machine weighs, at most in all and for each row that it is fitted on: those that tell the classes apart best.
+TERMS, PER_ROW = 20_000, 3
 #: How much harder factors are held down than single weights: pairs are many.
 FIRMER = 10
 #: Labelled rows that the machine is fitted on, at most.
@@ -43,15 +45,25 @@ _SEPARATES[0x41:0x5B] += 0x20
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct terms of each text, in order, and where each text's begin.
 
-    A term is a run of letters, digits and bytes beyond ASCII, A-Z lowered, or the first four or five bytes of a longer one: words of one stem share them.
+    A term is a run of letters, digits and bytes beyond ASCII, A-Z lowered, or the first bytes of a longer one (STEMS): words of one stem share them.
+    That two or three different words of a text share a stem (up to MANY) is a term of its own: by chance one does, in a text about it several do.
     """
     data = _SEPARATES[data]
     starts, ends, first = B.words(data, offsets)
     doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(first)) << np.uint64(32)
-    every = [doc | B.span_hashes(data, starts, ends) >> np.uint64(64 - BITS)]
+    short = np.uint64(64 - BITS)
+    full = B.span_hashes(data, starts, ends)
+    _, one = np.unique(doc | full >> np.uint64(32), return_index=True)
+    one.sort()
+    doc, starts, ends = doc[one], starts[one], ends[one]
+    every = [doc | full[one] >> short]
     for n in STEMS:
-        long = ends - starts > n
-        every.append(doc[long] | B.mix(B.span_hashes(data, starts[long], starts[long] + n) + np.uint64(n)) >> np.uint64(64 - BITS))
+        long = np.flatnonzero(ends - starts > n)
+        stem = B.mix(B.span_hashes(data, starts[long], starts[long] + n) + np.uint64(n))
+        which, at, count = np.unique(doc[long] | stem >> np.uint64(32), return_index=True, return_counts=True)
+        for m in range(1, MANY + 1):
+            often = at[count >= m]
+            every.append(which[count >= m] & np.uint64(0xFFFFFFFF00000000) | B.mix(stem[often] + np.uint64(m << 40)) >> short)
     u = np.unique(np.concatenate(every))
     return (u & np.uint64(0xFFFFFFFF)).astype(np.int64), np.searchsorted(u >> np.uint64(32), np.arange(len(offsets)))
 
@@ -85,8 +97,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, rounds: int = 12, least: int = 4, rate: float = 0.05, decay: float = 3e-3, how_even: float = 1.0, batch: int = 256, seed: int = 11) -> Machine:
-    """Adagrad on the log loss. Terms in fewer than `least` rows are left out, and all but TERMS of the rest; `how_even` 1 gives both classes the same weight, 0 each row."""
+def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, rounds: int = 12, least: int = 4, most_terms: int = TERMS, rate: float = 0.1, decay: float = 3e-3, how_even: float = 1.0, batch: int = 256, seed: int = 11) -> Machine:
+    """Adagrad on the log loss. Terms in fewer than `least` rows are left out, and all but about `most_terms` (and PER_ROW a row) of the rest; `how_even` 1 gives both classes the same weight, 0 each row."""
     y = y.astype(np.float64)
     if not len(y) or y.min() == y.max():
         p = 0.5 if not len(y) else np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -103,8 +115,9 @@ def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, round
     share = pos.sum() / max(count.sum(), 1)
     tells = np.abs(pos - count * share) / np.sqrt(count * share * (1 - share) + 1e-9)
     keep = count >= least
-    if keep.sum() > TERMS:
-        keep &= tells >= np.partition(tells[keep], -TERMS)[-TERMS]
+    most_terms = min(most_terms, PER_ROW * len(y))
+    if keep.sum() > most_terms:
+        keep &= tells >= np.partition(tells[keep], -most_terms)[-most_terms]
     known = np.flatnonzero(keep)
     renumber = np.cumsum(keep, dtype=np.int32) - 1
     picked = [(renumber[part[keep[part]]], row_of(i, j)[keep[part]]) for i, j in docs for part in [t[at[i] : at[j]]]]
@@ -155,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
     n = known.count()
     if n > most:
-        known = known.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(most)
+        # the sample follows a hash, so a fit can be repeated; a little more is taken, for the order of the hash to cut at `most`
+        share = int((1 << 30) * min(1.0, most / n + 4 * (most**0.5) / n))
+        known = known.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)) < share).orderBy(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)), id_col).limit(most)
     texts = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
     got = texts.join(F.broadcast(known), id_col).select("text", "label").mapInArrow(B.tidy(_hashed), "terms binary, label int").limit(2 * most).toArrow()
     packed, labels_ = got.column("terms").to_pylist(), got.column("label").to_numpy()
