@@ -12,6 +12,8 @@ from ._scratch import Scratch
 
 #: Labelled rows that the trees are fitted on, at most.
 LABELLED = 20_000
+#: Folds that the suffix statistics of fitted rows are taken out of.
+FOLDS = 5
 #: Rules of the query, action and host with path.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 FEATURES = ["f_length", "f_host", "f_labels", "f_depth", "f_path", "f_digits", "f_entropy", "f_params", "f_query", "f_hyphens", "f_fragment", "f_suffix", "f_suffix_rows"]
@@ -69,7 +71,7 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], *, most: int =
     """One row per input row: page_id, host, path, rule, verdict, score.
 
     `labels` (url, label 1 to block) are the URLs to learn from; without it, those of `pages` that a rule decides are.
-    At most `most` are used to fit the trees, picked by hash; shares and counts of suffixes are over all.  The longest rule that fits
+    At most `most` are used to fit the trees, picked by hash; shares and counts of suffixes are over all, for a row that is fitted over all but the fifth that it is in.  The longest rule that fits
     decides; where none fits, the trees' probability of block at 0.5.  If the labels, or those picked, show one class only, the share of
     block among all labels decides; without labels all is allowed.
 
@@ -88,23 +90,31 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str]], *, most: int =
     else:
         own = labels.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label"))
         known = features(own.withColumn("host", host).withColumn("path", path))
-    known = known.select("url", "label", "suffix", *FEATURES[:-2])
-    counts = scratch.table("counts", known.groupBy("suffix", "label").agg(F.count("*").alias("n")))
+    fold = F.pmod(F.xxhash64("url", F.lit(29)), F.lit(FOLDS)).cast("int")
+    known = known.select("url", "label", "suffix", fold.alias("fold"), *FEATURES[:-2])
+    counts = scratch.table("counts", known.groupBy("suffix", "fold", "label").agg(F.count("*").alias("n")))
     classes = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     total = sum(classes.values())
     share = classes.get(1.0, 0) / total if total else 0.0
-    n = F.sum("n")
-    stats = scratch.table("stats", counts.groupBy("suffix").agg(((F.sum(F.col("label") * F.col("n")) + 4 * share) / (n + 4)).alias("f_suffix"), F.log2(n + F.lit(1.0)).alias("f_suffix_rows")))
+    n, bad = F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("bad")
+    smooth = lambda bad, n: ((bad + 4 * share) / (n + 4)).alias("f_suffix")
+    every = scratch.table("every", counts.groupBy("suffix").agg(n, bad))
+    stats = every.select("suffix", smooth(F.col("bad"), F.col("n")), F.log2(F.col("n") + F.lit(1.0)).alias("f_suffix_rows"))
+    # a row that is fitted must not see its own label: its suffix counts without the fold that it is in
+    mine = counts.groupBy("suffix", "fold").agg(F.sum("n").alias("m"), F.sum(F.col("label") * F.col("n")).alias("mb"))
+    apart = mine.join(every, "suffix").select("suffix", "fold", smooth(F.col("bad") - F.col("mb"), F.col("n") - F.col("m")), F.log2(F.col("n") - F.col("m") + F.lit(1.0)).alias("f_suffix_rows"))
     if total > most:
-        known = known.where(F.pmod(F.xxhash64("url", F.lit(19)), F.lit(1 << 30)) < int((1 << 30) * most / total)).limit(most)
+        # picked by hash, so a fit can be repeated; a little more is taken, for the order of the hash to cut at `most`
+        place = F.pmod(F.xxhash64("url", F.lit(19)), F.lit(1 << 30))
+        known = known.where(place < int((1 << 30) * min(1.0, most / total + 4 * most**0.5 / total))).orderBy(place, "url", "label").limit(most)
     known = scratch.table("known", known.drop("url"))
-    add = lambda df: df.join(stats, "suffix", "left").fillna({"f_suffix": share, "f_suffix_rows": 0.0})
+    add = lambda df, by, on: df.join(by, on, "left").fillna({"f_suffix": share, "f_suffix_rows": 0.0})
     if len(classes) < 2 or known.select("label").distinct().count() < 2:
         scored = rows.withColumn("score", F.lit(share))
     else:
         vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        trees: GBTClassificationModel = GBTClassifier(labelCol="label", maxIter=12, maxDepth=4, maxBins=32, seed=23, checkpointInterval=-1).fit(vector.transform(add(known)))
-        scored = trees.transform(vector.transform(add(rows.drop("label")))).withColumn("score", vector_to_array("probability")[1])
+        trees: GBTClassificationModel = GBTClassifier(labelCol="label", maxIter=12, maxDepth=4, maxBins=32, seed=23, checkpointInterval=-1).fit(vector.transform(add(known, apart, ["suffix", "fold"])))
+        scored = trees.transform(vector.transform(add(rows.drop("label"), stats, ["suffix"]))).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("action", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
