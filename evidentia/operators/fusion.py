@@ -169,7 +169,8 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_
     of_family = query_vecs.join(families, "query_id").join(chunks.select(key, F.col("doc_family").alias("family")).join(vecs, key).select("family", key, F.col("vec").alias("p")), "family")
     near = vectors.rank_scored(of_family.select("query_id", key, vectors.dot(F.col("p"), F.col("vec")).alias("score")), k, key)
     plain = broad.join(families, "query_id", "left_anti")
-    near = widen(restrict(near.unionByName(plain), chunks, rules, key), broad, least)
+    kept = restrict(near.unionByName(plain), chunks, rules, key).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    near = widen(kept, broad, least)
     return rrf(union_rankings(near, lexical.top_k(restrict(body, chunks, rules, key), k, key), lexical.top_k(restrict(title, chunks, rules, key), k, key), key=key), key)
 
 

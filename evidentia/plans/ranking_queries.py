@@ -170,7 +170,7 @@ ro AS (SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN
 ct AS (SELECT r.query_id, r.family, r.role, count(*) FILTER (r.family IS NULL OR r.family = c.doc_family) AS n, count(*) FILTER ((r.family IS NULL OR r.family = c.doc_family) AND r.role = c.doc_role) AS m FROM ro r, chunks c WHERE r.family IS NOT NULL OR r.role IS NOT NULL GROUP BY 1, 2, 3),
 ru AS (SELECT query_id, family, role, role IS NOT NULL AND m >= 3 AS by_role FROM ct WHERE n >= 3),
 fam AS (SELECT near.* FROM near JOIN ro USING (query_id) LEFT JOIN chunks c USING (chunk_id) WHERE ro.family IS NULL OR c.doc_family = ro.family),
-{{near_k}}, rn AS ({{restrict_near}}), enough AS (SELECT query_id FROM rn GROUP BY 1 HAVING count(*) >= 3),
+{{near_k}}, rn AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ({{restrict_near}})), enough AS (SELECT query_id FROM rn GROUP BY 1 HAVING count(*) >= 3),
 r0 AS (SELECT query_id, chunk_id, rank FROM rn WHERE query_id IN (SELECT query_id FROM enough) UNION ALL SELECT query_id, chunk_id, rank FROM broad WHERE query_id NOT IN (SELECT query_id FROM enough)),
 fb AS ({{restrict_body}}), ft AS ({{restrict_title}}), {ranked('fb', 'r1', 50)}, {ranked('ft', 'r2', 50)}, {_fused('r0', 'r1', 'r2')},
 cand AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM fused JOIN chunks USING (chunk_id))"""
