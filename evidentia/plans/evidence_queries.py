@@ -139,7 +139,7 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(F.encode(X.html_escape(F.col("html")), "UTF-8")).alias("safe_md5"))
 
 
-@query("SELECT * FROM (VALUES ('model-b'), ('model-d')) AS t(model)")
+@query("SELECT DISTINCT trim(m) AS model FROM (VALUES ('model-a'), (' model-b'), ('model-d'), ('model-a')) AS w(m) WHERE trim(m) NOT IN (SELECT model FROM (VALUES ('model-a'), ('model-c')) AS a(model))")
 def missing_models(spark, d):
     return corpus.missing_models(["model-a", " model-b", "model-d", "model-a"], rows(spark, "('model-a'), ('model-c')", "model"))
 

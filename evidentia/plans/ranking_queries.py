@@ -107,21 +107,12 @@ def l2_normalise(spark, d):
     return w.select("chunk_id", F.round(F.aggregate(vectors.l2_normalise(F.col("w")), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-MAXSIM = f"""WITH {VEC}, qt AS (SELECT chunk_id // 10 AS query_id, chunk_id AS pos, vec FROM v WHERE chunk_id < 50), pt AS (SELECT label AS chunk_id, vec FROM v WHERE label IS NOT NULL),
+MAXSIM = f"""WITH {VEC}, qt AS (SELECT chunk_id // 500 AS query_id, chunk_id AS pos, vec FROM v WHERE chunk_id % 50 = 0), pt AS (SELECT label AS chunk_id, vec FROM v WHERE label IS NOT NULL),
 best AS (SELECT query_id, p.chunk_id, pos, max(list_dot_product(qt.vec, p.vec)) AS s FROM qt, pt p GROUP BY 1, 2, 3) SELECT query_id, chunk_id, round(avg(s), 6) AS score FROM best GROUP BY 1, 2"""
 
 
 @query(MAXSIM)
 def maxsim(spark, d):
-    v = _vectors(spark, d)
-    qt = v.where("chunk_id < 50").select(F.floor(F.col("chunk_id") / 10).alias("query_id"), F.col("chunk_id").alias("pos"), "vec")
-    pt = v.where("label is not null").select(F.col("label").alias("chunk_id"), F.col("chunk_id").alias("pos"), "vec")
-    pairs = qt.select("query_id").distinct().crossJoin(pt.select("chunk_id").distinct())
-    return vectors.max_sim(qt, pt, pairs).withColumn("score", F.round("score", 6))
-
-
-@query(MAXSIM.replace("chunk_id // 10 AS", "chunk_id // 500 AS").replace("WHERE chunk_id < 50", "WHERE chunk_id % 50 = 0"))
-def maxsim_all(spark, d):
     """Every id that 50 divides is a query vector, ten of them a query."""
     v = _vectors(spark, d)
     qt = v.where("chunk_id % 50 = 0").select(F.floor(F.col("chunk_id") / 500).alias("query_id"), F.col("chunk_id").alias("pos"), "vec")
@@ -291,26 +282,10 @@ def route_allowed(spark, d):
     return fusion.allowed_chunks(rows(spark, ROUTES, "query_id, family, role"), chunks(spark, d))
 
 
-@query(f"""WITH {CHUNKS}, q(query_id, family, role) AS (VALUES {ROUTES}), c AS (SELECT query_id, chunk_id, coalesce(family IS NULL OR family = doc_family, false) AS f, coalesce(role = doc_role, false) AS r, role FROM q, chunks WHERE chunk_id % 20 < query_id),
-n AS (SELECT *, count(*) FILTER (f) OVER (PARTITION BY query_id) AS nf, count(*) FILTER (f AND r) OVER (PARTITION BY query_id) AS nb FROM c)
-SELECT query_id, chunk_id FROM n WHERE CASE WHEN role IS NOT NULL AND nb >= 3 THEN f AND r WHEN nf >= 3 THEN f ELSE true END""")
-def route_fallback(spark, d):
-    q = rows(spark, ROUTES, "query_id, family, role")
-    cands = chunks(spark, d).crossJoin(F.broadcast(q.select("query_id"))).where("chunk_id % 20 < query_id")
-    return fusion.apply_route(cands, q).select("query_id", "chunk_id")
-
-
-@query("""WITH v AS (SELECT vec_id, label FROM embeddings), n AS (SELECT label AS query_id, vec_id AS chunk_id FROM v WHERE vec_id % 50 = label), e AS (SELECT query_id FROM n GROUP BY 1 HAVING count(*) >= 3)
-SELECT * FROM n WHERE query_id IN (SELECT query_id FROM e) UNION ALL SELECT label, vec_id FROM v WHERE vec_id % 10 = label AND label NOT IN (SELECT query_id FROM e)""")
-def widen_small(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("chunk_id"))
-    return fusion.widen(v.where("chunk_id % 50 = query_id"), v.where("chunk_id % 10 = query_id"))
-
-
 @query(f"""WITH {CHUNKS}, q(query_id, family, role) AS (VALUES {ROUTES}), c AS (SELECT query_id, chunk_id, coalesce(family IS NULL OR family = doc_family, false) AS f, coalesce(role = doc_role, false) AS r, role FROM q, chunks),
 n AS (SELECT *, count(*) FILTER (f) OVER (PARTITION BY query_id) AS nf, count(*) FILTER (f AND r) OVER (PARTITION BY query_id) AS nb FROM c)
 SELECT query_id, chunk_id FROM n WHERE CASE WHEN role IS NOT NULL AND nb >= 3 THEN f AND r WHEN nf >= 3 THEN f ELSE true END""")
-def route_fallback_all(spark, d):
+def route_fallback(spark, d):
     """All documents are candidates of each route."""
     q = rows(spark, ROUTES, "query_id, family, role")
     cands = chunks(spark, d).select("chunk_id", "doc_family", "doc_role").crossJoin(F.broadcast(q.select("query_id")))

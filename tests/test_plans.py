@@ -25,7 +25,7 @@ def test_maxsim_takes_all_query_vectors(spark):
         own = np.array([e for _, x, e in v if x == label])
         for q in {q for q, _ in tokens}:
             want[q, label] = np.mean([(own @ e).max() for k, e in tokens if k == q])
-    got = {(q, c): s for q, c, s in run(spark, "maxsim_all")}
+    got = {(q, c): s for q, c, s in run(spark, "maxsim")}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
     assert len({q for q, _ in got}) == len({i // 500 for i, _, _ in v if i % 50 == 0})
 
@@ -38,7 +38,7 @@ def test_routes_see_all_documents(spark):
         f = [x for x in docs if family is None or x[1] == family]
         b = [x for x in f if role is not None and x[2] == role]
         want |= {(q, x[0]) for x in (b if len(b) >= 3 else f if len(f) >= 3 else docs)}
-    assert set(run(spark, "route_fallback_all")) == want and len(docs) == len({c for q, c in want if q == 4})
+    assert set(run(spark, "route_fallback")) == want and len(docs) == len({c for q, c in want if q == 4})
 
 
 def test_widening_takes_whole_vector_lists(spark):
@@ -52,7 +52,7 @@ def test_widening_takes_whole_vector_lists(spark):
     assert set(run(spark, "widen_search")) == want
 
 
-@pytest.mark.parametrize("name", ["maxsim_all", "route_fallback_all", "widen_search"])
+@pytest.mark.parametrize("name", ["maxsim", "route_fallback", "widen_search"])
 def test_sql_agrees(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -262,6 +262,8 @@ def test_second_attempt(spark, first, second, answer, retried):
     row = ask.ask(q, ranking, chunks, ["m"], asked_model(first, second)).first()
     assert row["answer"].startswith(answer) and row["retried"] == retried
     assert row["n_rejected"] == (1 if first == "bad" and not retried else 0)
+    shown = 12 if not retried else int(answer.split()[1])
+    assert row["sources"] == sorted(f"d{i}" for i in range(shown)) and row["clauses"] == ["1"]
 
 
 def test_evaluation_command(spark, tmp_path, capsys):
@@ -276,3 +278,11 @@ def test_evaluation_command(spark, tmp_path, capsys):
     assert "questions              3" in text and "MISS q3" in text and "OK   q1" in text
     rows = json.loads(out.read_text())
     assert [(r["id"], r["doc_hit"], r["page_hit"]) for r in rows] == [("q1", True, True), ("q2", True, True), ("q3", False, False)] and rows[0]["retrieved"][0] == {"file": "a.md", "page": 1}
+
+
+def test_report_and_container(spark, tmp_path):
+    from evidentia.sources import files
+
+    files.write_report(spark.createDataFrame([(1, "a")], "n int, t string"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).first()["t"] == "a"
+    assert not files.inside_container(str(tmp_path / "none")) and files.inside_container(str(tmp_path))
