@@ -101,7 +101,7 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 def cuts_of(keys: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
     """(bucket, where its keys lie) of sorted keys, for each bucket that has some."""
     buckets, first = np.unique(bucket_of(keys, n), return_index=True)
-    for k, i, j in zip(buckets.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+    for k, i, j in zip(buckets.tolist(), first.tolist(), np.append(first, len(keys))[1:].tolist(), strict=True):
         yield k, slice(i, j)
 
 
@@ -227,9 +227,11 @@ def first_here(b: Block, at: np.ndarray, doc: np.ndarray, h1: np.ndarray, h2: np
 WINDOWS = "kind int, bucket int, block bigint, h1 binary, h2 binary, at binary, doc_at binary, ids binary"
 
 
-def window_rows(b: Block, n: int, kind: int, at: np.ndarray, doc: np.ndarray, doc_start: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[list, np.ndarray]:
-    """Rows that send a block's first windows of each kind to their buckets, and the places of windows that an earlier one in the block covers."""
+def window_rows(b: Block, n: int, kind: int, at: np.ndarray, doc: np.ndarray, doc_start: np.ndarray, h1: np.ndarray, h2: np.ndarray, every: bool = False) -> tuple[list, np.ndarray]:
+    """Rows that send a block's first windows of each kind (or all of them) to their buckets, and the places of windows that an earlier one in the block covers."""
     first, later = first_here(b, at, doc, h1, h2)
+    if every:
+        first = np.argsort(h1, kind="stable")
     h1s, h2s, ats, docs = h1[first], h2[first].astype(np.uint32), at[first], doc[first]
     rows = []
     for k, s in cuts_of(h1s, n):
