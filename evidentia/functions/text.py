@@ -14,6 +14,8 @@ TOKEN = r"[a-z0-9][a-z0-9\-.]*"
 QUOTE_WINDOW = 6
 NOT_FOUND = "This information is not found in the loaded documents."
 CONTAINED = r"(?m)^\s*(?:#{1,6}\s*(\d{1,3}(?:\.\d{1,3}){0,3})|(\d{1,3}(?:\.\d{1,3}){1,3}))\s+(?=[A-Z(\d])"
+SPEC_NAME = r"(?i)^(S-\d+)[A-Za-z]?v[\d-]+\s*(.*)\.[A-Za-z0-9]+$"
+REPORT_NAME = r"^(\d{3})\.[A-Za-z0-9]+$"
 CAPABILITY = (
     r"(?i)(what can (you|i)\b|what (questions|topics)\b|what (does|is) this (app|demo|chat|tool)\b|how do i use\b"
     r"|what are you able\b|apa (saja )?(yang )?bisa\b|bisa (ditanyakan|ditanya|dibahas|dicek apa)\b|topik apa\b)"
@@ -74,12 +76,11 @@ def parent_of(clause_id: Column) -> Column:
 
 def describe_document(name: Column) -> tuple[Column, Column]:
     """(family, role) of a file name: specification code and kind, three-digit report, or the stem."""
-    spec = r"(?i)^(S-\d+)[A-Za-z]?v[\d-]+\s*(.*)\.[A-Za-z0-9]+$"
-    code, tail = F.upper(F.regexp_extract(name, spec, 1)), F.trim(F.regexp_extract(name, spec, 2))
+    code, tail = F.upper(F.regexp_extract(name, SPEC_NAME, 1)), F.trim(F.regexp_extract(name, SPEC_NAME, 2))
     up = F.upper(tail)
     role = F.when(F.contains(up, F.lit("TRS")), "TRS").when(F.contains(up, F.lit("QRS")), "QRS").when(F.contains(up, F.lit("IRS")), "IRS").when(tail != "", tail).otherwise("spec")
     role = F.concat(role, F.when(F.contains(F.lower(tail), F.lit("justification")), "+Justification").otherwise(""))
-    report = F.regexp_extract(name, r"^(\d{3})\.[A-Za-z0-9]+$", 1)
+    report = F.regexp_extract(name, REPORT_NAME, 1)
     family = F.when(code != "", code).when(report != "", F.concat(F.lit("IOGP "), report)).otherwise(F.regexp_replace(name, r"\.[^.]*$", ""))
     return family, F.when(code != "", role).when(report != "", "Report").otherwise("document")
 
