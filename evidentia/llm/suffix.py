@@ -12,7 +12,7 @@ all their occurrences.  `repeat_groups` gives these; dedup removes all but the e
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from . import _bytes as B
 from ._scratch import Scratch
 
 #: Bytes of contexts in one suffix array.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 18
 
 
 # ---- enhanced suffix array ---------------------------------------------------
@@ -33,6 +33,8 @@ ARRAY_BYTES = 1 << 20
 
 #: Bytes that the first ranks tell apart: as many as fit 63 bits, nine for a byte or an end.
 FIRST = 7
+#: Bytes of a k-gram.
+GRAM = 32
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, least: int, apart: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -191,31 +193,42 @@ def unpack_texts(packed: bytes) -> list[bytes]:
     return pa.ipc.open_stream(packed).read_next_batch().column(0).to_pylist()
 
 
-def contexts_meet(rows: list[tuple], length: int, k: int) -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
-    """(length, string, occurrences) of the maximal repeats of contexts in rows (block, keys, starts, places of k-grams, ids, texts); an occurrence is (id, block, start).
+#: Where a repeat stands: id, block, start of a context in it, start in the context.
+Place = tuple[int, int, int, int]
+
+
+def contexts_meet(rows: list[tuple], length: int, k: int, copied: Set[tuple[int, int]] = frozenset()) -> Iterator[tuple[int, bytes, list[Place]]]:
+    """(length, string, occurrences) of the maximal repeats of contexts in rows (block, keys, starts, places of k-grams, ids, texts).
 
     A repeat holds its k-gram and, beside it, half of what surrounds it on the left or else on the right.  So the contexts of a k-gram are
-    parted by what they hold there, those alone go, and each class comes into an array by itself, in which the context of several places stands twice.
+    parted by what they hold there, those alone go, and each class comes into an array by itself.  A context of several places
+    stands there once, and is a repeat by itself: a leaf of its tree with several occurrences.  So is one whose copies its block keeps to itself: `copied`, by block and start.
     """
     where: dict[int, dict[bytes, tuple[int, list[tuple[int, int, int]]]]] = {}
     for block, h1, at, gram, ids, texts in rows:
         for key, place, g, doc, text in zip(*(np.frombuffer(x, t).tolist() for x, t in ((h1, np.uint64), (at, np.uint32), (gram, np.uint32), (ids, np.int64))), unpack_texts(texts), strict=True):
             where.setdefault(key, {}).setdefault(text, (g - place, []))[1].append((doc, block, place))
     half = (length - k) // 2
+    several = lambda places: len(places) > 1 or (places[0][1], places[0][2]) in copied
     texts: list[bytes] = []
     apart: list[int] = []
-    owner: list[tuple[bool, int, list[tuple[int, int, int]]]] = []  # left side, offset of the k-gram, places
+    owner: list[tuple[bool, int, list[tuple[int, int, int]]]] = []  # left side, offset of the k-gram, places of the context
     size = classes = 0
 
-    def found() -> Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]:
+    def found() -> Iterator[tuple[int, bytes, list[Place]]]:
+        whole = set()  # contexts that an interval has in full
         for n, at in maximal_repeats(texts, length, apart):
             t, start = at[0]
             left, g, _ = owner[t]
             if left == (start <= g - half):  # else the other side's class has it, with all its occurrences
-                yield n, texts[t][start : start + n], [(doc, block, place + s) for t, s in at for doc, block, place in owner[t][2]]
+                yield n, texts[t][start : start + n], [(*place, s) for t, s in at for place in owner[t][2]]
+                whole.update(t for t, s in at if not s and n == len(texts[t]))
+        for t, (left, g, places) in enumerate(owner):
+            if t not in whole and left == (g >= half) and several(places):
+                yield len(texts[t]), texts[t], [(*place, 0) for place in places]
 
     for group in where.values():
-        if len(group) < 2 and all(len(places) < 2 for _, places in group.values()):
+        if len(group) < 2 and not any(several(places) for _, places in group.values()):
             continue
         sides: dict[tuple[bool, bytes], list[bytes]] = {}
         for text, (g, _) in group.items():
@@ -225,15 +238,16 @@ def contexts_meet(rows: list[tuple], length: int, k: int) -> Iterator[tuple[int,
                 sides.setdefault((False, text[g : g + k + half]), []).append(text)
         for (left, _), members in sides.items():
             g, places = group[members[0]]
-            if len(members) < 2 and (len(places) < 2 or not left and g >= half):  # alone; or the left class has all of it
+            if len(members) < 2:
+                if several(places) and left == (g >= half):
+                    yield len(members[0]), members[0], [(*place, 0) for place in places]
                 continue
             for text in members:
                 g, places = group[text]
-                for own in [places, []][: 1 + (len(places) > 1)]:
-                    texts.append(text)
-                    apart.append(classes)
-                    owner.append((left, g, own))
-                    size += len(text)
+                texts.append(text)
+                apart.append(classes)
+                owner.append((left, g, places))
+                size += len(text)
             classes += 1
             if size > ARRAY_BYTES:
                 yield from found()
@@ -241,12 +255,13 @@ def contexts_meet(rows: list[tuple], length: int, k: int) -> Iterator[tuple[int,
     yield from found()
 
 
-def removed(groups: Iterator[tuple[int, bytes, list[tuple[int, int, int]]]]) -> dict[int, list[int]]:
+def removed(groups: Iterator[tuple[int, bytes, list[Place]]]) -> dict[int, list[int]]:
     """Runs (start, length, start, length, ...) for each block that all but the earliest occurrence of each repeat cover."""
     gone: dict[int, list[int]] = {}
     for n, _, places in groups:
-        first = min(places)
-        for p in places:
+        at = [(doc, block, place + s) for doc, block, place, s in places]
+        first = min(at)
+        for p in at:
             if p != first:
                 gone.setdefault(p[1], []).extend((p[2], n))
     return gone
@@ -264,30 +279,15 @@ def _keyed(length: int, k: int):
     return (lambda b: picks(b).keys), (lambda b: picks(b).contexts(b.data))
 
 
-def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Input rows, all columns, with n_bytes, n_removed, n_spans, spans (start, length: maximal removed runs of bytes) and kept_sha256.
-
-    Removes each byte covered by a `length`-byte string that also starts earlier: in a row with
-    a smaller id, or earlier in the same row.  Strings are judged on the input and may
-    overlap; matches never cross rows.  The text column becomes the kept bytes; bytes that
-    are no UTF-8 any more (a cut may split a character) are replaced, kept_sha256 is over the bytes themselves.
-
-    Null texts count as empty and stay null.  Rows with a null id come before all others;
-    rows that share an id rank as they are stored.  Input columns named as one of
-    those added are replaced.
+def _sent(docs: DataFrame, scratch: Scratch, length: int, id_col: str, text_col: str, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The blocks of docs, and rows that bring what repeats together, dealt to their buckets.
 
-    At scale: the same k-gram in more than K.HOT different contexts, summed up over blocks (a third of all rows may share one, or
-    one may stand between ever other bytes), would gather them all in one task; windows of such hot picks go
-    by the hash of the whole window instead, each block sending one of a kind.
-    `length` is 48 at least: a shorter one leaves no room for k-grams.
+    kind 2: different contexts of k-grams; 1: windows of hot k-grams; 0: what a block settles by itself, copies of its own contexts and windows.
+    With `every`, contexts come with the starts of their texts, copies with the context that they copy, and windows with all their places.
     """
     if length < 48:
         raise ValueError("length must be 48 or more")
-    k = 32
-    spark = docs.sparkSession
-    added = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
-    docs = docs.drop(*added)
-    scratch = Scratch(spark, "suffix")
+    k = GRAM
     rows = K.blocks(docs, scratch, text_col)
     n_bytes = rows.agg(F.sum("n_bytes")).first()[0] or 0
     n = K.bucket_count(n_bytes / 35, scratch)
@@ -302,43 +302,129 @@ def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", t
                 continue
             again, hot = K.flagged(p.keys, n, sent)
             out: list[tuple] = []
+            pairs = lambda x: np.array(x, dtype=np.uint32).tobytes()
             if hot.any():
                 at = B.ranges(p.lo[hot], p.hi[hot] - p.lo[hot] + 1)
                 doc = np.repeat(p.doc[hot], p.hi[hot] - p.lo[hot] + 1)
-                h1, h2 = _hash_at(b.data, at, length)
-                more, later = K.window_rows(b, n_meet, 1, at, doc, b.offsets[:-1], h1, h2)
+                more, later = K.window_rows(b, n_meet, 1, at, doc, b.offsets[:-1], *_hash_at(b.data, at, length), every)
                 out += [(*r, None) for r in more]
-                if later.size:
-                    out.append((0, b.block % n_meet, b.block, None, None, np.column_stack([later, np.full(len(later), length)]).astype(np.uint32).tobytes(), None, None, None))
+                if later.size and not every:
+                    out.append((0, b.block % n_meet, b.block, None, None, pairs(np.column_stack([later, np.full(len(later), length)])), None, None, None))
             cold = np.flatnonzero(again & ~hot)
             order = K.doc_order(b, p.doc[cold])
             cold = cold if order is None else cold[order]
             mine: dict[tuple[int, bytes], int] = {}
             gone: list[int] = []
+            copies: list[tuple[int, int]] = []  # pick, pick of which it is a copy
             for i, key, lo, hi in zip(cold.tolist(), p.keys[cold].tolist(), p.lo[cold].tolist(), p.hi[cold].tolist(), strict=True):
-                if mine.setdefault((key, b.data[lo : hi + length].tobytes()), i) != i:
+                if (first := mine.setdefault((key, b.data[lo : hi + length].tobytes()), i)) != i:
                     gone += (lo, hi + length - lo)
+                    copies.append((i, first))
             if gone:
-                out.append((0, b.block % n_meet, b.block, None, None, np.array(gone, dtype=np.uint32).tobytes(), None, None, None))
+                refer = [None, None, None]
+                if every:
+                    i, first = np.array(copies).T
+                    refer = [pairs(b.offsets[p.doc[i]]), pairs(p.lo[first]), b.ids[p.doc[i]].tobytes()]
+                out.append((0, b.block % n_meet, b.block, None, refer[0], pairs(gone), refer[1], refer[2], None))
             if mine:
                 kept = np.fromiter(mine.values(), np.int64, len(mine))
                 keys = p.keys[kept]
                 order = np.argsort(keys, kind="stable")
                 kept, keys, texts = kept[order], keys[order], [t for _, t in mine]
                 for j, s in K.cuts_of(keys, n_meet):
-                    out.append((2, j, b.block, keys[s].tobytes(), None, p.lo[kept[s]].astype(np.uint32).tobytes(), p.at[kept[s]].astype(np.uint32).tobytes(), b.ids[p.doc[kept[s]]].tobytes(), pack_texts([texts[o] for o in order[s].tolist()])))
+                    begin = pairs(b.offsets[p.doc[kept[s]]]) + pairs(np.isin(kept[s], [first for _, first in copies])) if every else None
+                    out.append((2, j, b.block, keys[s].tobytes(), begin, pairs(p.lo[kept[s]]), pairs(p.at[kept[s]]), b.ids[p.doc[kept[s]]].tobytes(), pack_texts([texts[o] for o in order[s].tolist()])))
             if out:
                 yield K.batch_of(out, _SENT)
 
+    sent = K.with_sent(rows, seen).mapInArrow(B.tidy(send), K.WINDOWS + ", texts binary")
+    return rows, K.exchange(sent, n_meet)
+
+
+_GROUPS = "kind int, block bigint, context bigint, at bigint, doc_id bigint, start bigint, length bigint, `group` string"
+
+
+def repeat_groups(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each occurrence of each repeated string: group, length, doc_id, start (bytes in the row's text).
+
+    The strings are the maximal repeats of `length` bytes or more inside contexts: of the windows that pick one
+    place of a k-gram. A longer passage appears as a chain of them, one for each pick, with overlapping ends. Rows of one `group` are all
+    occurrences of one string, in whatever row and place; two strings may overlap or hold one another.
+    Windows of hot k-grams (more than K.HOT contexts) are listed one by one, each as a group of `length` bytes.
+
+    Null texts count as empty; a null id is a null doc_id; rows that share an id are told apart by nothing here.
+    """
+    scratch = Scratch(docs.sparkSession, "groups")
+    _, sent = _sent(docs, scratch, length, id_col, text_col, every=True)
+
+    def known(doc: int) -> int | None:
+        return None if doc == K.NO_ID else doc
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in K.by_bucket(batches, ["block", "h1", "h2", "at", "doc_at", "ids", "kind", "texts"]):
+            out: list[tuple] = []
+            begins: dict[tuple[int, int], int] = {}
+            copied: set[tuple[int, int]] = set()
+            windows: dict[tuple[int, int], list[tuple]] = {}
+            for block, h1, h2, at, doc_at, ids, kind, _ in rows:
+                if kind == 0:
+                    lo = np.frombuffer(at, np.uint32)[0::2].tolist()
+                    out += [(0, block, first, None, known(doc), x - begin, None, None) for x, begin, first, doc in zip(lo, np.frombuffer(h2, np.uint32).tolist(), np.frombuffer(doc_at, np.uint32).tolist(), np.frombuffer(ids, np.int64).tolist(), strict=True)]
+                elif kind == 1:
+                    starts, places = np.frombuffer(doc_at, np.uint32), np.frombuffer(at, np.uint32)
+                    which = np.searchsorted(starts, places, side="right") - 1
+                    for a, b, x, begin, doc in zip(np.frombuffer(h1, np.uint64).tolist(), np.frombuffer(h2, np.uint32).tolist(), places.tolist(), starts[which].tolist(), np.frombuffer(ids, np.int64)[which].tolist(), strict=True):
+                        windows.setdefault((a, b), []).append((1, block, None, None, known(doc), x - begin, length, f"w{a:016x}{b:08x}"))
+                else:
+                    begin, has = np.frombuffer(h2, np.uint32).reshape(2, -1).tolist()
+                    for x, start, more in zip(np.frombuffer(at, np.uint32).tolist(), begin, has, strict=True):
+                        begins[block, x] = start
+                        if more:
+                            copied.add((block, x))
+            out += [w for same in windows.values() if len(same) > 1 for w in same]
+            for n, string, places in contexts_meet([(r[0], r[1], r[3], r[4], r[5], r[7]) for r in rows if r[6] == 2], length, GRAM, copied):
+                name = hashlib.blake2b(string, digest_size=16).hexdigest()
+                out += [(1, block, place, s, known(doc), place + s - begins[block, place], n, name) for doc, block, place, s in places]
+            kinds = (pa.int32(), *(pa.int64(),) * 6, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], x) for c, x in enumerate(kinds)], names=["kind", "block", "context", "at", "doc_id", "start", "length", "group"])
+
+    made = scratch.table("groups", sent.mapInArrow(B.tidy(meet), _GROUPS))
+    groups = made.where("kind = 1")
+    copies = made.where("kind = 0").select("block", "context", F.col("doc_id").alias("copy"), F.col("start").alias("base"))
+    more = groups.join(copies, ["block", "context"]).select("group", "length", F.col("copy").alias("doc_id"), (F.col("base") + F.col("at")).alias("start"))
+    return groups.select("group", "length", "doc_id", "start").unionByName(more)
+
+
+def dedup_bytes(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Input rows, all columns, with n_bytes, n_removed, n_spans, spans (start, length: maximal removed runs of bytes) and kept_sha256.
+
+    Removes each byte covered by a `length`-byte string that also starts earlier: in a row with
+    a smaller id, or earlier in the same row.  Strings are judged on the input and may
+    overlap; matches never cross rows.  The text column becomes the kept bytes; bytes that
+    are no UTF-8 any more (a cut may split a character) are replaced, kept_sha256 is over the bytes themselves.
+
+    Null texts count as empty and stay null.  Rows with a null id come before all others;
+    rows that share an id rank as they are stored.  Input columns named as one of
+    those added are replaced.
+
+    At scale: the same k-gram in more than K.HOT different contexts, summed up over blocks (a third of all rows may share one, or
+    one may stand between ever other bytes), would gather them all in one task; windows of such hot picks go
+    by the hash of the whole window instead, each block sending one of a kind.
+    `length` is 48 at least: a shorter one leaves no room for k-grams.
+    """
+    added = ["n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"]
+    docs = docs.drop(*added)
+    scratch = Scratch(docs.sparkSession, "suffix")
+    rows, sent = _sent(docs, scratch, length, id_col, text_col, every=False)
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in K.by_bucket(batches, ["block", "h1", "h2", "at", "doc_at", "ids", "kind", "texts"]):
             out = [(r[0], r[3], 0) for r in rows if r[6] == 0]
             out += [(block, at, length) for block, at in K.later_windows([r[:6] for r in rows if r[6] == 1])]
-            gone = removed(contexts_meet([(r[0], r[1], r[3], r[4], r[5], r[7]) for r in rows if r[6] == 2], length, k))
+            gone = removed(contexts_meet([(r[0], r[1], r[3], r[4], r[5], r[7]) for r in rows if r[6] == 2], length, GRAM))
             yield K.places_out([*out, *((block, np.array(x, dtype=np.uint32).tobytes(), 0) for block, x in gone.items())])
 
-    sent = K.with_sent(rows, seen).mapInArrow(B.tidy(send), K.WINDOWS + ", texts binary")
-    gone = scratch.table("gone", K.exchange(sent, n_meet).mapInArrow(B.tidy(meet), K.PLACES))
+    gone = scratch.table("gone", sent.mapInArrow(B.tidy(meet), K.PLACES))
     scratch.drop("repeated")
     scratch.sweep()
     names = docs.columns

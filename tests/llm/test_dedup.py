@@ -163,6 +163,29 @@ def test_maximal_repeats_equal_brute_force():
     assert got == want
 
 
+@pytest.mark.parametrize(("hot", "size"), [(10**9, 1 << 10), (10**9, 1 << 22), (1, 1 << 10)])
+def test_repeat_groups_list_all_occurrences(spark, monkeypatch, hot, size):
+    monkeypatch.setattr(_blocks, "HOT", hot)
+    monkeypatch.setattr(_blocks, "BLOCK_BYTES", size)
+    rows = [*corpus(8)[:60], (900, "é" * 200), (901, "z" * 99), (902, "z" * 130), (None, corpus(8)[30][1])]
+    got = suffix.repeat_groups(docs_of(spark, rows).coalesce(2), length=100).collect()
+    raw = {i: (t or "").encode() for i, t in rows}
+    groups: dict = {}
+    for r in got:
+        groups.setdefault(r["group"], []).append((r["doc_id"], r["start"], r["length"]))
+    covered = {i: [False] * len(t) for i, t in raw.items()}
+    for places in groups.values():
+        strings = {raw[i][a : a + n] for i, a, n in places}
+        assert len(strings) == 1 and len(places) == len(set(places)) > 1
+        one = strings.pop()
+        every = [(i, a, len(one)) for i, t in raw.items() for a in range(len(t) - len(one) + 1) if t.startswith(one, a)]
+        assert sorted(places, key=str) == sorted(every, key=str) and len(one) >= 100
+        for i, a, n in sorted(places, key=lambda p: (-1 if p[0] is None else p[0], p[1]))[1:]:
+            covered[i][a : a + n] = [True] * n
+    want = suffix.brute_force([(-1 if i is None else i, t) for i, t in rows], 100)
+    assert {-1 if i is None else i: sum(c) for i, c in covered.items()} == {i: w[1] for i, w in want.items()}
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     import numpy as np
 
