@@ -62,7 +62,7 @@ def shards(docs: DataFrame, n: int, *, seed: int = 17, id_col: str = "doc_id", t
 
     Shards differ by one row at most; which rows share a shard, and their order (slot, from 0 in each), is a uniform permutation, driven by a seed and
     hashes of the rows.  A null text has no bytes and the checksum of an empty one; rows with a null id are dealt like others;
-    repeated rows hash alike, so they start in one partition, and are told apart by their place in it.
+    repeated rows with an id hash alike, so they start in one partition, and are told apart by their place in it; without one they are spread.
     Other columns are ignored.  Rows with equal texts are dealt independently of each other.
 
     At scale: what moves is ids, sizes and checksums, twice.  No window spans a shard: its rows are
@@ -71,10 +71,11 @@ def shards(docs: DataFrame, n: int, *, seed: int = 17, id_col: str = "doc_id", t
     scratch = Scratch(docs.sparkSession, "shards")
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("bigint").alias("size"), crc.alias("text_crc32"))
-    rows = scratch.table("rows", rows)
+    # rows without an id would all hash alike where texts are equal: these are told apart by where they are read
+    rows = scratch.table("rows", rows.withColumn("at", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())))
     total = rows.count()
     parts = min(PARTS, max(16, math.ceil(total / ROWS)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(seed)), F.lit(parts)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "at", F.lit(seed)), F.lit(parts)).cast("int"))
     counts = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}
     want = [total // n + (s < total % n) for s in range(n)]
     drawn = matrix([counts.get(p, 0) for p in range(parts)], want, seed)
