@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores if the scan gives fewer partitions than these (a file of one row group is one task); as they are otherwise."""
+    """Rows dealt to all cores if the scan gives fewer partitions than these (a file of one row group is one task); as they are otherwise, and behind any shuffle."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # its partitions are known when it has run
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if plan.execute().getNumPartitions() < cores else df
 
 
 def files_signature(spark: SparkSession, *paths: str) -> str:

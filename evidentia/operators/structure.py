@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .layout import spread
 
 #: Fixed values.
 NOISE = r"(?i)^\s*(?:page\s+)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*$"
@@ -35,7 +36,7 @@ def drop_short_pages(pages: DataFrame, least: int = MIN_PAGE_CHARS) -> DataFrame
 
 def lines(pages: DataFrame) -> DataFrame:
     """(source_file, page, line_no, line): every line, empty ones too."""
-    return pages.select("source_file", "page", F.posexplode(F.split(X.text(F.col("text")), "\n")).alias("line_no", "line"))
+    return spread(pages.select("source_file", "page", "text")).select("source_file", "page", F.posexplode(F.split(X.text(F.col("text")), "\n")).alias("line_no", "line"))
 
 
 def repeated_lines(pages: DataFrame, share: float = 0.5, max_len: int = 120) -> DataFrame:
