@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, embeddings, minhash, packing, sharding, substring, suffix, toxicity, urls, warc
+from . import decontaminate, embeddings, minhash, mixing, negatives, packing, sharding, substring, suffix, toxicity, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": urls.op8_url_filter,
         "op9_embedding_near_dedup": embeddings.op9_embedding_near_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_weighted_mixing": mixing.op11_weighted_mixing,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -34,4 +36,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc_archive": warc.OP3_SQL,
         "op5_suffix_array_dedup": suffix.OP5_SQL,
         "op9_embedding_near_dedup": embeddings.OP9_SQL,
+        "op11_weighted_mixing": mixing.OP11_SQL,
+        "op12_hard_negatives": negatives.OP12_SQL,
     }
