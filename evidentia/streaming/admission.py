@@ -15,16 +15,13 @@ from ..operators.quota import Gate
 OUT = "session bigint, event_id bigint, ok boolean, reason string, remaining_today int"
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).format("parquet").load(path)
-
-
-def _source(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over a folder of Parquet files; a single file is read through its folder by name."""
-    schema = spark.read.parquet(path).schema
+def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A stream over a folder of Parquet files, so many a batch; a single file is read through its folder by name."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("pathGlobFilter", name if "." in name else "*").parquet(folder) if _is_file(spark, path) else spark.readStream.schema(schema).parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder) if _is_file(spark, path) else reader.parquet(path)
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
@@ -47,7 +44,7 @@ def _run(df: DataFrame, mode: str, out: str) -> DataFrame:
 
 def daily_counts(spark: SparkSession, path: str) -> DataFrame:
     """(day, used) over the stream: a tumbling day by the calendar, UTC."""
-    days = _source(spark, path).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
+    days = file_stream(spark, path).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("used"))
     return _run(days, "complete", "daily")
 
 
@@ -72,5 +69,5 @@ def admit_stream(events: DataFrame, **caps) -> DataFrame:
 
 def admit_stream_once(spark: SparkSession, path: str, **caps) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    events = _source(spark, path).select(F.col("user_id").alias("session"), "event_id", at.alias("at"))
+    events = file_stream(spark, path).select(F.col("user_id").alias("session"), "event_id", at.alias("at"))
     return _run(admit_stream(events, **caps), "append", "admission")
