@@ -22,6 +22,9 @@ NAMED_SECTIONS = [
 ]
 SKIP_TITLES = ["table of contents", "contents", "revision history", "acknowledgements"]
 MIN_PAGE_CHARS = 20
+#: Pages of a document whose headings one task counts, and the type of a page's headings.
+PAGE_RANGE = 256
+HEADS = "array<struct<line_no:int,clause_id:string,title:string,parent_title:string>>"
 
 
 def split_pages(files: DataFrame) -> DataFrame:
@@ -89,33 +92,54 @@ def accept_headings(found: DataFrame) -> DataFrame:
     """Drops bare numbers without an earlier titled ancestor in their document and adds parent_title, of the deepest, latest earlier one.
 
     A bare number counts if any ancestor came before; an accepted bare ancestor had a titled
-    one itself, so titled ones decide.
+    one itself, so titled ones decide.  As-of without pairs: titled headings and one row per ancestor of a bare number stand in
+    one order of places, and each of the latter takes the last title before it.
     """
-    order = F.struct("page", "line_no")
-    titled = found.where("title <> '' and clause_id <> ''").select("source_file", F.col("clause_id").alias("ancestor"), order.alias("seen"), "title", "kind")
-    bare = _ancestors(found.where("kind = 'bare'")).withColumn("here", order)
-    near = bare.join(titled, ["source_file", "ancestor"]).where("seen < here and kind <> 'part'")
-    parents = near.groupBy("source_file", "page", "line_no").agg(F.max_by("title", F.struct("depth", "seen")).alias("parent_title"))
+    titled = found.where("title <> '' and clause_id <> '' and kind <> 'part'").select("source_file", F.col("clause_id").alias("ancestor"), "page", "line_no", F.lit(0).alias("depth"), "title")
+    asked = _ancestors(found.where("kind = 'bare'")).select("source_file", "ancestor", "page", "line_no", (F.col("depth") + 1).alias("depth"), F.lit(None).cast("string").alias("title"))
+    earlier = Window.partitionBy("source_file", "ancestor").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = titled.unionByName(asked).withColumn("last", F.last("title", ignorenulls=True).over(earlier)).where("depth > 0 and last is not null")
+    parents = last.groupBy("source_file", "page", "line_no").agg(F.max_by("last", "depth").alias("parent_title"))
     out = found.join(parents, ["source_file", "page", "line_no"], "left").where("kind <> 'bare' or parent_title is not null")
     return out.withColumn("parent_title", F.coalesce("parent_title", F.lit("")))
 
 
+def clause_numbers(pages: DataFrame, heads: DataFrame) -> DataFrame:
+    """(source_file, page, heads, before): a page's accepted headings in order, and how many its document has on earlier pages.
+
+    In two levels: sums of ranges of PAGE_RANGE pages, running sums of these, and running sums inside a range. No task holds
+    a document's lines, nor all its pages.
+    """
+    own = heads.groupBy("source_file", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "clause_id", "title", "parent_title"))).alias("heads"))
+    counted = pages.select("source_file", "page").join(own, ["source_file", "page"], "left").withColumns({"n": F.coalesce(F.size("heads"), F.lit(0)), "range": F.floor(F.col("page") / PAGE_RANGE)})
+    earlier = lambda *by: Window.partitionBy("source_file", *by)
+    sums = counted.groupBy("source_file", "range").agg(F.sum("n").alias("sum"))
+    ranges = sums.withColumn("offset", F.coalesce(F.sum("sum").over(earlier().orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("sum")
+    inside = counted.withColumn("inside", F.coalesce(F.sum("n").over(earlier("range").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return inside.join(ranges, ["source_file", "range"]).select("source_file", "page", "heads", (F.col("offset") + F.col("inside")).alias("before"))
+
+
 def segment(pages: DataFrame) -> DataFrame:
     """Clauses in order: source_file, seq, doc_family, doc_role, clause_id, section, title, parent_title, page, lines (page, line).
 
     Lines before a document's first heading are its (preamble).  Clauses without text, contents
     pages and front matter are dropped, though their titles serve descendants.
     """
-    heads = accept_headings(detect_headings(pages))
-    every = lines(pages).join(heads, ["source_file", "page", "line_no"], "left")
-    running = Window.partitionBy("source_file").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = every.withColumn("seq", F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(running))
-    body = F.collect_list(F.when(F.col("kind").isNull(), F.struct("page", "line_no", X.strip(F.col("line")).alias("line"))))
-    first = lambda c: F.max(F.when(F.col("kind").isNotNull(), F.col(c))).alias(c)
-    grouped = every.groupBy("source_file", "seq").agg(first("clause_id"), first("title"), first("parent_title"), F.array_sort(body).alias("ls"))
+    marks = clause_numbers(pages, accept_headings(detect_headings(pages)))
+    numbered = pages.select("source_file", "page", "text").join(marks, ["source_file", "page"])
+    # a page's lines are cut at its headings: a row a piece of a clause, not a row a line
+    split = numbered.select("source_file", "page", "before", F.coalesce("heads", F.array().cast(HEADS)).alias("heads"), F.transform(F.split(X.text(F.col("text")), "\n"), X.strip).alias("all"))
+    begin = F.concat(F.array(F.lit(0)), F.transform("heads", lambda h: h["line_no"] + 1))
+    end = F.concat(F.transform("heads", lambda h: h["line_no"]), F.array(F.size("all")))
+    pieces = F.posexplode(F.zip_with(begin, end, lambda a, b: F.slice("all", a + 1, b - a))).alias("k", "texts")
+    every = split.select("source_file", "page", "before", "heads", pieces).select("source_file", "page", "k", (F.col("before") + F.col("k")).alias("seq"), F.get("heads", F.col("k") - 1).alias("head"), "texts")
+    first = lambda c: F.max(F.col("head")[c]).alias(c)
+    runs = F.array_sort(F.collect_list(F.struct("page", "k", "texts")))
+    grouped = every.groupBy("source_file", "seq").agg(first("clause_id"), first("title"), first("parent_title"), runs.alias("runs"))
+    grouped = grouped.withColumn("ls", F.flatten(F.transform("runs", lambda r: F.transform(r["texts"], lambda x: F.struct(r["page"].alias("page"), x.alias("line"))))))
     whole = F.array_join(F.col("ls.line"), "\n")
     title = F.when(F.col("seq") == 0, "(preamble)").otherwise(F.col("title"))
     family, role = X.describe_document(F.col("source_file"))
     out = grouped.where((X.strip(whole) != "") & ~X.looks_like_toc(whole) & ~F.lower(F.regexp_replace(X.text(title), ":+$", "")).isin(SKIP_TITLES))
-    out = out.select("source_file", "seq", family.alias("doc_family"), role.alias("doc_role"), X.text(F.col("clause_id")).alias("clause_id"), title.alias("title"), X.text(F.col("parent_title")).alias("parent_title"), F.element_at("ls", 1)["page"].alias("page"), F.transform("ls", lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"))).alias("lines"))
+    out = out.select("source_file", "seq", family.alias("doc_family"), role.alias("doc_role"), X.text(F.col("clause_id")).alias("clause_id"), title.alias("title"), X.text(F.col("parent_title")).alias("parent_title"), F.get("ls", F.lit(0))["page"].alias("page"), F.col("ls").alias("lines"))
     return out.withColumn("section", X.parent_of(F.col("clause_id")))

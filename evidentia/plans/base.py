@@ -47,7 +47,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chunks: family by language, role and file by source, page by id, first line as heading."""
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("page_content"), F.col("source").alias("source_file"), F.col("lang").alias("doc_family"), F.col("source").alias("doc_role"),
-        F.col("lang").alias("clause_id"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80).alias("heading"), F.col("doc_id").alias("page"),
+        F.col("lang").alias("clause_id"), F.element_at(F.split("text", "\n"), 1).alias("heading"), F.col("doc_id").alias("page"),
     )
 
 
@@ -95,7 +95,7 @@ def spec_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = r"""flatten(list_transform(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9][a-z0-9\-.]*'), lambda t: CASE WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN [t, substr(t, 1, length(t) - 1)] ELSE [t] END))"""
 STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 NORMAL = r"lower(trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g')))"
-CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, text AS page_content, source AS source_file, lang AS doc_family, source AS doc_role, lang AS clause_id, substr(string_split(text, chr(10))[1], 1, 80) AS heading, doc_id AS page FROM documents)"
+CHUNKS = "chunks AS (SELECT doc_id AS chunk_id, text AS page_content, source AS source_file, lang AS doc_family, source AS doc_role, lang AS clause_id, string_split(text, chr(10))[1] AS heading, doc_id AS page FROM documents)"
 QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 LINES = "lines AS (SELECT source_file, page, u.i - 1 AS line_no, ls[u.i] AS line FROM (SELECT source_file, page, string_split(text, chr(10)) AS ls FROM {0}), unnest(range(1, len(ls) + 1)) AS u(i))"
 PAGES = "pg AS (SELECT source AS source_file, doc_id AS page, text FROM documents)"
