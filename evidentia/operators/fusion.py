@@ -154,14 +154,16 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_
     The vector list is the first k of the family; what the route forbids goes from these k, and fewer than `least` are replaced
     by the first k of all.  The keyword lists are the first k of what the route admits.
     """
-    if index is not None:
-        body, title = index.scores(queries, "page_content"), index.scores(queries, "title_text")
-    else:
-        body = lexical.bm25_scores(chunks, queries, "page_content", key)
-        title = lexical.bm25_scores(lexical.title_field(chunks), queries, "title_text", key)
+
+    def keyword_list(field: str, rules: DataFrame | None) -> DataFrame:
+        if index is not None:
+            return index.top_k(queries, k, field, rules=rules)
+        scores = lexical.bm25_scores(lexical.title_field(chunks), queries, field, key)
+        return lexical.top_k(scores if rules is None else restrict(scores, chunks, rules, key), k, key)
+
     broad = vectors.vector_top_k(vecs, query_vecs, k, key)
     if not route:
-        return rrf(union_rankings(broad, lexical.top_k(body, k, key), lexical.top_k(title, k, key), key=key), key)
+        return rrf(union_rankings(broad, keyword_list("page_content", None), keyword_list("title_text", None), key=key), key)
     named = inferred_routes(queries) if routed is None else routed.select("query_id", "family", "role")
     rules = routes(named, chunks, least)
     # a family filters the vector scan whether or not its route is wide enough to narrow
@@ -171,7 +173,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_
     plain = broad.join(families, "query_id", "left_anti")
     kept = restrict(near.unionByName(plain), chunks, rules, key).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     near = widen(kept, broad, least)
-    return rrf(union_rankings(near, lexical.top_k(restrict(body, chunks, rules, key), k, key), lexical.top_k(restrict(title, chunks, rules, key), k, key), key=key), key)
+    return rrf(union_rankings(near, keyword_list("page_content", rules), keyword_list("title_text", rules), key=key), key)
 
 
 def search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_vecs: DataFrame, rerank: Callable[[DataFrame], DataFrame], limit: int | None = None, strategy: str = "cross-encoder", key: str = "chunk_id", **how) -> DataFrame:

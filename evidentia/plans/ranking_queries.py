@@ -57,10 +57,9 @@ def bm25_topk(spark, d):
 
 @query(f"{BODY}, f AS (SELECT bm.* FROM bm JOIN chunks USING (chunk_id) WHERE doc_family = CASE WHEN query_id % 2 = 0 THEN 'en' ELSE 'de' END), {ranked('f', 'r', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")
 def bm25_filtered(spark, d):
-    c, q = chunks(spark, d), questions(spark, d)
-    wanted = q.select("query_id", F.when(F.col("query_id") % 2 == 0, "en").otherwise("de").alias("doc_family"))
-    allowed = c.select("chunk_id", "doc_family").join(wanted, "doc_family").select("query_id", "chunk_id")
-    return big(keyword_index(spark, d).top_k(q, 10, allowed=allowed).withColumn("score", F.round("score", 6)), "rank")
+    q = questions(spark, d)
+    rules = q.select("query_id", F.when(F.col("query_id") % 2 == 0, "en").otherwise("de").alias("family"), F.lit(None).cast("string").alias("role"), F.lit(False).alias("by_role"))
+    return big(keyword_index(spark, d).top_k(q, 10, rules=rules).withColumn("score", F.round("score", 6)), "rank")
 
 
 @query(f"{TITLE}, {ranked('ti', 'r', 10)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r")
@@ -221,7 +220,7 @@ def late_rerank(spark, d):
 def rrf_three(spark, d):
     """Body, title and the body of one family, fused."""
     stored, q = keyword_index(spark, d), questions(spark, d)
-    english = lexical.top_k(stored.scores(q).join(chunks(spark, d).where("doc_family = 'en'").select("chunk_id"), "chunk_id"), 50)
+    english = stored.top_k(q, 50, rules=q.select("query_id", F.lit("en").alias("family"), F.lit(None).cast("string").alias("role"), F.lit(False).alias("by_role")))
     return big(fusion.rrf(fusion.union_rankings(stored.top_k(q, 50), stored.top_k(q, 50, field="title_text"), english)).withColumn("score", F.round("score", 9)), "rank")
 
 
@@ -234,7 +233,7 @@ def keyword_index_build(spark, d):
     keywords.build(lexical.title_field(chunks(spark, d)), FIELDS, path, "new")
     made = keywords.open_keyword_index(spark, path, "new")
     n = lambda df, name: df.groupBy("field").agg(F.count("*").alias(name))
-    return n(made.docs, "n_docs").join(n(made.terms, "n_terms"), "field").join(made.postings.groupBy("field").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens")), "field")
+    return n(made.docs, "n_docs").join(n(made.terms, "n_terms"), "field").join(made.postings.groupBy("field").agg(F.sum("n").alias("n_postings"), F.sum("total").alias("n_tokens")), "field")
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9\-.]*') AS ts FROM documents)
