@@ -14,6 +14,7 @@ from . import lexical, vectors
 
 if TYPE_CHECKING:
     from .keyword_index import KeywordIndex
+    from .vector_index import VectorIndex
 
 #: Fixed values.
 RRF_K, MIN_KEEP, LATE_POOL, FINAL_TOP_K, DEEP_TOP_K, RERANK_MIN_MB = 60, 3, 40, 12, 20, 1400
@@ -144,12 +145,12 @@ def inferred_routes(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", infer_family(F.col("question")).alias("family"), infer_role(F.col("question")).alias("role"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_vecs: DataFrame, k: int = lexical.CANDIDATES, key: str = "chunk_id", route: bool = True, routed: DataFrame | None = None, index: KeywordIndex | None = None, least: int = MIN_KEEP) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_vecs: DataFrame, k: int = lexical.CANDIDATES, key: str = "chunk_id", route: bool = True, routed: DataFrame | None = None, index: KeywordIndex | None = None, vector_index: VectorIndex | None = None, least: int = MIN_KEEP) -> DataFrame:
     """Fused ranking (query_id, key, score, rank) of three lists: vectors, body and title keywords, each narrowed by the question's route.
 
     chunks: key, page_content, clause_id, heading, doc_family, doc_role; queries: query_id, question;
     vecs: key, vec; query_vecs: query_id, vec.  `routed` (query_id, family, role) replaces what the questions name; `index` (with the fields
-    page_content and title_text) spares reading the chunks' texts.
+    page_content and title_text) spares reading the chunks' texts, `vector_index` (grouped by family) reading all vectors.
 
     The vector list is the first k of the family; what the route forbids goes from these k, and fewer than `least` are replaced
     by the first k of all.  The keyword lists are the first k of what the route admits.
@@ -161,15 +162,18 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_
         scores = lexical.bm25_scores(lexical.title_field(chunks), queries, field, key)
         return lexical.top_k(scores if rules is None else restrict(scores, chunks, rules, key), k, key)
 
-    broad = vectors.vector_top_k(vecs, query_vecs, k, key)
+    broad = vectors.vector_top_k(vecs, query_vecs, k, key) if vector_index is None else vector_index.top_k(query_vecs, k)
     if not route:
         return rrf(union_rankings(broad, keyword_list("page_content", None), keyword_list("title_text", None), key=key), key)
     named = inferred_routes(queries) if routed is None else routed.select("query_id", "family", "role")
     rules = routes(named, chunks, least)
     # a family filters the vector scan whether or not its route is wide enough to narrow
     families = named.where("family is not null").select("query_id", "family")
-    of_family = query_vecs.join(families, "query_id").join(chunks.select(key, F.col("doc_family").alias("family")).join(vecs, key).select("family", key, F.col("vec").alias("p")), "family")
-    near = vectors.rank_scored(of_family.select("query_id", key, vectors.dot(F.col("p"), F.col("vec")).alias("score")), k, key)
+    if vector_index is not None:
+        near = vector_index.top_k(query_vecs.join(families.withColumnRenamed("family", "grp"), "query_id"), k)
+    else:
+        of_family = query_vecs.join(families, "query_id").join(chunks.select(key, F.col("doc_family").alias("family")).join(vecs, key).select("family", key, F.col("vec").alias("p")), "family")
+        near = vectors.rank_scored(of_family.select("query_id", key, vectors.dot(F.col("p"), F.col("vec")).alias("score")), k, key)
     plain = broad.join(families, "query_id", "left_anti")
     kept = restrict(near.unionByName(plain), chunks, rules, key).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     near = widen(kept, broad, least)

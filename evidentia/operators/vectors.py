@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,8 +60,35 @@ def rank_scored(scored: DataFrame, k: int, key: str = "chunk_id", digits: int =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", key, "rank", "score")
 
 
+#: Places of a passage's token vectors that make one matrix.
+TOKENS = 1024
+
+
+def _best_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The largest product of each vector of `q` with a vector of `p`, row by row."""
+    for batch in batches:
+        n = batch.num_columns - 2
+        sizes = [pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in (n, n + 1)]
+        flat = [pc.list_flatten(batch.column(c)) for c in (n, n + 1)]
+        at = [np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in sizes]
+        width = len(flat[0][0]) if len(flat[0]) else 0
+        q, p = (pc.list_flatten(x).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width or 1) for x in flat)
+        best = [(q[at[0][r] : at[0][r + 1]] @ p[at[1][r] : at[1][r + 1]].T).max(1) for r in range(batch.num_rows)]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(b) for b in best])]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(best) if best else np.zeros(0)))], names=[*batch.schema.names[:n], "best"])
+
+
 def max_sim(query_tokens: DataFrame, passage_tokens: DataFrame, pairs: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """(query_id, key, score): mean over a query's token vectors of the best match among the passage's. Tokens: (query_id, pos, vec) and (key, pos, vec)."""
-    both = pairs.select("query_id", key).distinct().join(query_tokens.select("query_id", F.col("pos").alias("qp"), F.col("vec").alias("q")), "query_id").join(passage_tokens.select(key, F.col("vec").alias("p")), key)
-    best = both.select("query_id", key, "qp", dot(F.col("q"), F.col("p")).alias("s")).groupBy("query_id", key, "qp").agg(F.max("s").alias("s"))
-    return best.groupBy("query_id", key).agg(F.avg("s").alias("score"))
+    """(query_id, key, score): mean over a query's token vectors of the best match among the passage's. Tokens: (query_id, pos, vec) and (key, pos, vec).
+
+    The vectors of a query are one matrix, those of a passage one for each TOKENS places; a pair is one product of matrices
+    for each of these, and one row.  All vectors have one length.
+    """
+    packed = lambda rows, *by: rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "vec"))), lambda s: F.transform(s["vec"], lambda x: x.cast("double"))).alias("m"))
+    q = packed(query_tokens.select("query_id", "pos", "vec"), "query_id").withColumnRenamed("m", "q")
+    p = packed(passage_tokens.select(key, "pos", "vec", F.floor(F.col("pos") / TOKENS).alias("block")), key, "block").select(key, F.col("m").alias("p"))
+    both = pairs.select("query_id", key).distinct().join(q, "query_id").join(p, key).select("query_id", key, "q", "p")
+    schema = T.StructType([both.schema["query_id"], both.schema[key], T.StructField("best", T.ArrayType(T.DoubleType()))])
+    parts = both.mapInArrow(_best_matches, schema).groupBy("query_id", key).agg(F.collect_list("best").alias("parts"))
+    best = F.aggregate("parts", F.get("parts", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    return parts.select("query_id", key, (F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)).alias("score"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index, lexical
+from ..operators import index, lexical, vector_index
 from ..operators.keyword_index import KeywordIndex, ensure
 from ..operators.layout import files_signature
 
@@ -67,6 +67,19 @@ def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
     return ensure(lexical.title_field(chunks(spark, sf_dir)), FIELDS, _indexes[at], signed)
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str, by: str = "label") -> vector_index.VectorIndex:
+    """The stored index of the vectors, grouped by label, or by the language of the document with the same id."""
+    sources = ["embeddings"] if by == "label" else ["embeddings", "documents"]
+    signed = f"{by} {files_signature(spark, *[f'{sf_dir}/{name}.parquet' for name in sources])}"
+    at = (spark.sparkContext.applicationId, signed)
+    if at not in _indexes:
+        _indexes[at] = index.scratch_path(spark, "vector-index")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label", F.col("embedding").alias("vec"))
+    if by != "label":
+        rows = rows.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id", "left")
+    return vector_index.ensure(rows, _indexes[at], signed, group=F.col("label" if by == "label" else "lang"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), F.col("doc_id").alias("page"), "text")
 

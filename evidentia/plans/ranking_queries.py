@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import evaluate, fusion, index, lexical, models, vectors
 from ..operators import keyword_index as keywords
-from .base import CHUNKS, FIELDS, QUESTIONS, TOKENS, big, bm25, chunks, keyword_index, query, questions, ranked, rows, table
+from .base import CHUNKS, FIELDS, QUESTIONS, TOKENS, big, bm25, chunks, keyword_index, query, questions, ranked, rows, stored_vectors, table
 
 BODY = f"WITH {CHUNKS}, {QUESTIONS}, {bm25()}"
 TITLE = f"WITH {CHUNKS}, {QUESTIONS}, titled AS (SELECT chunk_id, coalesce(clause_id, '') || ' ' || coalesce(heading, '') AS title_text FROM chunks), {bm25('title_text', 'ti', 'titled')}"
@@ -85,13 +85,19 @@ def _top(k: int, where: str = "") -> str:
 
 @query(_top(10))
 def vector_topk(spark, d):
+    return big(stored_vectors(spark, d).top_k(_vector_queries(spark, d), 10).withColumn("score", F.round("score", 6)), "rank")
+
+
+@query(_top(10))
+def vector_scan(spark, d):
+    """The same without an index: every vector against every query, in blocks of queries."""
     return big(vectors.vector_top_k(_vectors(spark, d), _vector_queries(spark, d), 10).withColumn("score", F.round("score", 6)), "rank")
 
 
 @query(_top(5, "AND p.label = q.label"))
 def vector_topk_filtered(spark, d):
-    allowed = _vectors(spark, d).select("chunk_id", "label").join(_vector_queries(spark, d).select("query_id", "label"), "label").select("query_id", "chunk_id")
-    return big(vectors.vector_top_k(_vectors(spark, d), _vector_queries(spark, d), 5, allowed=allowed).withColumn("score", F.round("score", 6)), "rank")
+    same = _vector_queries(spark, d).where("label is not null").withColumnRenamed("label", "grp")
+    return big(stored_vectors(spark, d).top_k(same, 5).withColumn("score", F.round("score", 6)), "rank")
 
 
 @query(f"WITH {VEC}, m AS (SELECT label, u.i, avg(vec[u.i]) AS m FROM v, unnest(range(1, len(vec) + 1)) AS u(i) GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY 1) SELECT label, i - 1 AS dim, round(m / n, 6) AS value FROM m JOIN n USING (label)")
@@ -145,7 +151,7 @@ rv AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTIT
 
 @query(HYBRID)
 def hybrid_search(spark, d):
-    return big(fusion.hybrid_search(*_searched(spark, d), route=False, index=keyword_index(spark, d)).withColumn("score", F.round("score", 9)), "rank")
+    return big(fusion.hybrid_search(*_searched(spark, d), route=False, index=keyword_index(spark, d), vector_index=stored_vectors(spark, d, "family")).withColumn("score", F.round("score", 9)), "rank")
 
 
 def _searched(spark, d):
@@ -185,7 +191,7 @@ def _routes(spark, d):
 @query(ROUTED_SEARCH + " SELECT query_id, chunk_id, rank, round(score, 9) AS score FROM fused")
 def hybrid_routed(spark, d):
     """Route, three narrowed lists, fusion."""
-    return big(fusion.hybrid_search(*_searched(spark, d), routed=_routes(spark, d), index=keyword_index(spark, d)).withColumn("score", F.round("score", 9)), "rank")
+    return big(fusion.hybrid_search(*_searched(spark, d), routed=_routes(spark, d), index=keyword_index(spark, d), vector_index=stored_vectors(spark, d, "family")).withColumn("score", F.round("score", 9)), "rank")
 
 
 def _pair_model():
@@ -202,18 +208,19 @@ def cross_rerank(spark, d):
     c, q, v, qv = _searched(spark, d)
     scorer = models.pair_scorer(_pair_model)
     pairs = lambda fused: fused.join(q, "query_id").join(c.select("chunk_id", "page_content"), "chunk_id").select("query_id", "chunk_id", scorer(F.col("question"), F.col("page_content")).alias("score"))
-    return big(fusion.search(c, q, v, qv, pairs, routed=_routes(spark, d), index=keyword_index(spark, d)), "rank")
+    return big(fusion.search(c, q, v, qv, pairs, routed=_routes(spark, d), index=keyword_index(spark, d), vector_index=stored_vectors(spark, d, "family")), "rank")
 
 
-@query(ROUTED_SEARCH + """, s AS (SELECT query_id, chunk_id, avg(best) AS s FROM (SELECT f.query_id, f.chunk_id, a.i, max(list_dot_product(x.vec, y.vec)) AS best FROM cand f, (VALUES (0), (1), (2)) AS a(i), (VALUES (0), (7)) AS b(i), v x, v y
-  WHERE f.rank <= 40 AND x.chunk_id = (f.query_id + a.i) % 500 AND y.chunk_id = (f.chunk_id + b.i) % 500 GROUP BY 1, 2, 3) GROUP BY 1, 2)
+@query(ROUTED_SEARCH + """, n AS (SELECT max(chunk_id) + 1 AS n FROM v), tok AS (SELECT f.query_id, f.chunk_id, a.i, (f.query_id + a.i) % n AS qa, (f.chunk_id + b.i) % n AS pa FROM cand f, n, (VALUES (0), (1), (2)) AS a(i), (VALUES (0), (7)) AS b(i) WHERE f.rank <= 40),
+s AS (SELECT query_id, chunk_id, avg(best) AS s FROM (SELECT query_id, tok.chunk_id, i, max(list_dot_product(x.vec, y.vec)) AS best FROM tok JOIN v x ON x.chunk_id = qa JOIN v y ON y.chunk_id = pa GROUP BY 1, 2, 3) GROUP BY 1, 2)
 SELECT * FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 40 THEN 0 ELSE 1 END, CASE WHEN rank <= 40 THEN -round(s, 9) END, rank) AS rank FROM cand LEFT JOIN s USING (query_id, chunk_id)) WHERE rank <= 20""")
 def late_rerank(spark, d):
     """The whole search with late interaction: the first 40 by token vectors (here taken from the vector table), the rest behind, cut at 20."""
     c, q, v, qv = _searched(spark, d)
-    tokens = lambda key, frame, steps: frame.select(key, F.explode(F.array(*[F.lit(i) for i in steps])).alias("pos")).withColumn("at", (F.col(key) + F.col("pos")) % 500).join(v.select(F.col("chunk_id").alias("at"), "vec"), "at").select(key, "pos", "vec")
+    n = v.agg(F.max("chunk_id")).first()[0] + 1  # every vector can stand for a token
+    tokens = lambda key, frame, steps: frame.select(key, F.explode(F.array(*[F.lit(i) for i in steps])).alias("pos")).withColumn("at", (F.col(key) + F.col("pos")) % n).join(v.select(F.col("chunk_id").alias("at"), "vec"), "at").select(key, "pos", "vec")
     late = lambda head: vectors.max_sim(tokens("query_id", q, (0, 1, 2)), tokens("chunk_id", head.select("chunk_id").distinct(), (0, 7)), head)
-    return big(fusion.search(c, q, v, qv, late, strategy="late-interaction", routed=_routes(spark, d), index=keyword_index(spark, d)), "rank")
+    return big(fusion.search(c, q, v, qv, late, strategy="late-interaction", routed=_routes(spark, d), index=keyword_index(spark, d), vector_index=stored_vectors(spark, d, "family")), "rank")
 
 
 @query(f"{TITLE}, {bm25()}, en AS (SELECT bm.* FROM bm JOIN chunks USING (chunk_id) WHERE doc_family = 'en'), {ranked('bm', 'ra', 50)}, {ranked('ti', 'rb', 50)}, {ranked('en', 'rc', 50)}, {_fused('ra', 'rb', 'rc')} SELECT query_id, chunk_id, rank, round(score, 9) AS score FROM fused")
