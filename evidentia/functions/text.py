@@ -103,11 +103,16 @@ def is_capability_question(question: Column) -> Column:
 
 
 def content_to_text(json: Column) -> Column:
-    """Plain text of a message given as JSON: a string, a list of strings and {text or content} blocks, null (''), or anything else as it is."""
-    blocks = F.from_json(json, "array<string>")
-    block = lambda b: F.when(F.startswith(b, F.lit("{")), F.coalesce(F.nullif(F.get_json_object(b, "$.text"), F.lit("")), F.get_json_object(b, "$.content"), F.lit(""))).otherwise(b)
-    plain = F.get_json_object(F.concat(F.lit('{"v":'), json, F.lit("}")), "$.v")
-    return F.when(json.isNull() | (F.trim(json) == "null"), "").when(F.startswith(F.ltrim(json), F.lit("[")), F.array_join(F.transform(blocks, block), "\n")).otherwise(F.coalesce(plain, json))
+    """Plain text of a message given as JSON: a string, a list of strings and {text or content} blocks joined by line ends, null (''), or anything else as it is.
+
+    Parsed once, as a VARIANT; what isn't JSON stays as it is.
+    """
+    value = F.try_parse_json(json)
+    part = lambda v, path: F.try_variant_get(v, path, "string")
+    block = lambda b: F.when(F.startswith(F.schema_of_variant(b), F.lit("OBJECT")), F.coalesce(F.nullif(part(b, "$.text"), F.lit("")), part(b, "$.content"), F.lit(""))).otherwise(F.coalesce(part(b, "$"), F.lit("")))
+    kind = F.schema_of_variant(value)
+    listed = F.array_join(F.transform(F.try_variant_get(value, "$", "array<variant>"), block), "\n")
+    return F.when(json.isNull() | F.is_variant_null(value), "").when(F.startswith(kind, F.lit("ARRAY")), listed).when(kind == "STRING", part(value, "$")).otherwise(json)
 
 
 def render_answer(claims: Column) -> Column:

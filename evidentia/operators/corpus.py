@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Fixed value: the last paragraph of the answer about the assistant itself.
-CLOSING = "Saya hanya menjawab dari dokumen itu. Kalau jawabannya tidak ada di sana, saya bilang tidak ketemu, bukan mengarang."
+CLOSING = "Whatever those files don't say stays unanswered: a claim without a passage that carries it is left out."
 
 
 def sources(chunks: DataFrame) -> DataFrame:
@@ -34,8 +33,8 @@ def capability_answer(chunks: DataFrame, names: dict[str, str], cards: list[str]
 
     listed = sources(chunks).agg(F.array_sort(F.collect_set("source_file")).alias("s"))
     shown = F.array_join(F.transform("s", lambda x: lookup(x, names)), ", ")
-    tail = "\n".join(["", "**In scope**", "", *[f"- {c}" for c in cards], "", "**Questions that work**", "", *[f"- {k}: " + "; ".join(v) for k, v in questions.items()], "", CLOSING])
-    return listed.select(F.concat(F.lit("I answer only from the documents indexed here: "), shown, F.lit(".\n" + tail)).alias("answer"))
+    tail = "\n".join(["", "Subjects:", *[f"- {c}" for c in cards], "", "For example:", *[f"- {k}: " + "; ".join(v) for k, v in questions.items()], "", CLOSING])
+    return listed.select(F.concat(F.lit("These files can be searched: "), shown, F.lit(".\n" + tail)).alias("answer"))
 
 
 def missing_models(wanted: list[str], available: DataFrame) -> DataFrame:

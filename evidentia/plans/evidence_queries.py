@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus, evidence, index
-from .base import NORMAL, big, chunks, keyword_index, query, questions, ranked, rows, spec_pages, table
+from .base import NORMAL, SPEC, big, chunks, keyword_index, query, questions, ranked, rows, spec_pages, table
 from .ranking_queries import BODY
 
 
@@ -38,7 +38,7 @@ def quote_support(spark, d):
 NUMBER = r"regexp_matches({0}, '(^|[^0-9.])' || regexp_replace({1}, '\.', '\\.', 'g') || '([^0-9.]|$)')"
 
 
-@query(rf"WITH {{SPEC}} SELECT source_file, page, {NUMBER.format('text', '''(1 + page % 3) || '.' || (1 + page % 4)''')} AS own, {NUMBER.format('text', '''CAST(1 + page % 4 AS VARCHAR)''')} AS bare FROM spec".replace("{SPEC}", __import__("evidentia.plans.base", fromlist=["SPEC"]).SPEC))
+@query(rf"WITH {{SPEC}} SELECT source_file, page, {NUMBER.format('text', '''(1 + page % 3) || '.' || (1 + page % 4)''')} AS own, {NUMBER.format('text', '''CAST(1 + page % 4 AS VARCHAR)''')} AS bare FROM spec".replace("{SPEC}", SPEC))
 def clause_present(spark, d):
     p = F.col("page")
     own = F.concat((1 + p % 3).cast("string"), F.lit("."), (1 + p % 4).cast("string"))
@@ -116,7 +116,7 @@ def friendly_names(spark, d):
     return table(spark, d, "documents").select("doc_id", X.lookup(F.col("source"), {"src0": "First source", "src7": "Seventh source"}).alias("name"))
 
 
-ASKED = """(1, 'What can you do?'), (2, 'apa saja yg bisa dibahas di chat ini?'), (3, 'apa saja yg akan dicek di sini?'), (4, 'What pressure test is required and for how long?'), (5, 'topik apa yang tersedia?'), (6, 'what is this app?'), (7, NULL), (8, 'How do I use it')"""
+ASKED = """(1, 'Tell me, what can you look up?'), (2, 'jadi apa saja yang bisa kamu cari?'), (3, 'bisa dicek apa lewat halaman ini?'), (4, 'Which torque holds for the flange bolts?'), (5, 'topik apa lagi selain pompa?'), (6, 'so what does this tool do?'), (7, NULL), (8, 'And how do I use the search?'), (9, 'what questions about pumps were asked?'), (10, '')"""
 
 
 @query(rf"""WITH q(query_id, question) AS (VALUES {ASKED}) SELECT query_id, regexp_matches(coalesce(question, ''), '(?i)(what can (you|i)\b|what (questions|topics)\b|what (does|is) this (app|demo|chat|tool)\b|how do i use\b|what are you able\b|apa (saja )?(yang )?bisa\b|bisa (ditanyakan|ditanya|dibahas|dicek apa)\b|topik apa\b)') AS capability FROM q""")
@@ -149,6 +149,17 @@ def conversation_log(spark, d):
     return corpus.conversation_log(table(spark, d, "conversations")).select("conv_id", "turns", F.array_join("roles", ",").alias("roles"))
 
 
+@query("""WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text FROM conversations)
+SELECT conv_id, turn, CASE turn % 5 WHEN 4 THEN '' WHEN 2 THEN coalesce(role, '') || chr(10) || coalesce(text, '') WHEN 3 THEN '{"note":1}' ELSE coalesce(text, '') END AS plain FROM t""")
+def message_content(spark, d):
+    """Turns wrapped in the shapes that chat models answer in: a string, a list of blocks, a mixed list, another object, and null."""
+    turn, said = F.col("turn"), F.col("text")
+    quoted = F.regexp_extract(F.to_json(F.struct(F.coalesce(said, F.lit("")).alias("v"))), r"(?s)^.\"v\":(.*).$", 1)
+    shapes = F.when(turn % 5 == 0, quoted).when(turn % 5 == 1, F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.coalesce(said, F.lit("")).alias("text")))))
+    shapes = shapes.when(turn % 5 == 2, F.concat(F.lit("["), F.regexp_extract(F.to_json(F.struct(F.coalesce("role", F.lit("")).alias("v"))), r"(?s)^.\"v\":(.*).$", 1), F.lit(","), F.to_json(F.struct(F.lit("").alias("text"), F.coalesce(said, F.lit("")).alias("content"))), F.lit("]")))
+    return table(spark, d, "conversations").select("conv_id", "turn", X.content_to_text(shapes.when(turn % 5 == 3, F.lit('{"note":1}'))).alias("plain"))
+
+
 @query("SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations GROUP BY 1")
 def last_turn(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))

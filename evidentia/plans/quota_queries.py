@@ -78,6 +78,11 @@ def streaming_daily_count(spark, d):
     return admission.daily_counts(spark, f"{d}/events.parquet")
 
 
+@query(f"WITH {FOLD} SELECT user_id AS session, event_id, ok, reason, CAST(used AS BIGINT) AS used FROM f")
+def streaming_session_quota(spark, d):
+    return big(admission.admit_sessions_once(spark, f"{d}/events.parquet", gap=3600.0), "used")
+
+
 @query(ALL_LIMITS)
 def streaming_quota(spark, d):
     return admission.admit_stream_once(spark, f"{d}/events.parquet", per_session=50, per_day=25, gap=60.0)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import packing, structure
+from ..operators.index import scratch_path
 from .base import LINES, PAGES, SPEC, STRIP, big, pages, query, spec_pages, table
 
 SPLIT = r"""files AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || ' <!-- Page --> ' || chr(10)) AS text FROM documents),
@@ -174,6 +175,14 @@ def pack_chunks(spark, d):
     return big(_packed(spark, d).select("source_file", "seq", "piece", "page", "tokens", "page_content"), "piece", "page", "tokens")
 
 
-@query(f"WITH {PACK} SELECT count(*) AS chunks, min(tokens) AS least, list_sort(list(tokens))[1 + count(*) // 2] AS median, max(tokens) AS most, count(*) FILTER (tokens > 55) AS over FROM packed")
+@query(f"WITH {PACK} SELECT count(*) AS chunks, min(tokens) AS least, list_sort(list(tokens))[1 + count(*) // 2] AS median, max(tokens) AS most, count(*) FILTER (tokens > 55) AS over, true AS sketch_within FROM packed")
 def chunk_stats(spark, d):
-    return big(packing.chunk_stats(_packed(spark, d), 55), "least", "median", "most")
+    """The sketch's median must have a rank within its stated error: so many chunks are smaller, and so many aren't larger."""
+    at = scratch_path(spark, "packed")
+    _packed(spark, d).select("tokens").write.parquet(at)
+    made = spark.read.parquet(at)
+    stats = big(packing.chunk_stats(made, 55), "least", "median", "most")
+    ranks = made.crossJoin(F.broadcast(stats.select("about"))).agg(F.count_if(F.col("tokens") < F.col("about")).alias("below"), F.count_if(F.col("tokens") <= F.col("about")).alias("up_to"))
+    half, error = F.col("chunks") / 2, F.greatest(F.lit(1), F.col("chunks") / packing.SKETCH)
+    within = (F.col("below") <= half + error) & (F.col("up_to") >= half - error)
+    return stats.crossJoin(F.broadcast(ranks)).withColumn("sketch_within", within).drop("about", "below", "up_to")
