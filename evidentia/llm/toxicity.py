@@ -24,8 +24,8 @@ BITS = 20
 STEMS = (4, 5)
 #: Words of a text that share a stem are told apart up to so many.
 MANY = 3
-#: Terms that the machine weighs, at most in all and for each row that it is fitted on: those that tell the classes apart best.
-TERMS, PER_ROW = 20_000, 3
+#: How many standard deviations a term's share of class 1 must lie from that of all terms, for the machine to weigh it.
+TELLS = 2.0
 #: How much harder factors are held down than single weights: pairs are many.
 FIRMER = 10
 #: Labelled rows that the machine is fitted on, at most.
@@ -97,8 +97,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, rounds: int = 12, least: int = 4, most_terms: int = TERMS, rate: float = 0.1, decay: float = 3e-3, how_even: float = 1.0, batch: int = 256, seed: int = 11) -> Machine:
-    """Adagrad on the log loss. Terms in fewer than `least` rows are left out, and all but about `most_terms` (and PER_ROW a row) of the rest; `how_even` 1 gives both classes the same weight, 0 each row."""
+def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, rounds: int = 12, least: int = 4, tells_from: float = TELLS, rate: float = 0.1, decay: float = 3e-3, how_even: float = 1.0, batch: int = 256, seed: int = 11) -> Machine:
+    """Adagrad on the log loss. Terms in fewer than `least` rows are left out, and those that hardly tell the classes apart (`tells_from`); `how_even` 1 gives both classes the same weight, 0 each row."""
     y = y.astype(np.float64)
     if not len(y) or y.min() == y.max():
         p = 0.5 if not len(y) else np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -114,10 +114,7 @@ def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, round
         pos += np.bincount(part, y[row_of(i, j)], 1 << BITS)
     share = pos.sum() / max(count.sum(), 1)
     tells = np.abs(pos - count * share) / np.sqrt(count * share * (1 - share) + 1e-9)
-    keep = count >= least
-    most_terms = min(most_terms, PER_ROW * len(y))
-    if keep.sum() > most_terms:
-        keep &= tells >= np.partition(tells[keep], -most_terms)[-most_terms]
+    keep = (count >= least) & (tells >= tells_from)
     known = np.flatnonzero(keep)
     renumber = np.cumsum(keep, dtype=np.int32) - 1
     picked = [(renumber[part[keep[part]]], row_of(i, j)[keep[part]]) for i, j in docs for part in [t[at[i] : at[j]]]]
@@ -160,11 +157,11 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in B.cuts(offsets, CHUNK):
             t, at = terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             packed = [t[a:b].astype(np.int32).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).slice(i, j - i)], names=["terms", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), pa.array(packed, pa.binary()), batch.column(1).slice(i, j - i)], names=["id", "terms", "label"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = LABELLED, **how) -> Machine:
-    """Fits on at most `most` labelled rows (picked by hash of the id), texts whole. Rows with a null id or label are passed over; an id labelled both ways counts as it does for most rows."""
+    """Fits on at most `most` labelled rows (picked by hash of the id), texts whole. Rows with a null id or label are passed over; of rows that share an id the one with the least hash of its terms counts; an id labelled both ways counts as it does for most rows."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
     n = known.count()
     if n > most:
@@ -172,7 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         share = int((1 << 30) * min(1.0, most / n + 4 * (most**0.5) / n))
         known = known.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)) < share).orderBy(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)), id_col).limit(most)
     texts = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(known), id_col).select("text", "label").mapInArrow(B.tidy(_hashed), "terms binary, label int").limit(2 * most).toArrow()
+    hashed = texts.join(F.broadcast(known), id_col).select("text", "label", F.col(id_col).cast("string").alias("id")).mapInArrow(B.tidy(_hashed), "id string, terms binary, label int")
+    got = hashed.groupBy("id").agg(F.min_by("terms", F.struct(F.xxhash64("terms"), "terms")).alias("terms"), F.first("label").alias("label")).select("terms", "label").toArrow()
     packed, labels_ = got.column("terms").to_pylist(), got.column("label").to_numpy()
     del got
     order = sorted(range(len(packed)), key=packed.__getitem__)
