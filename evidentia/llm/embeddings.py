@@ -15,8 +15,8 @@ from . import _bytes as B
 from ._components import components
 from ._scratch import Scratch
 
-#: Vectors a cell should hold; labels with fewer have one cell.
-CELL = 2048
+#: Vectors that a cell should hold: ROOT times the square root of the label's, CELL at most. So labels of a few dozen have cells too.
+ROOT, CELL = 6, 2048
 #: Rows on each side of one product.
 BLOCK = 2048
 #: Numbers (vectors times dimensions) in the sample that centres are fitted on.
@@ -110,11 +110,12 @@ def centres_of(x: np.ndarray, k: int) -> np.ndarray:
 
 def _centres(reps: DataFrame) -> dict[str, np.ndarray]:
     """Centres of the classes that need several cells, all fitted on one sample by hash of the id."""
-    sizes = reps.groupBy("class").agg(F.count("*").alias("n"), F.first(F.length("vec")).alias("b")).where(F.col("n") > CELL).orderBy(F.desc("n"), "class").limit(CENTRES // 2).collect()
+    own = F.ceil(F.col("n") / F.least(F.lit(float(CELL)), ROOT * F.sqrt("n")))
+    sizes = reps.groupBy("class").agg(F.count("*").alias("n"), F.first(F.length("vec")).alias("b")).withColumn("k", own).where("k > 1").orderBy(F.desc("n"), "class").limit(CENTRES // 2).collect()
     if not sizes:
         return {}
     total = sum(r["n"] for r in sizes)
-    wanted = {r["class"]: min(math.ceil(r["n"] / CELL), max(2, CENTRES * r["n"] // total)) for r in sizes}
+    wanted = {r["class"]: min(r["k"], max(2, CENTRES * r["n"] // total)) for r in sizes}
     most = {r["class"]: max(wanted[r["class"]], SAMPLE * 8 * r["n"] // total // r["b"]) for r in sizes}
     shares = reps.sparkSession.createDataFrame([(r["class"], int((1 << 20) * min(1.0, most[r["class"]] / r["n"]))) for r in sizes], "class string, share int")
     # the sample follows the hash, so it is of the wanted size but for chance, and the same each time
