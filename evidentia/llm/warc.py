@@ -109,9 +109,9 @@ def write_archive(pages: DataFrame, scratch: Scratch, *, least: int = 0, id_col:
     again = scratch.table("again", known.where("revisit").select("page_id", "address").distinct())
     stored = rows.select("page_id", "html").mapInArrow(_payloads, "page_id bigint, address binary, payload binary")
     stored = stored.join(again, [stored["page_id"].eqNullSafe(again["page_id"]), stored["address"] == again["address"]], "left_anti")
-    twice = known.where("not revisit").groupBy("address").count().where("count > 1")
-    if not twice.isEmpty():  # repeated rows, or payloads under `least`
-        stored = stored.dropDuplicates(["address"])
+    twice = scratch.table("twice", known.where("not revisit").groupBy("address").count().where("count > 1").select("address"))
+    if not twice.isEmpty():  # repeated rows, or payloads under `least`: only these meet
+        stored = stored.join(twice, "address", "left_anti").select("address", "payload").unionByName(stored.join(twice, "address", "left_semi").select("address", "payload").dropDuplicates(["address"]))
     return Archive(scratch.table("objects", stored.select("address", "payload")), records)
 
 
