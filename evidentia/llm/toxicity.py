@@ -26,6 +26,8 @@ STEMS = (4, 5)
 MANY = 3
 #: How many standard deviations a term's share of class 1 must lie from that of all terms, for the machine to weigh it.
 TELLS = 2.0
+#: Terms in this share of the rows are weighed whatever they tell by themselves: a pair of them may tell what neither does.
+COMMON = 0.2
 #: How much harder factors are held down than single weights: pairs are many.
 FIRMER = 10
 #: Labelled rows that the machine is fitted on, at most.
@@ -97,8 +99,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, rounds: int = 12, least: int = 4, tells_from: float = TELLS, rate: float = 0.1, decay: float = 3e-3, how_even: float = 1.0, batch: int = 256, seed: int = 11) -> Machine:
-    """Adagrad on the log loss. Terms in fewer than `least` rows are left out, and those that hardly tell the classes apart (`tells_from`); `how_even` 1 gives both classes the same weight, 0 each row."""
+def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, rounds: int = 12, least: int = 4, tells_from: float = TELLS, common: float = COMMON, rate: float = 0.1, decay: float = 3e-3, how_even: float = 1.0, batch: int = 256, seed: int = 11) -> Machine:
+    """Adagrad on the log loss. Terms in fewer than `least` rows are left out, and rarer ones (than the share `common`) that by themselves hardly tell the classes apart (`tells_from`); `how_even` 1 gives both classes the same weight, 0 each row."""
     y = y.astype(np.float64)
     if not len(y) or y.min() == y.max():
         p = 0.5 if not len(y) else np.clip(y.mean(), 1e-3, 1 - 1e-3)
@@ -114,7 +116,7 @@ def fit(t: np.ndarray, at: np.ndarray, y: np.ndarray, *, factors: int = 4, round
         pos += np.bincount(part, y[row_of(i, j)], 1 << BITS)
     share = pos.sum() / max(count.sum(), 1)
     tells = np.abs(pos - count * share) / np.sqrt(count * share * (1 - share) + 1e-9)
-    keep = (count >= least) & (tells >= tells_from)
+    keep = (count >= least) & ((tells >= tells_from) | (count >= common * len(y)))
     known = np.flatnonzero(keep)
     renumber = np.cumsum(keep, dtype=np.int32) - 1
     picked = [(renumber[part[keep[part]]], row_of(i, j)[keep[part]]) for i, j in docs for part in [t[at[i] : at[j]]]]
