@@ -11,7 +11,6 @@ score found so far are skipped.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -336,7 +335,7 @@ def build(chunks: DataFrame, fields: list[str], path: str, sign: str, key: str =
     there are any, go along for routes. Texts are tokenized once and dealt to cells, which is the one shuffle of the corpus; packed postings are dealt to buckets.
     """
     spark = chunks.sparkSession
-    root = _folder(path, sign)
+    root = index.state(path, sign)
     index.unsign(spark, root)
     mark = lambda c: (F.col(c).cast("string") if c in chunks.columns else F.lit(None).cast("string")).alias(c.removeprefix("doc_"))
     rows = spread(chunks.select(F.col(key).alias("key"), mark("doc_family"), mark("doc_role"), *fields))
@@ -352,27 +351,12 @@ def build(chunks: DataFrame, fields: list[str], path: str, sign: str, key: str =
     index.sign(spark, root, sign)
 
 
-def _folder(path: str, sign: str) -> str:
-    """A state of the corpus has a folder of its own: a new one is built while readers still hold the last."""
-    return f"{path}/{uuid.uuid5(uuid.NAMESPACE_OID, sign).hex[:16]}"
-
-
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, bucket int").parquet(path)
 
 
-def drop_others(spark: SparkSession, path: str, sign: str) -> int:
-    """Deletes the folders of other states, once nothing reads them any more; how many there were."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = [f.getPath() for f in fs.listStatus(at) if f.isDirectory() and f.getPath().getName() != _folder("", sign)[1:]]
-    for p in old:
-        fs.delete(p, True)
-    return len(old)
-
-
 def open_keyword_index(spark: SparkSession, path: str, sign: str, key: str = "chunk_id") -> KeywordIndex:
-    root = _folder(path, sign)
+    root = index.state(path, sign)
     if index.stored_signature(spark, root) != sign:
         raise FileNotFoundError(f"no keyword index signed {sign} in {path}")
     return KeywordIndex(_read(spark, f"{root}/packed", PACKED), _read(spark, f"{root}/terms", "term string, df bigint, field string"), spark.read.parquet(f"{root}/stats"), key, root)
@@ -381,6 +365,6 @@ def open_keyword_index(spark: SparkSession, path: str, sign: str, key: str = "ch
 def ensure(chunks: DataFrame, fields: list[str], path: str, sign: str, key: str = "chunk_id") -> KeywordIndex:
     """The index in path that is signed alike, else a new one beside those that are there."""
     spark = chunks.sparkSession
-    if index.stored_signature(spark, _folder(path, sign)) != sign:
+    if index.stored_signature(spark, index.state(path, sign)) != sign:
         build(chunks, fields, path, sign, key)
     return open_keyword_index(spark, path, sign, key)

@@ -8,7 +8,6 @@ whose bound reaches its k-th score, and of these only the blocks whose own bound
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -170,7 +169,7 @@ def build(passages: DataFrame, path: str, sign: str, key: str = "chunk_id", vec:
     Centres are fitted by Spark's k-means on a sample of about SAMPLE rows by hash of the key; every row is indexed. A cell of any size lies in many blocks and files.
     """
     spark = passages.sparkSession
-    root = _folder(path, sign)
+    root = index.state(path, sign)
     index.unsign(spark, root)
     grp = F.lit(None).cast("string") if group is None else group.cast("string")
     rows = passages.select(F.col(key).alias("key"), grp.alias("grp"), F.transform(vec, lambda x: x.cast("double")).alias("vec")).where("vec is not null and size(vec) > 0")
@@ -196,13 +195,9 @@ def build(passages: DataFrame, path: str, sign: str, key: str = "chunk_id", vec:
     index.sign(spark, root, sign)
 
 
-def _folder(path: str, sign: str) -> str:
-    return f"{path}/{uuid.uuid5(uuid.NAMESPACE_OID, sign).hex[:16]}"
-
-
 def ensure(passages: DataFrame, path: str, sign: str, key: str = "chunk_id", vec: str = "vec", group: Column | None = None) -> VectorIndex:
     """The index in path that is signed alike, else a new one beside those that are there."""
-    spark, root = passages.sparkSession, _folder(path, sign)
+    spark, root = passages.sparkSession, index.state(path, sign)
     if index.stored_signature(spark, root) != sign:
         build(passages, path, sign, key, vec, group)
     cells = "cell int, centre array<double>, n bigint, radius double"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import structure
+from evidentia.operators import index, structure
 
 
 def kind_of(line):
@@ -68,3 +68,23 @@ def test_pages_without_headings_and_null_texts(spark):
     got = sorted((r["source_file"], r["seq"], r["clause_id"], r["page"], [tuple(x) for x in r["lines"]]) for r in structure.segment(pages).collect())
     assert got == [("b", 0, "", 3, [(3, "only text")]), ("c", 0, "", 3, [(3, "2.2.2"), (3, "bare without ancestor")]), ("c", 1, "1.1", 700, [(700, "its text")])]
     assert structure.segment(pages.where(F.lit(False))).count() == 0
+
+
+def test_only_changed_files_are_cut(spark, tmp_path):
+    """A reader of the old state goes on while the new one is built; unchanged files keep their chunks; the result is that of a whole build."""
+    path, words = str(tmp_path / "ix"), "some words that fill a clause, " * 30
+    page = lambda f, n, t: (f, n, f"{n}.1 Heading\n{t}\n{words}")
+    first = [page("a.md", 1, "one"), page("a.md", 2, "two"), page("b.md", 1, "three"), page("c.md", 1, "four")]
+    second = [page("a.md", 1, "one"), page("a.md", 2, "two"), page("b.md", 1, "changed"), page("d.md", 1, "new")]
+    frame = lambda rows: spark.createDataFrame(rows, "source_file string, page int, text string")
+    assert index.build_changed(frame(first), path, "monday", window=64) == {"made": 3, "kept": 0, "gone": 0}
+    reader = index.open_index(spark, path, "monday")
+    assert index.build_changed(frame(second), path, "tuesday", last="monday", window=64) == {"made": 2, "kept": 1, "gone": 1}
+    rows = lambda df: sorted(map(tuple, df.select("chunk_id", "page_content", "doc_family").collect()))
+    index.build_changed(frame(second), path, "whole", window=64)
+    assert rows(index.open_index(spark, path, "tuesday")) == rows(index.open_index(spark, path, "whole"))
+    assert {r[0][:4] for r in rows(reader)} == {"a.md", "b.md", "c.md"}
+    # pages in another order are the same file; a state that isn't there is none
+    assert index.build_changed(frame(second[::-1]), path, "again", last="tuesday", window=64) == {"made": 0, "kept": 3, "gone": 0}
+    assert index.build_changed(frame(second), path, "fresh", last="nowhere", window=64)["made"] == 3
+    assert index.drop_others(spark, path, "tuesday") == 4 and not index.is_valid(spark, path, "monday") and index.is_valid(spark, path, "tuesday")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import keyword_index, lexical
+from evidentia.operators import index, keyword_index, lexical
 
 WORDS = [f"w{i}" for i in range(60)]
 
@@ -107,7 +107,7 @@ def test_a_new_state_is_built_beside_readers(spark, tmp_path):
     new = keyword_index.ensure(corpus(spark, 80, 2), ["page_content"], path, "tuesday")
     assert new.path != old.path and new.docs.count() == 80
     assert order(reader.collect()) == order(keyword_index.open_keyword_index(spark, path, "monday").top_k(q, 5).collect())
-    assert keyword_index.drop_others(spark, path, "tuesday") == 1
+    assert index.drop_others(spark, path, "tuesday") == 1
     with pytest.raises(FileNotFoundError):
         keyword_index.open_keyword_index(spark, path, "monday")
     assert keyword_index.open_keyword_index(spark, path, "tuesday").docs.count() == 80
