@@ -79,6 +79,30 @@ def verify_claims(spark, d):
     return big(_verified(spark, d)[0].select("query_id", "pos", "accepted", "reason"), "pos")
 
 
+# Claims that cite a clause inside an excerpt whose own number is another: of two excerpts of a page the better one that holds the number counts.
+INNER = f"""WITH {SPEC}, ex AS (SELECT page AS query_id, r.rank, source_file, page, '9.9' AS clause_id, CASE WHEN r.rank = 1 AND page % 2 = 0 THEN 'only 8.8 stands here' ELSE text END AS e FROM spec, (VALUES (1), (2)) AS r(rank)),
+claims AS (SELECT page AS query_id, c.pos, CASE c.pos WHEN 0 THEN (1 + page % 3) || '.' || (1 + page % 4) WHEN 1 THEN '7.7.7' WHEN 2 THEN '9.9' ELSE '8.8' END AS clause, CASE WHEN c.pos < 2 THEN 'Coating  requirements ' || page ELSE 'only 8.8 stands' END AS q FROM spec, (VALUES (0), (1), (2), (3)) AS c(pos)),
+cw AS (SELECT *, {_words('q')} FROM claims),
+p AS (SELECT cw.query_id, pos, rank, clause = clause_id AS own, {NUMBER.format('e', 'clause')} AS within, {QUOTED.format(q='q', e='e')} AS ok FROM cw JOIN ex USING (query_id)),
+v AS (SELECT query_id, pos, bool_or(own) AS has, bool_or(ok) FILTER (own) AS own_ok, arg_min(ok, rank) FILTER (NOT own) AS in_ok FROM p WHERE own OR within GROUP BY 1, 2)
+SELECT c.query_id, CAST(c.pos AS BIGINT) AS pos, v.has IS NOT NULL AND CASE WHEN has THEN own_ok ELSE in_ok END AS accepted, CASE WHEN v.has IS NULL THEN 'citation is not one of the retrieved excerpts' WHEN NOT CASE WHEN has THEN own_ok ELSE in_ok END THEN 'quote does not appear in the cited excerpt' END AS reason
+ FROM claims c LEFT JOIN v ON v.query_id = c.query_id AND v.pos = c.pos"""
+
+
+@query(INNER)
+def verify_inner_clauses(spark, d):
+    p = F.col("page")
+    spec = spec_pages(spark, d)
+    short = F.when((F.col("rank") == 1) & (p % 2 == 0), "only 8.8 stands here").otherwise(F.col("text"))
+    excerpts = spec.select(p.alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("rank"), "source_file", "page", "text").select("query_id", "rank", "source_file", "page", F.lit("9.9").alias("clause_id"), short.alias("page_content"))
+    cited = F.concat((1 + p % 3).cast("string"), F.lit("."), (1 + p % 4).cast("string"))
+    quote = F.concat(F.lit("Coating  requirements "), p.cast("string"))
+    one = lambda pos, clause, q: F.struct(F.lit(pos).cast("bigint").alias("pos"), clause.alias("clause_id"), q.alias("quote"))
+    made = F.inline(F.array(one(0, cited, quote), one(1, F.lit("7.7.7"), quote), one(2, F.lit("9.9"), F.lit("only 8.8 stands")), one(3, F.lit("8.8"), F.lit("only 8.8 stands"))))
+    claims = spec.select(p.alias("query_id"), "source_file", "page", made)
+    return evidence.verify(claims, excerpts).select("query_id", "pos", "accepted", "reason")
+
+
 @query(f"{CLAIMS} SELECT reason, count(*) AS n FROM verdicts WHERE NOT accepted GROUP BY 1")
 def rejected_reasons(spark, d):
     return _verified(spark, d)[0].where("not accepted").groupBy("reason").agg(F.count("*").alias("n"))

@@ -67,6 +67,22 @@ def title_bm25(spark, d):
     return big(keyword_index(spark, d).top_k(questions(spark, d), 10, field="title_text").withColumn("score", F.round("score", 6)), "rank")
 
 
+def _length_encoder():
+    """A stand-in for an embedding model that SQL can follow: a token's vector has a one at its length modulo eight."""
+    import numpy as np
+
+    return lambda texts: [np.eye(8)[[len(w) % 8 for w in t.split()]] for t in texts]
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all('passage: ' || text, '\S+')) AS w FROM documents), c AS (SELECT doc_id, length(w) % 8 AS dim, count(*) AS n FROM w GROUP BY 1, 2),
+s AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1) SELECT doc_id, dim, round(CAST(n / norm AS FLOAT)::DOUBLE, 4) AS value FROM c JOIN s USING (doc_id)""")
+def embed_documents(spark, d):
+    """The embedding step: each distinct text through the model once, with its prompt, pooled to a unit vector. Zeros are left out."""
+    prompts = {"m": {"passage": "passage: ", "query": "query: "}}
+    made = models.embed_distinct(table(spark, d, "documents").select("doc_id", "text"), "text", models.embedder(_length_encoder, name="lengths"), model="m", role="passage", prompts=prompts)
+    return big(made.select("doc_id", F.posexplode("vec").alias("dim", "value")).where("value <> 0").withColumn("value", F.round(F.col("value").cast("double"), 4)), "dim")
+
+
 VEC = "v AS (SELECT vec_id AS chunk_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
 NEAR = "near AS (SELECT q.chunk_id AS query_id, p.chunk_id, list_dot_product(p.vec, q.vec) AS score FROM v p, v q WHERE q.chunk_id % 50 = 0 {0})"
 

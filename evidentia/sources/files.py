@@ -35,8 +35,7 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     if found.isEmpty():
         raise FileNotFoundError(f"no supported file in {folder}")
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    return found.select(F.try_reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), F.replace(name, F.lit("+"), F.lit("%2B")), F.lit("UTF-8")).alias("source_file"), "content")
+    return found.select(F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("source_file"), "content")
 
 
 def load_pages(spark: SparkSession, folder: str, pdf: Callable[[bytes], list[tuple[int, str]]] | None = None, least: int = structure.MIN_PAGE_CHARS) -> DataFrame:
