@@ -1,23 +1,48 @@
-"""Commands: `python -m evidentia.cli evaluate --docs FOLDER --golden FILE [--json FILE]`."""
+"""Commands: `python -m evidentia.cli evaluate --docs FOLDER --golden FILE [--encoder MODULE:FACTORY [--scorer MODULE:FACTORY]] [--json FILE]`.
+
+Without an encoder the keyword ranking is judged; with one the whole search: route, three lists, fusion and, with a scorer, rerank.
+"""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import evaluate, lexical, packing
+from .operators import evaluate, fusion, lexical, models, packing
+from .operators.index import written
 from .sources import files
 
 
-def evaluated(spark: SparkSession, docs: str, golden: str, k: int = 12) -> tuple[DataFrame, DataFrame]:
-    """(one row per question, one row of rates) of keyword retrieval over a folder of documents."""
-    chunks = packing.build_chunks(files.load_pages(spark, docs))
+def factory(name: str):
+    """What MODULE:FACTORY names: a function without arguments that makes the model, once in each worker process."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def _searched(chunks: DataFrame, asked: DataFrame, k: int, encoder: str, scorer: str | None) -> DataFrame:
+    """(query_id, chunk_id, rank) of the whole search with the caller's models; without a scorer the fused order stays."""
+    embed = models.embedder(factory(encoder), name=encoder)
+    vecs = written(models.embed_distinct(chunks.select("chunk_id", "page_content"), "page_content", embed, model=encoder, role="passage").select("chunk_id", "vec"), "vectors")
+    query_vecs = written(models.embed_distinct(asked, "question", embed, model=encoder, role="query").select("query_id", "vec"), "query-vectors")
+    if scorer is None:
+        fused = fusion.hybrid_search(chunks, asked, vecs, query_vecs)
+        return fused.where(F.col("rank") <= k).select("query_id", "chunk_id", "rank")
+    score = models.pair_scorer(factory(scorer), name=scorer)
+    pairs = lambda fused: fused.join(asked, "query_id").join(chunks.select("chunk_id", "page_content"), "chunk_id").select("query_id", "chunk_id", score(F.col("question"), F.col("page_content")).alias("score"))
+    return fusion.search(chunks, asked, vecs, query_vecs, pairs, limit=k)
+
+
+def evaluated(spark: SparkSession, docs: str, golden: str, k: int = 12, encoder: str | None = None, scorer: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one row per question, one row of rates) of retrieval over a folder of documents."""
+    chunks = written(packing.build_chunks(files.load_pages(spark, docs)), "chunks")
     gold = files.golden(spark, golden)
-    ranked = lexical.bm25_top_k(chunks, gold.select(F.col("id").alias("query_id"), "question"), k)
+    asked = gold.select(F.col("id").alias("query_id"), "question")
+    ranked = lexical.bm25_top_k(chunks, asked, k) if encoder is None else _searched(chunks, asked, k, encoder, scorer)
     got = ranked.join(chunks.select("chunk_id", "source_file", "page"), "chunk_id").select(F.col("query_id").alias("id"), "rank", F.col("source_file").alias("file"), "page")
     judged = evaluate.judge(got, gold)
     seen = got.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file", "page"))), lambda r: F.struct(r["file"].alias("file"), r["page"].alias("page"))).alias("retrieved"))
@@ -47,13 +72,15 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     command.add_argument("--docs", required=True, help="folder of .md, .txt and .pdf files")
     command.add_argument("--golden", required=True, help="YAML file of questions")
     command.add_argument("--top", type=int, default=12, help="excerpts per question")
+    command.add_argument("--encoder", help="module:factory of a text encoder, for the whole search")
+    command.add_argument("--scorer", help="module:factory of a cross-encoder")
     command.add_argument("--json", help="file for the rows per question")
     given = parser.parse_args(args)
     if spark is None:
         from .session import local_session
 
         spark = local_session(4, memory="2g")
-    rows, rates = evaluated(spark, given.docs, given.golden, given.top)
+    rows, rates = evaluated(spark, given.docs, given.golden, given.top, given.encoder, given.scorer)
     made = [r.asDict(recursive=True) for r in rows.orderBy("id").collect()]  # a golden set is a short list by nature
     print(show(made, rates.first().asDict()))
     if given.json:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import lexical, vectors
+from .index import written
 
 if TYPE_CHECKING:
     from .keyword_index import KeywordIndex
@@ -174,9 +175,10 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_
     else:
         of_family = query_vecs.join(families, "query_id").join(chunks.select(key, F.col("doc_family").alias("family")).join(vecs, key).select("family", key, F.col("vec").alias("p")), "family")
         near = vectors.rank_scored(of_family.select("query_id", key, vectors.dot(F.col("p"), F.col("vec")).alias("score")), k, key)
+    broad, near = written(broad, "broad"), written(near, "near")  # each is read twice: few rows a question
     plain = broad.join(families, "query_id", "left_anti")
     kept = restrict(near.unionByName(plain), chunks, rules, key).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    near = widen(kept, broad, least)
+    near = widen(written(kept, "kept"), broad, least)
     return rrf(union_rankings(near, keyword_list("page_content", rules), keyword_list("title_text", rules), key=key), key)
 
 
@@ -187,7 +189,8 @@ def search(chunks: DataFrame, queries: DataFrame, vecs: DataFrame, query_vecs: D
     FINAL_TOP_K stay; vectors without a chunk are no candidates; late interaction scores the first LATE_POOL, the others stay behind them, DEEP_TOP_K in all.  A `limit` of none or zero is that default.
     """
     fused = hybrid_search(chunks, queries, vecs, query_vecs, key=key, **how).join(chunks.select(key), key, "left_semi")
-    fused = fused.select("query_id", key, F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank"))
+    # ranked once; the reranker reads it as well
+    fused = written(fused.select("query_id", key, F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("rank")), "fused")
     if strategy == "cross-encoder":
         return rerank_head(fused, rerank(fused), pool=3 * lexical.CANDIDATES, limit=limit or FINAL_TOP_K, key=key)
     return rerank_head(fused, rerank(fused.where(F.col("rank") <= LATE_POOL)), pool=LATE_POOL, limit=limit or DEEP_TOP_K, key=key)

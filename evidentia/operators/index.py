@@ -37,6 +37,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read more than once: it is made once, also when an executor is lost."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def state(path: str, signed: str) -> str:
     """The folder of one state of an index."""
     return f"{path}/{uuid.uuid5(uuid.NAMESPACE_OID, signed).hex[:16]}"

@@ -39,8 +39,14 @@ def taken(spark: SparkSession, out: str) -> DataFrame:
 
 
 def current(spark: SparkSession, out: str) -> DataFrame:
-    """The chunks as they stand: those of each document's latest ingest."""
-    return spark.read.schema(CHUNKS).parquet(f"{out}/chunks").join(taken(spark, out).select("doc_id", "ingest"), ["doc_id", "ingest"], "left_semi")
+    """The chunks as they stand: those of complete ingests, without what a later ingest of the same document has replaced.
+
+    An ingest that crashed before OUT/taken named it isn't there yet. Few numbers of ingests and the replaced ids meet the chunks; nothing else does.
+    """
+    rows = spark.read.schema(TAKEN).parquet(f"{out}/taken").select("doc_id", "ingest")
+    replaced = rows.join(taken(spark, out).select("doc_id", F.col("ingest").alias("latest")), "doc_id").where("ingest < latest").select("doc_id", "ingest")
+    complete = spark.read.schema(CHUNKS).parquet(f"{out}/chunks").join(rows.select("ingest").distinct(), "ingest", "left_semi")
+    return complete.join(replaced, ["doc_id", "ingest"], "left_anti")
 
 
 def changed(batch: DataFrame, known: DataFrame) -> DataFrame:

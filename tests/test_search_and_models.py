@@ -278,6 +278,22 @@ def test_evaluation_command(spark, tmp_path, capsys):
     assert [(r["id"], r["doc_hit"], r["page_hit"]) for r in rows] == [("q1", True, True), ("q2", True, True), ("q3", False, False)] and rows[0]["retrieved"][0] == {"file": "a.md", "page": 1}
 
 
+def test_evaluation_of_the_whole_search(spark, tmp_path, capsys):
+    """With an encoder all three lists count, and a scorer has the last word."""
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("4.1 Storage of parts\nParts are stored in dry rooms with closed doors and shelves.\n<!-- page -->\n4.2 Labels of shelves\nEach shelf has a label that names its contents and the owner.")
+    (tmp_path / "docs" / "b.md").write_text("5.1 Transport by road\nLorries wait at the gate until the guard opens it for them.")
+    golden = tmp_path / "g.yaml"
+    golden.write_text("questions:\n  - {id: q1, lang: en, question: parts are stored in dry rooms, expected_file: a.md, expected_pages: [1]}\n  - {id: q2, lang: en, question: zebra, expected_file: b.md}\n")
+    out = tmp_path / "rows.json"
+    for more in ([], ["--scorer", "tests.stand_ins:scorer"]):
+        cli.main(["evaluate", "--docs", str(tmp_path / "docs"), "--golden", str(golden), "--encoder", "tests.stand_ins:encoder", *more, "--json", str(out)], spark)
+        rows = {r["id"]: r for r in json.loads(out.read_text())}
+        assert "questions              2" in capsys.readouterr().out
+        assert rows["q1"]["page_hit"] and len(rows["q1"]["retrieved"]) == 3 and len(rows["q2"]["retrieved"]) == 3  # vectors rank what shares no word
+        assert not more or rows["q1"]["retrieved"][0] == {"file": "a.md", "page": 1}
+
+
 def test_report_and_container(spark, tmp_path):
     from evidentia.sources import files
 
