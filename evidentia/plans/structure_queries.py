@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import packing, structure
+from ..operators import layout, packing, structure
 from ..operators.index import scratch_path
+from ..sources import documents
 from .base import LINES, PAGES, SPEC, STRIP, big, pages, query, spec_pages, table
 
 SPLIT = r"""files AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || ' <!-- Page --> ' || chr(10)) AS text FROM documents),
@@ -28,6 +29,31 @@ def short_page_filter(spark, d):
     return structure.drop_short_pages(_split(spark, d)).select("source_file", "page")
 
 
+def _written_files(batches):
+    """Writes (path, text) rows as files, and gives back how many."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            system, at = fs.FileSystem.from_uri(path)
+            system.create_dir(at.rpartition("/")[0])
+            with system.open_output_stream(at) as f:
+                f.write((text or "").encode())
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+
+@query(f"WITH {SPLIT} SELECT 'doc_' || source_file || '.md' AS source_file, page, md5(text) AS text_md5 FROM cut WHERE length({STRIP.format('text')}) >= 20")
+def source_pages(spark, d):
+    """Documents as files of a folder, read back by the data source and cut at their page marks."""
+    folder = scratch_path(spark, "folder")
+    folder = folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    marked = F.replace("text", F.lit(". "), F.lit(".\n <!-- Page --> \n"))
+    made = layout.spread(table(spark, d, "documents")).select(F.concat(F.lit(f"{folder}/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), marked.alias("text"))
+    made.mapInArrow(_written_files, "n bigint").agg(F.sum("n")).first()
+    return big(documents.load_pages(spark, folder), "page").select("source_file", "page", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
+
+
 @query(f"WITH {SPLIT} SELECT source_file, count(*) AS pages, max(page) AS last_page FROM cut GROUP BY 1")
 def page_numbering(spark, d):
     return _split(spark, d).groupBy("source_file").agg(F.count("*").alias("pages"), F.max("page").alias("last_page"))

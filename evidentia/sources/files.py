@@ -45,7 +45,7 @@ def load_pages(spark: SparkSession, folder: str, pdf: Callable[[bytes], list[tup
     """
     files = scan(spark, folder)
     is_pdf = F.endswith(F.lower("source_file"), F.lit(".pdf"))
-    plain = structure.split_pages(files.where(~is_pdf).select("source_file", F.decode("content", "UTF-8").alias("text")))
+    plain = structure.split_pages(files.where(~is_pdf).select("source_file", F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf_rows in batches:
