@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _bytes as B
+from ._scratch import Scratch
 
 #: Bits of a term's hash.
 BITS = 20
@@ -163,7 +164,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = LABELLED, **how) -> Machine:
-    """Fits on at most `most` labelled rows (picked by hash of the id), texts whole. Rows with a null id or label are passed over; of rows that share an id the one with the least hash of its terms counts; an id labelled both ways counts as it does for most rows."""
+    """Fits on at most `most` labelled rows (picked by hash of the id), texts whole. Rows with a null id or label are passed over; of rows that share an id the one with the least hash of its terms counts, so `most` rows come to the driver at most; an id labelled both ways counts as it does for most rows."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label"))
     n = known.count()
     if n > most:
@@ -172,7 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         known = known.where(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)) < share).orderBy(F.pmod(F.xxhash64(id_col, F.lit(13)), F.lit(1 << 30)), id_col).limit(most)
     texts = docs.where(F.col(id_col).isNotNull()).select(id_col, F.col(text_col).alias("text"))
     hashed = texts.join(F.broadcast(known), id_col).select("text", "label", F.col(id_col).cast("string").alias("id")).mapInArrow(B.tidy(_hashed), "id string, terms binary, label int")
-    got = hashed.groupBy("id").agg(F.min_by("terms", F.struct(F.xxhash64("terms"), "terms")).alias("terms"), F.first("label").alias("label")).select("terms", "label").toArrow()
+    hashed = Scratch(docs.sparkSession, "toxicity").table("terms", hashed.withColumns({"hash": F.xxhash64("terms"), "place": F.monotonically_increasing_id()}))
+    # one row an id; what is grouped and sent is a number an id
+    one = hashed.groupBy("id").agg(F.min(F.struct("hash", "place")).alias("m")).select(F.col("m.place").alias("place"))
+    got = hashed.join(F.broadcast(one), "place", "left_semi").select("terms", "label").toArrow()
     packed, labels_ = got.column("terms").to_pylist(), got.column("label").to_numpy()
     del got
     order = sorted(range(len(packed)), key=packed.__getitem__)
