@@ -28,8 +28,9 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def _is_file(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
+    """Does the path name one file, not a folder? By Spark's own listing, which opens none."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").first()
+    return found is not None and found["path"].rpartition("/")[2] == path.rstrip("/").rpartition("/")[2]
 
 
 def _run(df: DataFrame, out: str) -> DataFrame:
