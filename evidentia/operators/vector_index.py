@@ -32,22 +32,6 @@ FIRST = 2
 BLOCKS = "n int, high double, rows binary, cell int"
 
 
-def _pack(rows: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as out:
-        out.write_batch(rows)
-    return sink.getvalue().to_pybytes()
-
-
-def _open(packed: pa.Scalar) -> pa.RecordBatch:
-    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Lists of one length as rows of doubles."""
-    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, grp, vec, dist, cell) in order of (cell, dist) as blocks of one cell."""
     for batch in batches:
@@ -56,7 +40,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in zip(edges[:-1], edges[1:], strict=True):
             for a in range(i, j, BLOCK):
                 rows = batch.slice(a, min(BLOCK, j - a))
-                yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int32()), pa.array([rows.column("dist")[-1].as_py()]), pa.array([_pack(rows.select(["key", "grp", "vec"]))], pa.binary()), pa.array([cell[i]], pa.int32())], names=["n", "high", "rows", "cell"])
+                yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows], pa.int32()), pa.array([rows.column("dist")[-1].as_py()]), pa.array([vectors.pack(rows.select(["key", "grp", "vec"]))], pa.binary()), pa.array([cell[i]], pa.int32())], names=["n", "high", "rows", "cell"])
 
 
 @dataclass(frozen=True)
@@ -78,7 +62,7 @@ class VectorIndex:
         known = self.cells.orderBy("cell").toArrow()
         if not len(known):
             return spark.createDataFrame([], T.StructType([queries.schema["query_id"], T.StructField(self.key, self.key_type), T.StructField("score", T.DoubleType())])), queries.select("query_id", F.lit(0).alias("cell")).limit(0)
-        cells = {"cell": known.column("cell").to_numpy(), "radius": known.column("radius").to_numpy(), "centre": _matrix(known.column("centre").combine_chunks())}
+        cells = {"cell": known.column("cell").to_numpy(), "radius": known.column("radius").to_numpy(), "centre": vectors.matrix(known.column("centre").combine_chunks())}
         grp = F.col("grp").cast("string") if "grp" in queries.columns else F.lit(None).cast("string")
         asked = queries.where("vec is not null").select("query_id", F.transform("vec", lambda x: x.cast("double")).alias("vec"), grp.alias("grp"))
         # the cells read first are written down, so that both turns see the same ones
@@ -110,7 +94,7 @@ def _nearest(cells: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                near = np.argsort(-(_matrix(part.column("vec")) @ cells["centre"].T), axis=1, kind="stable")[:, :FIRST]
+                near = np.argsort(-(vectors.matrix(part.column("vec")) @ cells["centre"].T), axis=1, kind="stable")[:, :FIRST]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*part.schema.names, "first"])
 
     return run
@@ -123,14 +107,14 @@ def _choose(cells: dict[str, np.ndarray], first: bool, slack: float) -> Callable
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                q = _matrix(part.column("vec"))
+                q = vectors.matrix(part.column("vec"))
                 now = np.zeros((len(q), len(cells["cell"])), bool)
-                np.put_along_axis(now, _matrix(part.column("first")).astype(np.int64), True, axis=1)
+                np.put_along_axis(now, vectors.matrix(part.column("first")).astype(np.int64), True, axis=1)
                 if not first:
                     reach = q @ cells["centre"].T + np.sqrt((q * q).sum(1))[:, None] * cells["radius"]
                     now = ~now & (reach >= part.column("floor").to_numpy()[:, None] - slack)
                 for c in np.flatnonzero(now.any(0)).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([cells["cell"][c]], pa.int32()), pa.array([_pack(part.take(pa.array(np.flatnonzero(now[:, c]))))], pa.binary())], names=["cell", "asked"])
+                    yield pa.RecordBatch.from_arrays([pa.array([cells["cell"][c]], pa.int32()), pa.array([vectors.pack(part.take(pa.array(np.flatnonzero(now[:, c]))))], pa.binary())], names=["cell", "asked"])
 
     return run
 
@@ -142,14 +126,14 @@ def _scan(cells: dict[str, np.ndarray], k: int, slack: float, key: str, id_type:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                asked = _open(batch.column("asked")[i])
-                q, floor = _matrix(asked.column("vec")), asked.column("floor").to_numpy()
+                asked = vectors.unpack(batch.column("asked")[i])
+                q, floor = vectors.matrix(asked.column("vec")), asked.column("floor").to_numpy()
                 centre = cells["centre"][place[batch.column("cell")[i].as_py()]]
                 reached = np.flatnonzero(q @ centre + np.sqrt((q * q).sum(1)) * batch.column("high")[i].as_py() >= floor - slack)
                 if not len(reached):
                     continue
-                rows = _open(batch.column("rows")[i])
-                scores = q[reached] @ _matrix(rows.column("vec")).T
+                rows = vectors.unpack(batch.column("rows")[i])
+                scores = q[reached] @ vectors.matrix(rows.column("vec")).T
                 of, groups = asked.column("grp").take(pa.array(reached)), rows.column("grp").dictionary_encode()
                 mine = pc.fill_null(pc.index_in(of, value_set=groups.dictionary), -1).to_numpy()
                 ok = (of.is_null().to_numpy(zero_copy_only=False)[:, None] | (mine[:, None] == pc.fill_null(groups.indices, -2).to_numpy()[None, :])) & (scores >= floor[reached][:, None] - slack)

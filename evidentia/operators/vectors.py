@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .layout import spread
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,26 +36,85 @@ def mean_pool(tokens: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame
     return pooled.select(*keys, l2_normalise(F.col("mean")).alias("vec"))
 
 
-#: Queries that go to the passages at one time.
-QUERY_BLOCK = 20_000
+#: Queries that go to the passages at one time; passages and queries of one product of matrices.
+QUERY_BLOCK, ROWS, SLICE = 20_000, 1024, 512
+
+
+def pack(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(packed: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as rows of doubles."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _packs(rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_arrays([pa.array([pack(batch.slice(i, rows))], pa.binary())], names=["rows"])
+
+    return run
+
+
+def _products(k: int, slack: float, key: str, id_type: pa.DataType, key_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows (block of passages, block of queries): what can be among each query's first k of the task, by the k best scores that it has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                rows, asked = unpack(batch.column(0)[r]), unpack(batch.column(1)[r])
+                scores = matrix(asked.column(1)) @ matrix(rows.column(1)).T
+                name = tuple(asked.column(0).to_pylist())
+                seen = np.concatenate([best[name], scores], axis=1) if name in best else scores
+                best[name] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:] if seen.shape[1] > k else seen
+                floor = best[name].min(1) - slack if best[name].shape[1] == k else np.full(len(scores), -math.inf)
+                a, b = np.nonzero(scores >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([asked.column(0).take(pa.array(a)).cast(id_type), rows.column(0).take(pa.array(b)).cast(key_type), pa.array(scores[a, b])], names=["query_id", key, "score"])
+
+    return run
 
 
 def vector_top_k(passages: DataFrame, queries: DataFrame, k: int = 50, key: str = "chunk_id", vec: str = "vec", allowed: DataFrame | None = None, digits: int = 9) -> DataFrame:
     """(query_id, key, rank, score): every passage against every query of the batch, by dot product.
 
-    Queries (query_id, vec) are a stated set, which goes to all passages in blocks of QUERY_BLOCK; a partial
-    top k per task keeps the shuffle at k rows a query and task.  With `allowed` (query_id, key) only its
-    pairs are made, by joins on their keys.
+    Queries (query_id, vec) are a stated set, which goes to all passages in blocks of QUERY_BLOCK; passages and queries meet as matrices, and a
+    task gives back what its own k-th scores leave, so pairs are no rows.  Null vectors score null, behind all others.  Vectors of another length than most and
+    those that hold nulls or no finite numbers are scored pair by pair.  With `allowed` (query_id, key) only its pairs are made, by joins on their keys.
     """
     p, q = passages.select(key, F.col(vec).alias("p")), queries.select("query_id", F.col("vec").alias("q"))
+    by_pair = lambda pairs: pairs.select("query_id", key, dot(F.col("p"), F.col("q")).alias("score"))
     if allowed is not None:
-        pairs = allowed.select("query_id", key).distinct().join(p, key).join(q, "query_id")
-    else:
-        blocks = -(-max(queries.count(), 1) // QUERY_BLOCK)
-        part = lambda b: q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = reduce(DataFrame.unionByName, [p.crossJoin(F.broadcast(part(b))) for b in range(blocks)])
-    scored = pairs.select("query_id", key, dot(F.col("p"), F.col("q")).alias("score"))
-    return rank_scored(scored, k, key, digits)
+        return rank_scored(by_pair(allowed.select("query_id", key).distinct().join(p, key).join(q, "query_id")), k, key, digits)
+    n, width = q.agg(F.count("*"), F.coalesce(F.mode(F.size("q")), F.lit(-1))).first()
+    blocks = -(-max(n, 1) // QUERY_BLOCK)
+    part = lambda rows, b: rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    plain = lambda c: F.coalesce((F.size(c) == width) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < math.inf)), F.lit(False))
+    packed = lambda rows, c, size: rows.where(plain(c)).select(rows.columns[0], F.transform(c, lambda x: x.cast("double")).alias("v")).mapInArrow(_packs(size), "rows binary")
+    ids, keys = queries.schema["query_id"], passages.schema[key]
+    run = _products(k, 10.0**-digits, key, to_arrow_type(ids.dataType), to_arrow_type(keys.dataType))
+    schema = T.StructType([T.StructField("query_id", ids.dataType), T.StructField(key, keys.dataType), T.StructField("score", T.DoubleType())])
+    rows = packed(spread(p), "p", ROWS).withColumnRenamed("rows", "p")
+    odd = p.where(~plain("p") & F.col("p").isNotNull())
+    none = p.where("p is null").orderBy(key).limit(k)  # of what scores null, the first k keys can count
+    made = []
+    for b in range(blocks):
+        asked = packed(part(q, b).coalesce(1), "q", SLICE).withColumnRenamed("rows", "q")
+        made.append(rows.crossJoin(F.broadcast(asked)).mapInArrow(run, schema))
+        made.append(by_pair(odd.unionByName(none).crossJoin(F.broadcast(part(q, b)))))
+    other = q.where(~plain("q") & F.col("q").isNotNull())
+    made.append(by_pair(p.where(plain("p")).crossJoin(F.broadcast(other))))
+    made.append(by_pair(p.where(plain("p")).orderBy(key).limit(k).crossJoin(F.broadcast(q.where("q is null")))))
+    return rank_scored(reduce(DataFrame.unionByName, made), k, key, digits)
 
 
 def rank_scored(scored: DataFrame, k: int, key: str = "chunk_id", digits: int = 9) -> DataFrame:

@@ -30,3 +30,21 @@ def test_excerpts_are_written_as_the_sql_writes_them(spark, tmp_path):
     tables(spark, tmp_path, documents=(DOCS, docs), benchmark=(BENCH, [(1, "pump seal"), (2, "valve"), (3, "flange"), (4, "nothing")]))
     got, want = against_sql(spark, tmp_path, "format_excerpts")
     assert got == want and len(got) == 3
+
+
+def test_vectors_meet_as_matrices(spark, tmp_path):
+    import numpy as np
+
+    from evidentia.operators import vectors
+
+    rng = np.random.default_rng(5)
+    v = [(i, (rng.normal(size=4) * (i % 7 > 0)).tolist()) for i in range(3000)] + [(i, None) for i in range(3000, 3040)]
+    v[17], v[18], v[19], v[20] = (17, [float("nan"), 1.0, 0.0, 0.0]), (18, [None, 1.0, 0.0, 0.0]), (19, [9.0]), (20, [float("inf"), 1.0, 1.0, 1.0])
+    q = [(i, rng.normal(size=4).tolist()) for i in range(700)] + [(700, None), (701, [2.0]), (702, [0.0] * 4)]
+    p, asked = spark.createDataFrame(v, "chunk_id bigint, vec array<double>"), spark.createDataFrame(q, "query_id bigint, vec array<double>")
+    made = vectors.vector_top_k(p, asked, 5)
+    assert "CartesianProduct" not in made._jdf.queryExecution().toString() and "MapInArrow" in made._jdf.queryExecution().toString()
+    pairs = asked.withColumnRenamed("vec", "q").crossJoin(p).select("query_id", "chunk_id", vectors.dot(p["vec"], "q").alias("score"))
+    rounded = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], repr(r["score"] if r["score"] is None else round(r["score"], 8))) for r in df.collect())
+    got = rounded(made)
+    assert got == rounded(vectors.rank_scored(pairs, 5)) and len(got) == 703 * 5
