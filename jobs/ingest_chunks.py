@@ -45,7 +45,8 @@ def current(spark: SparkSession, out: str) -> DataFrame:
     """
     rows = spark.read.schema(TAKEN).parquet(f"{out}/taken").select("doc_id", "ingest")
     replaced = rows.join(taken(spark, out).select("doc_id", F.col("ingest").alias("latest")), "doc_id").where("ingest < latest").select("doc_id", "ingest")
-    complete = spark.read.schema(CHUNKS).parquet(f"{out}/chunks").join(rows.select("ingest").distinct(), "ingest", "left_semi")
+    # a shuffle by ingest would send a whole ingest to one task
+    complete = spark.read.schema(CHUNKS).parquet(f"{out}/chunks").join(F.broadcast(rows.select("ingest").distinct()), "ingest", "left_semi")
     return complete.join(replaced, ["doc_id", "ingest"], "left_anti")
 
 

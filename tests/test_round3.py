@@ -48,3 +48,21 @@ def test_vectors_meet_as_matrices(spark, tmp_path):
     rounded = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], repr(r["score"] if r["score"] is None else round(r["score"], 8))) for r in df.collect())
     got = rounded(made)
     assert got == rounded(vectors.rank_scored(pairs, 5)) and len(got) == 703 * 5
+
+
+def test_no_task_reads_a_whole_ingest(spark, tmp_path):
+    from jobs import ingest_chunks
+
+    docs = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"text number {i}", "en") for i in range(40)], "doc_id bigint, text string, lang string").write.parquet(docs)
+    ingest_chunks.run(spark, docs, str(tmp_path / "out"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # tables larger than that, as large ones are
+    try:
+        made = ingest_chunks.current(spark, str(tmp_path / "out"))
+        exchanges = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(ingest" in line and "ENSURE" in line]
+        sides = [line for line in exchanges if "doc_id" not in line]
+        # the one left counts the numbers themselves
+        assert len(sides) <= 1 and made.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
