@@ -66,3 +66,57 @@ def test_no_task_reads_a_whole_ingest(spark, tmp_path):
         assert len(sides) <= 1 and made.count() == 40
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def shuffled(spark) -> int:
+    """Bytes that this session's tasks have written for shuffles."""
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def long_texts(words, docs=600, seed=3):
+    """Long texts of few different words, whose postings are small."""
+    import random
+
+    rng = random.Random(seed)
+    return [(i, " ".join(rng.choice(words) for _ in range(4000)), "en", f"src{i % 3}") for i in range(docs)]
+
+
+def test_the_keyword_index_shuffles_no_tokens(spark, tmp_path):
+    from evidentia.operators import keyword_index, lexical
+
+    words = [f"term{i}" for i in range(12)]
+    rows = [(i, t) for i, t, _, _ in long_texts(words)]
+    q = spark.createDataFrame([(1, "term1 term5"), (2, "rare term2"), (3, "twin")], "query_id bigint, question string")
+    chunks = spark.createDataFrame(rows + [(600, "rare words"), (601, None)], "chunk_id bigint, page_content string")
+    chunks.write.parquet(str(tmp_path / "c"))
+    chunks, before = spark.read.parquet(str(tmp_path / "c")).repartition(6).localCheckpoint(), shuffled(spark)
+    before = shuffled(spark)
+    made = keyword_index.ensure(chunks, ["page_content"], str(tmp_path / "k"), "once")
+    assert shuffled(spark) - before < 600_000  # the tokens are 2,400,000
+    same = lambda df: [(r["query_id"], r["chunk_id"], r["rank"], round(r["score"], 8)) for r in df.orderBy("query_id", "rank").collect()]
+    assert same(made.top_k(q, 20)) == same(lexical.bm25_top_k(chunks, q, 20))
+    # rows that share a key, null keys among them, are one document wherever they stand
+    twins = spark.createDataFrame([(7, "twin one"), (None, "twin null"), (7, "two three"), (8, "four"), (None, "five twin")], "chunk_id bigint, page_content string").repartition(4)
+    index = keyword_index.ensure(twins, ["page_content"], str(tmp_path / "k"), "twins")
+    assert sorted((r["chunk_id"] or 0, r["dl"]) for r in index.docs.collect()) == [(0, 4), (7, 4), (8, 1)]
+    assert {r["term"]: r["n"] for r in index.postings.groupBy("term").sum("n").withColumnRenamed("sum(n)", "n").collect()}["twin"] == 2
+
+
+def test_excerpts_meet_texts_without_shuffling_them(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    docs = [(i, f"pump{i % 50} " + " ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)), "en", f"src{i % 3}") for i in range(300)]
+    tables(spark, tmp_path, documents=(DOCS, docs), benchmark=(BENCH, [(i, f"pump{i} seal") for i in range(10)]))
+    from evidentia.plans import base
+
+    base.keyword_index(spark, str(tmp_path))
+    before = shuffled(spark)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000000")  # the texts are 5 MB
+    try:
+        got, want = against_sql(spark, tmp_path, "verify_claims")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == want and len(got) == 30
+    assert shuffled(spark) - before < 2_000_000
