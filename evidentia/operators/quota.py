@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .index import written
 
 #: Fixed values.
 PER_SESSION, PER_DAY, GAP_SECONDS = 8, 25, 4.0
@@ -93,19 +95,40 @@ class Gate:
         return True, "", left - 1, 0.0
 
 
-def admit(events: DataFrame, session: str = "session", ts: str = "ts", event: str = "event_id", **caps) -> DataFrame:
-    """(session, event_id, ts, ok, reason, remaining_today, wait_seconds) under all three limits.
+def admit(events: DataFrame, session: str = "session", ts: str = "ts", event: str = "event_id", gate: Gate | None = None, **caps) -> DataFrame:
+    """(session, event_id, ts, ok, reason, remaining_today, wait_seconds) under all three limits, going on from the state of `gate`, if there is one.
 
-    One total order over all sessions decides, so this is one ordered pass: sorted with spilling, then streamed through one
-    task whose state is a pair of numbers a session.  Requests are serial by the meaning of a daily cap.
+    One total order over all sessions decides, but only until a day is full: a session's first request of a day is admitted unless the session is
+    used up (per_session of them were admitted before) or waits for its gap (it was admitted shortly before). So a day is full at the latest with the first request of so many
+    sessions. What comes up to there is one ordered pass, sorted with spilling and streamed past the state of the admitted sessions. Every later request of the day is refused by the day, or by its session if that is used up by then: no order is needed.
     """
+    start = gate or Gate(**caps)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate = Gate(**caps)
+        now = Gate(start.per_session, start.per_day, start.gap)
+        now.sessions, now.day, now.used = dict(start.sessions), start.day, start.used
         for pdf in batches:
-            made = [gate(s, t) for s, t in zip(pdf["session"], pdf["at"], strict=True)]
+            made = [now(s, t) for s, t in zip(pdf["session"], pdf["at"], strict=True)]
             yield pd.concat([pdf[["session", "event_id", "ts"]].reset_index(drop=True), pd.DataFrame(made, columns=["ok", "reason", "remaining_today", "wait_seconds"]).astype({"remaining_today": "int32"})], axis=1)
 
-    at = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
-    rows = events.select(F.col(session).cast("bigint").alias("session"), F.col(event).cast("bigint").alias("event_id"), F.col(ts).cast("timestamp").alias("ts"), at.alias("at"))
-    return rows.repartition(1).sortWithinPartitions("at", "event_id").mapInPandas(run, "session bigint, event_id bigint, ts timestamp, " + DECISION)
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
+    day = lambda c: F.floor(seconds(c) / 86400).cast("bigint")
+    rows = events.select(F.col(session).cast("bigint").alias("session"), F.col(event).cast("bigint").alias("event_id"), F.col(ts).cast("timestamp").alias("ts"))
+    in_order = lambda part: part.withColumn("at", seconds("ts")).repartition(1).sortWithinPartitions("at", "event_id").mapInPandas(run, "session bigint, event_id bigint, ts timestamp, " + DECISION)
+    if start.per_session <= 0:
+        return in_order(rows)
+    days = rows.agg(F.count_distinct(day("ts"))).first()[0]
+    most = start.per_day * (1 + math.ceil(max(start.gap, 0) / 86400)) + start.per_day * days // start.per_session + len(start.sessions)
+    firsts = rows.groupBy(day("ts").alias("day"), "session").agg(F.min(F.struct("ts", "event_id")).alias("cut"))
+    cuts = firsts.withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy("cut"))).where(F.col("n") <= most).where(F.col("n") == most).select("day", "cut")
+    marked = rows.withColumn("day", day("ts")).join(F.broadcast(cuts), "day", "left")
+    late = F.coalesce(F.struct("ts", "event_id") > F.col("cut"), F.lit(False))
+    decided = written(in_order(marked.where(~late).select("session", "event_id", "ts")), "admitted")
+    # sessions that are used up, and from which day on
+    nth = F.row_number().over(Window.partitionBy("session").orderBy("ts", "event_id"))
+    before = events.sparkSession.createDataFrame([(s, c) for s, (c, _) in start.sessions.items()], "session bigint, c bigint")
+    full = decided.where("ok").withColumn("nth", nth).join(F.broadcast(before), "session", "left").where(F.col("nth") + F.coalesce("c", F.lit(0)) == start.per_session).select("session", day("ts").alias("since"))
+    full = full.unionByName(before.where(F.col("c") >= start.per_session).select("session", F.lit(-(1 << 60)).cast("bigint").alias("since")))
+    rest = marked.where(late).join(F.broadcast(full), "session", "left").withColumn("used_up", F.coalesce(F.col("since") <= F.col("day"), F.lit(False)))
+    refused = rest.select("session", "event_id", "ts", F.lit(False).alias("ok"), F.when(F.col("used_up"), "session").otherwise("daily").alias("reason"), F.lit(0).alias("remaining_today"), F.lit(0.0).alias("wait_seconds"))
+    return decided.unionByName(refused)
