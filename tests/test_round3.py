@@ -120,3 +120,35 @@ def test_excerpts_meet_texts_without_shuffling_them(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert got == want and len(got) == 30
     assert shuffled(spark) - before < 2_000_000
+
+
+def test_full_days_need_no_order(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from evidentia.operators import quota
+    from evidentia.streaming import admission
+
+    rng, start = random.Random(4), datetime(2024, 1, 1)
+    rows = [(rng.choice([1, 2, 3, rng.randrange(400)]), i, start + timedelta(seconds=rng.randrange(6 * 86400))) for i in range(6000)]
+    caps = {"per_session": 4, "per_day": 7, "gap": 900.0}
+    gate, want = quota.Gate(**caps), {}
+    epoch = datetime(1970, 1, 1)
+    for s, i, t in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[i] = gate(s, (t - epoch).total_seconds())
+    events = spark.createDataFrame(rows, "user_id bigint, event_id bigint, ts timestamp")
+    path = str(tmp_path / "events.parquet")
+    events.coalesce(1).write.parquet(path)
+    made = quota.admit(spark.read.parquet(path).withColumnRenamed("user_id", "session"), **caps)
+    assert {r["event_id"]: (r["ok"], r["reason"], r["remaining_today"], r["wait_seconds"]) for r in made.collect()} == want
+    assert {w[1] for w in want.values()} == {"", "gap", "daily", "session"}
+    assert not hasattr(admission, "admit_stream")  # no state that gathers a whole batch
+    split = str(tmp_path / "split")
+    for k in range(3):  # in order of time, two days each
+        part = events.where((F.col("ts") >= F.lit(start + timedelta(days=2 * k))) & (F.col("ts") < F.lit(start + timedelta(days=2 * k + 2))))
+        part.coalesce(1).write.mode("append").parquet(split)
+    for folder, n in ((path, None), (split, 1)):
+        got = {r["event_id"]: (r["ok"], r["reason"], r["remaining_today"]) for r in admission.admit_stream_once(spark, folder, files_per_batch=n, **caps).collect()}
+        assert got == {i: w[:3] for i, w in want.items()}
