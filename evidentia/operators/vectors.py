@@ -128,15 +128,10 @@ TOKENS = 1024
 
 
 def _best_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The largest product of each vector of `q` with a vector of `p`, row by row."""
+    """The largest product of each vector of `q` with a vector of `p`, row by row: the matrices of one row are copied at a time."""
     for batch in batches:
         n = batch.num_columns - 2
-        sizes = [pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in (n, n + 1)]
-        flat = [pc.list_flatten(batch.column(c)) for c in (n, n + 1)]
-        at = [np.concatenate([[0], np.cumsum(x)]).astype(np.int64) for x in sizes]
-        width = len(flat[0][0]) if len(flat[0]) else 0
-        q, p = (pc.list_flatten(x).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width or 1) for x in flat)
-        best = [(q[at[0][r] : at[0][r + 1]] @ p[at[1][r] : at[1][r + 1]].T).max(1) for r in range(batch.num_rows)]
+        best = [(matrix(batch.column(n)[r].values) @ matrix(batch.column(n + 1)[r].values).T).max(1) for r in range(batch.num_rows)]
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(b) for b in best])]).astype(np.int32))
         yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(best) if best else np.zeros(0)))], names=[*batch.schema.names[:n], "best"])
 

@@ -152,3 +152,22 @@ def test_full_days_need_no_order(spark, tmp_path):
     for folder, n in ((path, None), (split, 1)):
         got = {r["event_id"]: (r["ok"], r["reason"], r["remaining_today"]) for r in admission.admit_stream_once(spark, folder, files_per_batch=n, **caps).collect()}
         assert got == {i: w[:3] for i, w in want.items()}
+
+
+def test_late_interaction_copies_one_row_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from evidentia.operators import vectors
+
+    rng = np.random.default_rng(6)
+    q, p = [rng.normal(size=(3, 16)) for _ in range(200)], [rng.normal(size=(100, 16)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(range(200)), pa.array([x.tolist() for x in q]), pa.array([x.tolist() for x in p])], names=["query_id", "chunk_id", "q", "p"])
+    tracemalloc.start()
+    made = list(vectors._best_matches(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000  # the batch is 2.6 MB
+    assert np.allclose(made[0].column("best").to_pylist(), [(a @ b.T).max(1) for a, b in zip(q, p)])
