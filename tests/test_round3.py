@@ -171,3 +171,25 @@ def test_late_interaction_copies_one_row_at_a_time():
     tracemalloc.stop()
     assert peak < 1_000_000  # the batch is 2.6 MB
     assert np.allclose(made[0].column("best").to_pylist(), [(a @ b.T).max(1) for a, b in zip(q, p)])
+
+
+def test_candidates_meet_texts_without_shuffling_them(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    docs = [(i, f"pump{i % 50} " + " ".join(f"{rng.getrandbits(40):x}" for _ in range(1500)), ["en", "de"][i % 2], f"src{i % 3}") for i in range(300)]
+    vecs = [(i, [rng.random() for _ in range(4)], i % 3) for i in range(300)]
+    tables(spark, tmp_path, documents=(DOCS, docs), benchmark=(BENCH, [(i, f"pump{i} seal") for i in range(10)]), embeddings=("vec_id bigint, embedding array<float>, label int", vecs))
+    from evidentia.plans import base
+
+    base.keyword_index(spark, str(tmp_path))
+    base.stored_vectors(spark, str(tmp_path), "family")
+    before = shuffled(spark)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1000000")  # the texts are 5 MB
+    try:
+        got, want = against_sql(spark, tmp_path, "cross_rerank")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == want and len(got) > 50
+    assert shuffled(spark) - before < 2_000_000
