@@ -193,3 +193,37 @@ def test_candidates_meet_texts_without_shuffling_them(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert got == want and len(got) > 50
     assert shuffled(spark) - before < 2_000_000
+
+
+def test_tokens_of_workers_are_those_of_spark(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from evidentia.functions import text as X
+    from evidentia.operators import lexical
+
+    texts = ["", "-.-", "--a", "a-", "-a.b-", "Pumps glass gas buses as ass", "s", "ss sss bus", "K\u212a \u0130x \u00c4rger\u00dfs pumps", "a\u00e9b\n\tc.d-e..", "x", ".", "end", "s-717v2.", None, "\U0001f600pumps\U0001f600"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", lexical.lower("t").alias("low"), X.tokenize(F.col("t")).alias("want")).orderBy("i").collect()
+    low = pa.array([r["low"] for r in rows])
+    assert lexical.arrow_tokens(low).to_pylist() == [r["want"] for r in rows]
+    assert lexical.arrow_tokens(low.slice(3, 9)).to_pylist() == [r["want"] for r in rows[3:12]] and lexical.arrow_tokens(low.slice(0, 0)).to_pylist() == []
+    parts = list(lexical.tokenized(iter([pa.RecordBatch.from_arrays([low], names=["tokens"])])))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == [r["want"] for r in rows]
+
+
+def test_scores_are_made_where_the_texts_are_read(spark, tmp_path):
+    words = [f"pump{i}" for i in range(12)]
+    docs = [(i, t[: 40 + 40 * (i % 50)], lang, source) for i, t, lang, source in long_texts(words, 4000)]
+    odd = [(4000, "", "en", "x"), (4001, None, "en", "x"), (4002, "valve only", "en", "x"), (7, "pump1 twin", "en", "x"), (7, "other words", "de", "x"), (None, "pump2 null", "en", "x"), (None, "pump2 again null", "en", "x")]
+    asked = [(i, " ".join(words[i % 12 :][:3])) for i in range(30)] + [(40, "unknown"), (41, None), (42, "twins null"), (1, "pump1 valve")]
+    tables(spark, tmp_path, benchmark=(BENCH, asked))
+    spark.createDataFrame(docs + odd, DOCS).repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    before = shuffled(spark)
+    got, want = against_sql(spark, tmp_path, "bm25_scores")
+    assert len(got) == len(want) > 60_000 and [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want))
+    assert shuffled(spark) - before < 500_000  # the rows alone are more
+    none = tmp_path / "none"
+    none.mkdir()
+    tables(spark, none, documents=(DOCS, docs[:3]), benchmark=(BENCH, [(1, None)]))
+    assert against_sql(spark, none, "bm25_scores") == ([], [])
