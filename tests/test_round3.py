@@ -227,3 +227,20 @@ def test_scores_are_made_where_the_texts_are_read(spark, tmp_path):
     none.mkdir()
     tables(spark, none, documents=(DOCS, docs[:3]), benchmark=(BENCH, [(1, None)]))
     assert against_sql(spark, none, "bm25_scores") == ([], [])
+
+
+def test_titles_are_searched_without_an_index_of_the_texts(spark, tmp_path):
+    import os
+
+    from evidentia.plans import base
+
+    docs = [(i, f"Scope of pump{i % 7}\n" + "seal valve " * 20, ["en", "de"][i % 2], f"src{i % 3}") for i in range(60)]
+    tables(spark, tmp_path, documents=(DOCS, docs), benchmark=(BENCH, [(1, "pump3 scope"), (2, "seal"), (3, "de")]))
+    known = set(base._indexes)
+    got, want = against_sql(spark, tmp_path, "title_bm25")
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(got) == 20
+    (made,) = set(base._indexes) - known
+    assert len(os.listdir(base._indexes[made].removeprefix("file://"))) == 1
+    fields = lambda stored: sorted(r["field"] for r in stored.packed.select("field").distinct().collect())
+    assert fields(base.keyword_index(spark, str(tmp_path), "title_text")) == ["title_text"]
+    assert fields(base.keyword_index(spark, str(tmp_path))) == ["page_content", "title_text"]
