@@ -74,11 +74,15 @@ def _products(k: int, slack: float, key: str, id_type: pa.DataType, key_type: pa
             for r in range(batch.num_rows):
                 rows, asked = unpack(batch.column(0)[r]), unpack(batch.column(1)[r])
                 scores = matrix(asked.column(1)) @ matrix(rows.column(1)).T
+                if rows.num_columns > 2:
+                    of, groups = asked.column(2), rows.column(2).dictionary_encode()
+                    mine = pc.fill_null(pc.index_in(of, value_set=groups.dictionary), -1).to_numpy()
+                    scores[~of.is_null().to_numpy(zero_copy_only=False)[:, None] & (mine[:, None] != pc.fill_null(groups.indices, -2).to_numpy()[None, :])] = -math.inf
                 name = tuple(asked.column(0).to_pylist())
                 seen = np.concatenate([best[name], scores], axis=1) if name in best else scores
                 best[name] = np.partition(seen, seen.shape[1] - k, axis=1)[:, -k:] if seen.shape[1] > k else seen
                 floor = best[name].min(1) - slack if best[name].shape[1] == k else np.full(len(scores), -math.inf)
-                a, b = np.nonzero(scores >= floor[:, None])
+                a, b = np.nonzero((scores >= floor[:, None]) & (scores > -math.inf))
                 yield pa.RecordBatch.from_arrays([asked.column(0).take(pa.array(a)).cast(id_type), rows.column(0).take(pa.array(b)).cast(key_type), pa.array(scores[a, b])], names=["query_id", key, "score"])
 
     return run
@@ -90,22 +94,26 @@ def vector_top_k(passages: DataFrame, queries: DataFrame, k: int = 50, key: str
     Queries (query_id, vec) are a stated set, which goes to all passages in blocks of QUERY_BLOCK; passages and queries meet as matrices, and a
     task gives back what its own k-th scores leave, so pairs are no rows.  Null vectors score null, behind all others.  Vectors of another length than most and
     those that hold nulls or no finite numbers are scored pair by pair.  With `allowed` (query_id, key) only its pairs are made, by joins on their keys.
+    If both have a column grp, a query with a grp meets only passages of that group.
     """
-    p, q = passages.select(key, F.col(vec).alias("p")), queries.select("query_id", F.col("vec").alias("q"))
-    by_pair = lambda pairs: pairs.select("query_id", key, dot(F.col("p"), F.col("q")).alias("score"))
+    grouped = "grp" in passages.columns and "grp" in queries.columns
+    p = passages.select(key, F.col(vec).alias("p"), *([F.col("grp").cast("string").alias("of")] if grouped else []))
+    q = queries.select("query_id", F.col("vec").alias("q"), *([F.col("grp").cast("string").alias("grp")] if grouped else []))
+    by_pair = lambda pairs: (pairs.where("grp is null or grp = of") if grouped else pairs).select("query_id", key, dot(F.col("p"), F.col("q")).alias("score"))
     if allowed is not None:
         return rank_scored(by_pair(allowed.select("query_id", key).distinct().join(p, key).join(q, "query_id")), k, key, digits)
-    n, width = q.agg(F.count("*"), F.coalesce(F.mode(F.size("q")), F.lit(-1))).first()
+    n, width, missing = q.agg(F.count("*"), F.coalesce(F.mode(F.size("q")), F.lit(-1)), F.count_if(F.col("q").isNull())).first()
     blocks = -(-max(n, 1) // QUERY_BLOCK)
     part = lambda rows, b: rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
     plain = lambda c: F.coalesce((F.size(c) == width) & F.forall(c, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < math.inf)), F.lit(False))
-    packed = lambda rows, c, size: rows.where(plain(c)).select(rows.columns[0], F.transform(c, lambda x: x.cast("double")).alias("v")).mapInArrow(_packs(size), "rows binary")
+    packed = lambda rows, c, size: rows.where(plain(c)).select(rows.columns[0], F.transform(c, lambda x: x.cast("double")).alias("v"), *rows.columns[2:]).mapInArrow(_packs(size), "rows binary")
     ids, keys = queries.schema["query_id"], passages.schema[key]
     run = _products(k, 10.0**-digits, key, to_arrow_type(ids.dataType), to_arrow_type(keys.dataType))
     schema = T.StructType([T.StructField("query_id", ids.dataType), T.StructField(key, keys.dataType), T.StructField("score", T.DoubleType())])
     rows = packed(spread(p), "p", ROWS).withColumnRenamed("rows", "p")
     odd = p.where(~plain("p") & F.col("p").isNotNull())
-    none = p.where("p is null").orderBy(key).limit(k)  # of what scores null, the first k keys can count
+    few = lambda rows: rows.withColumn("nth", F.row_number().over(Window.partitionBy("of").orderBy(key))).where(F.col("nth") <= k).drop("nth") if grouped else rows.orderBy(key).limit(k)
+    none = few(p.where("p is null"))  # of what scores null, the first k keys can count
     made = []
     for b in range(blocks):
         asked = packed(part(q, b).coalesce(1), "q", SLICE).withColumnRenamed("rows", "q")
@@ -113,7 +121,8 @@ def vector_top_k(passages: DataFrame, queries: DataFrame, k: int = 50, key: str
         made.append(by_pair(odd.unionByName(none).crossJoin(F.broadcast(part(q, b)))))
     other = q.where(~plain("q") & F.col("q").isNotNull())
     made.append(by_pair(p.where(plain("p")).crossJoin(F.broadcast(other))))
-    made.append(by_pair(p.where(plain("p")).orderBy(key).limit(k).crossJoin(F.broadcast(q.where("q is null")))))
+    if missing:
+        made.append(by_pair(few(p.where(plain("p"))).crossJoin(F.broadcast(q.where("q is null")))))
     return rank_scored(reduce(DataFrame.unionByName, made), k, key, digits)
 
 

@@ -244,3 +244,60 @@ def test_titles_are_searched_without_an_index_of_the_texts(spark, tmp_path):
     fields = lambda stored: sorted(r["field"] for r in stored.packed.select("field").distinct().collect())
     assert fields(base.keyword_index(spark, str(tmp_path), "title_text")) == ["title_text"]
     assert fields(base.keyword_index(spark, str(tmp_path))) == ["page_content", "title_text"]
+
+
+def test_the_whole_search_builds_no_index_for_one_batch(spark, tmp_path):
+    import random
+
+    from evidentia.plans import base
+
+    rng = random.Random(7)
+    lines = lambda i: f"Scope of pump{i % 50}\n" + " ".join(f"{rng.getrandbits(40):x}" for _ in range(1500))
+    docs = [(i, lines(i), ["en", "de", "fr", None][i % 4], [f"src{i % 20}", None][i % 9 == 0]) for i in range(300)] + [(300, None, "en", "src1"), (301, "", "de", "src2"), (None, "pump1 seal", "en", "src3")]
+    vecs = [(i, [rng.random() for _ in range(4)], i % 3) for i in range(310)]
+    tables(spark, tmp_path, benchmark=(BENCH, [(i, f"pump{i} scope seal") for i in range(24)]), embeddings=("vec_id bigint, embedding array<float>, label int", vecs))
+    spark.createDataFrame(docs, DOCS).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    before, known = shuffled(spark), set(base._indexes)
+    got, want = against_sql(spark, tmp_path, "late_rerank")
+    assert got == want and len(got) > 400
+    assert set(base._indexes) == known
+    assert shuffled(spark) - before < 1_000_000  # the texts are 5 MB
+
+
+def test_first_of_each_task_are_the_first_of_all(spark, monkeypatch):
+    import random
+
+    from evidentia.operators import fusion, lexical
+
+    monkeypatch.setattr(lexical, "SCORES", 300)  # a few rows at a time
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda: " ".join(rng.choice(words[: rng.choice([3, 30])]) for _ in range(rng.randrange(1, 12)))
+    rows = [(i, text(), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(700)]
+    rows += [(i, text(), rng.choice(["en", "de"]), "a") for i in (3, 3, 5)] + [(None, "w1 w2", "en", "a"), (900, None, "en", "a"), (901, "w1", "en", "a"), (902, "w1", "en", "a")]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, page_content string, doc_family string, doc_role string").repartition(5)
+    queries = spark.createDataFrame([(i, text()) for i in range(40)] + [(40, "unknown"), (41, None), (None, "w1")], "query_id bigint, question string")
+    rules = spark.createDataFrame([(i, ["en", None, "xx"][i % 3], ["a", None][i % 2], i % 4 == 0) for i in range(25)] + [(30, "en", "a", None)], "query_id bigint, family string, role string, by_role boolean")
+    scores = lexical.bm25_scores(chunks, queries)
+    found = lambda df: sorted((r["query_id"] or -1, r["rank"], r["chunk_id"], round(r["score"], 7)) for r in df.collect())
+    for k in (3, 50):
+        assert found(lexical.bm25_top_k(chunks, queries, k)) == found(lexical.top_k(scores, k))
+        want = found(lexical.top_k(fusion.restrict(scores, chunks, rules), k))
+        assert found(lexical.bm25_top_k(chunks, queries, k, rules=rules)) == want and len(want) > 60
+
+
+def test_queries_of_a_group_meet_its_vectors(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from evidentia.operators import vectors
+
+    rng = np.random.default_rng(9)
+    v = [(i, rng.normal(size=4).tolist(), ["a", "b", None][i % 3]) for i in range(2500)] + [(i, None, ["a", "b"][i % 2]) for i in range(2500, 2540)] + [(2540, [1.0], "a"), (2541, [float("nan")] * 4, "b"), (2542, rng.normal(size=4).tolist(), "c")]
+    q = [(i, rng.normal(size=4).tolist(), ["a", "b", "c", None, "none"][i % 5]) for i in range(60)] + [(60, None, "a"), (61, None, None), (62, [2.0], "a")]
+    p = spark.createDataFrame(v, "chunk_id bigint, vec array<double>, grp string").repartition(4)
+    asked = spark.createDataFrame(q, "query_id bigint, vec array<double>, grp string")
+    pairs = asked.select("query_id", F.col("vec").alias("q"), F.col("grp").alias("g")).crossJoin(p).where("g is null or g = grp").select("query_id", "chunk_id", vectors.dot(p["vec"], "q").alias("score"))
+    rounded = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], repr(r["score"] if r["score"] is None else round(r["score"], 8))) for r in df.collect())
+    got = rounded(vectors.vector_top_k(p, asked, 7))
+    assert got == rounded(vectors.rank_scored(pairs, 7)) and {r[0] for r in got} == set(range(63)) - set(range(4, 60, 5))
